@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe
+from arborlake.llm import bpe, decontaminate, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": bpe.op4_bpe}
+    return {
+        "op3_simhash": simhash.op3_simhash,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": decontaminate.ORACLE}
