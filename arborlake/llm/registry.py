@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe, decontaminate, simhash
+from arborlake.llm import bpe, decontaminate, jpeg, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op8_jpeg": jpeg.op8_jpeg,
     }
 
 
