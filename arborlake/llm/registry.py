@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe, decontaminate, jpeg, simhash
+from arborlake.llm import bpe, decontaminate, jpeg, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": bpe.op4_bpe,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op8_jpeg": jpeg.op8_jpeg,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
