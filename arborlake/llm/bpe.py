@@ -4,8 +4,8 @@ The automaton reads tokens and accepts exactly the sequences that merging yields
 loop for each symbol; each merge (u, v), in order of rank, adds one gadget: wherever u then v could be read, an arc
 for the merged token is added, and the state behind u loses its arc v. A state depends on the last token alone, so
 states are named by tokens, and their arcs are held as the set of arcs lost, with the rank at which each went. That
-keeps the table as small as the merge list. A word is encoded by running positions against this table: a prefix of a
-word has one accepted path, so one token a position is kept. Decoding emits the labels of the arcs.
+keeps the table as small as the merge list. A word is encoded by running it against this table, longest arcs first: a
+prefix of a word has one accepted path, so no position is entered twice. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ class Automaton:
         self.lost: dict[tuple[int, int], int] = {}  # (u, v): the rank of the gadget that took arc v from the state behind u
         self.left: dict[int, tuple[int, int]] = {}  # token: its left part and its rank
         self.right: dict[int, tuple[int, int]] = {}
-        self.rows: dict[tuple[int, int], bool] = {}
+        self.rows: dict[int, bool] = {}
         dead = set()
         made = set()
         for rank, (a, b) in enumerate(merges):
@@ -55,7 +55,12 @@ class Automaton:
             self.lost[(u, v)] = rank
             self.left[uv], self.right[uv] = (u, rank), (v, rank)
         self.arcs = {t: i for t, i in vocab.items() if i not in dead}
-        self.longest = max((len(t) for t in self.arcs), default=0)
+        self.trie: dict = {}
+        for t, i in self.arcs.items():
+            node = self.trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = i
 
     def _open(self, u: int, v: int, before: int | None = None) -> bool:
         """Whether arc v leaves the state behind u once all gadgets (or those before a rank) are in place.
@@ -81,7 +86,7 @@ class Automaton:
     def step(self, state: int, token: int) -> bool:
         if state == self.START:
             return True
-        key = (state, token)
+        key = state << 32 | token
         if (to := self.rows.get(key)) is None:
             if len(self.rows) > 2_000_000:
                 self.rows.clear()
@@ -89,27 +94,51 @@ class Automaton:
         return to
 
     def encode(self, symbols: list[str]) -> list[int]:
-        """The ids of a word given as symbols, the last of which carries the suffix. Symbols outside the vocabulary are skipped."""
-        symbols = [s for s in symbols if s in self.arcs]
-        n = len(symbols)
-        text = "".join(symbols)
-        ends = [0]
-        for s in symbols:
-            ends.append(ends[-1] + len(s))
-        arcs, step, longest = self.arcs, self.step, self.longest
-        last: list[tuple[int, int] | None] = [(self.START, 0)] + [None] * n
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                token = arcs.get(text[ends[i] : ends[j]])
-                if token is not None and (before := last[i]) is not None and step(before[0], token):
-                    last[j] = (token, i)
-                    break
-        out: list[int] = []
-        j = n
-        while j:
-            token, j = last[j]  # type: ignore[misc]
-            out.append(token)
-        return out[::-1]
+        """The ids of a word given as symbols, the last of which may be longer than one character.
+
+        Symbols outside the vocabulary are skipped. Arcs are tried from the longest; as the accepted path to each
+        position is the only one, a position that was left once is not entered again.
+        """
+        if any(s not in self.arcs for s in symbols):
+            symbols = [s for s in symbols if s in self.arcs]
+        if not symbols:
+            return []
+        return self._run("".join(symbols), len(symbols[-1]))
+
+    def _run(self, text: str, tail: int) -> list[int]:
+        end = len(text)
+        last_start = end - tail
+        trie, rows = self.trie, self.rows
+        at, state, left = 0, self.START, set()
+        path: list[tuple[int, int, list]] = []
+        arcs = None
+        while True:
+            if arcs is None:
+                arcs, node, j = [], trie, at
+                while j < end:
+                    node = node.get(text[j])
+                    if node is None:
+                        break
+                    j += 1
+                    if "" in node and (j <= last_start or j == end):
+                        arcs.append((j, node[""]))
+            while arcs:
+                j, token = arcs.pop()
+                if j in left:
+                    continue
+                if state >= 0:
+                    to = rows.get(state << 32 | token)
+                    if not (self.step(state, token) if to is None else to):
+                        continue
+                left.add(j)
+                path.append((token, at, arcs))
+                if j == end:
+                    return [p[0] for p in path]
+                at, state, arcs = j, token, None
+                break
+            else:
+                token, at, arcs = path.pop()
+                state = path[-1][0] if path else self.START
 
 
 class WordBpe:
@@ -128,6 +157,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.symbols = byte_symbols()
+        self.whole = all(s in self.automaton.arcs and s + self.automaton.suffix in self.automaton.arcs for s in self.symbols)
         self.label = self.automaton.label | {i: t for t, i in self.special.items()}
         self.words: dict[str, tuple[list[int], str, str]] = {}
 
@@ -136,9 +166,12 @@ class WordBpe:
         if (got := self.words.get(w)) is None:
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()
-            s = [self.symbols[b] for b in w.encode("utf-8")]
-            s[-1] += self.automaton.suffix
-            ids = self.automaton.encode(s)
+            if w.isascii() and w.isprintable() and self.whole:
+                ids = self.automaton._run(w + self.automaton.suffix, 1 + len(self.automaton.suffix))  # each byte is its own symbol
+            else:
+                s = [self.symbols[b] for b in w.encode("utf-8")]
+                s[-1] += self.automaton.suffix
+                ids = self.automaton.encode(s)
             got = self.words[w] = (ids, " ".join(map(str, ids)), " ".join(self.label[i] for i in ids))
         return got
 
