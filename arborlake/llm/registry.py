@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe, decontaminate, jpeg, simhash, toxicity
+from arborlake.llm import bpe, chat, decontaminate, jpeg, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_chat": chat.op6_chat,
         "op8_jpeg": jpeg.op8_jpeg,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.ORACLE}
+    return {"op5_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE}
