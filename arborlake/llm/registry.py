@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe, chat, decontaminate, jpeg, simhash, toxicity
+from arborlake.llm import bpe, chat, decontaminate, jpeg, simhash, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_rules": url_rules.op1_url_rules,
         "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_decontaminate": decontaminate.op5_decontaminate,
