@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe, chat, decontaminate, jpeg, simhash, toxicity, url_rules
+from arborlake.llm import bpe, chat, decontaminate, jpeg, licenses, pages, simhash, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": url_rules.op1_url_rules,
+        "op2_pages": pages.op2_pages,
         "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_chat": chat.op6_chat,
+        "op7_licenses": licenses.op7_licenses,
         "op8_jpeg": jpeg.op8_jpeg,
         "op10_toxicity": toxicity.op10_toxicity,
     }
