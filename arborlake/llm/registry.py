@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe, chat, decontaminate, jpeg, licenses, pages, simhash, toxicity, url_rules
+from arborlake.llm import bpe, chat, decontaminate, jpeg, licenses, pages, secrets, simhash, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat": chat.op6_chat,
         "op7_licenses": licenses.op7_licenses,
         "op8_jpeg": jpeg.op8_jpeg,
+        "op9_secrets": secrets.op9_secrets,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
