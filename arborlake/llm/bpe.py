@@ -251,5 +251,24 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows=64)
 
 
+def encode_with_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(id, token_ids, n_tokens, ids_sha256, decoded_sha256): encode_texts() and encode_digests() in one pass."""
+    path = path or vocabulary_path()
+
+    def make():
+        bpe = load(path)
+        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+
+        def f(ids, texts):
+            found = [bpe.pieces(t or "") for t in texts]
+            tokens = [[i for p in ps for i in p[0]] for ps in found]
+            return [ids, tokens, [len(t) for t in tokens], [sha(" ".join([p[1] for p in ps])) for ps in found], [sha(" ".join([p[2] for p in ps])) for ps in found]]
+
+        return f
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows=64)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"))

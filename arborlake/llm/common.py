@@ -73,5 +73,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, computed once, to be broadcast if it has so many rows at most; beyond them joins shuffle. For narrow rows only."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

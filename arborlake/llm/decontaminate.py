@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import ascii_lower_col, cut, read
+from arborlake.llm.common import ascii_lower_col, broadcast_if_small, cut, read
 
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Item windows that are broadcast at most: with their words about 200 bytes each, so under 100 MB.
@@ -54,8 +54,8 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return each.select("item", F.slice("words", F.col("at"), size).alias("window"), size.alias("size")).distinct()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_broadcast: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(row, id, n_words, hits) for each document; hits: array of (at, size, item), word positions from 0.
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_broadcast: int = BROADCAST_WINDOWS, carried: str | None = None) -> DataFrame:
+    """(row, id, n_words, hits) for each document, and the column `carried` if one is named; hits: array of (at, size, item), word positions from 0.
 
     `row` tells repeated rows apart. Null texts and items have no words. Items without an id are scanned but not
     named. Rows with a null id are kept. An empty benchmark hits nothing.
@@ -71,16 +71,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     table = mark if table is None else table.unionAll(mark)
     if sum(sizes.values()) <= most_broadcast:
         table = F.broadcast(table)
-    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
+    more = [carried] if carried else []
+    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"), *more)
     w, names = _with_windows(w, "words", sorted(sizes))
     entry = lambda s: F.transform(F.col(names[s]), lambda h, i: F.struct(h.alias("h"), i.alias("at"), F.lit(s).alias("s")))
     last = F.array(F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("at"), F.lit(0).alias("s")))
-    each = w.select("row", "id", "words", F.explode(F.concat(*[entry(s) for s in sorted(sizes)], last)).alias("e"))
-    each = each.select("row", "id", "words", F.col("e.h").alias("h"), F.col("e.at").alias("at"), F.col("e.s").alias("s"))
+    each = w.select("row", "id", "words", *more, F.explode(F.concat(*[entry(s) for s in sorted(sizes)], last)).alias("e"))
+    each = each.select("row", "id", "words", *more, F.col("e.h").alias("h"), F.col("e.at").alias("at"), F.col("e.s").alias("s"))
     met = each.join(table, (each.h == table.h) & (each.s == table.size) & ((each.s == 0) | (F.slice("words", F.col("at") + 1, F.greatest(F.col("s"), F.lit(1))) == table.window)))
-    met = met.select("row", "id", F.size("words").alias("n_words"), "at", "size", "item")
+    met = met.select("row", "id", *more, F.size("words").alias("n_words"), "at", "size", "item")
     return met.groupBy("row").agg(
         F.first("id").alias("id"),
+        *[F.first(c).alias(c) for c in more],
         F.first("n_words").alias("n_words"),
         F.collect_list(F.when(F.col("size") > 0, F.struct("at", "size", "item"))).alias("hits"),
     )
@@ -117,6 +119,15 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13) -> DataFrame:
+    """docs with all columns and without the rows that are contaminated, as report() has it. Equal texts are judged once."""
+    keyed = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    hit = scan(keyed.select(F.lit(0).alias("doc_id"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("key")), benchmark, width=width, carried="key")
+    n = covered(F.col("hits"))
+    gone = broadcast_if_small(hit.where((n > 0) & (20 * n >= F.col("n_words"))).select(F.col("key").alias("_gone")).distinct(), 200_000)  # 64 characters each
+    return docs.join(gone, F.sha2(F.col(text_col).cast("binary"), 256) == F.col("_gone"), "left_anti")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row")
 

@@ -85,3 +85,51 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(df, "a", "b").collect()}
     assert got == {i: 0 for i in range(61)} | {200: 200, 201: 200}
     assert components(df.limit(0), "a", "b").count() == 0
+
+
+def shingles(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_remove_copies(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows, group = [], {}
+    for g in range(60):
+        base = [word() for _ in range(rnd.choice([60, 200, 400]))]
+        for k in range(rnd.choice([1, 1, 2, 5])):
+            own = list(base)
+            for _ in range(0 if k == 0 else len(base) // 60):
+                own[rnd.randrange(len(own))] = word()
+            rows.append((len(rows) * 3 + 1, " ".join(own)))
+            group[rows[-1][0]] = g
+            if k and len(shingles(" ".join(own)) & shingles(" ".join(base))) / len(shingles(" ".join(own)) | shingles(" ".join(base))) < 0.8:
+                rows.pop()
+    rows += [(5000, rows[0][1]), (6000, ""), (6001, None), (None, "null id"), (None, "null id"), (7000, "twice a"), (7000, "twice b")]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id bigint, text string, fp string, component_id int").repartition(4)
+    out = simhash.remove_copies(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id is not None)
+    want = {}
+    for i, t in rows:
+        if i is not None and i < 5000:
+            want[group[i]] = min(want.get(group[i], i), i)
+    left = {i for i, _ in got if i < 5000}
+    assert set(want.values()) <= left and len(left - set(want.values())) <= 1
+    assert [x for x in got if x[0] >= 5000] == [(6000, ""), (7000, "twice a")]
+    assert out.where("doc_id is null").count() == 2
+    assert simhash.remove_copies(df.limit(0)).count() == 0
+
+
+def test_sketch_estimates():
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(600)]
+    own = list(base)
+    for _ in range(12):
+        own[rnd.randrange(600)] = "new"
+    a, b = shingles(" ".join(base)), shingles(" ".join(own))
+    got = (simhash.sketch(" ".join(base)) == simhash.sketch(" ".join(own))).mean()
+    assert abs(got - len(a & b) / len(a | b)) < 0.1
+    assert simhash.sketch(None) is None and len(set(simhash.sketch("one").tolist())) == 1
