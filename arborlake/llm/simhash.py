@@ -86,6 +86,17 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return plain.unionAll(starred)
 
 
+def _labels(least: DataFrame, tied: DataFrame) -> DataFrame:
+    """(fp, component_id) for each fp with its least id; tied: (node, root) of those that have a link.
+
+    The least id of each root is written before it is joined, so that a component of any size can be split over tasks.
+    """
+    linked = least.join(tied, least.fp == tied.node).select("fp", "least", "root")
+    of_root = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    alone = least.join(tied, least.fp == tied.node, "left_anti").select("fp", F.col("least").alias("component_id"))
+    return linked.join(of_root, "root").select("fp", "component_id").unionAll(alone)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, crowd: int = CROWD) -> DataFrame:
     """(id, fingerprint, component_id) for each row.
 
@@ -97,10 +108,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = cut(fingerprints(df, id_col, text_col, width))
     least = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     tied = cut(components(links(least.select("fp"), crowd), "a", "b"))
-    rooted = least.join(tied, least.fp == tied.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(of_root, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(_labels(least, tied), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 BINS, BANDS, BAND_ROWS = 256, 20, 5
@@ -167,9 +175,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     same = F.expr(f"size(filter(zip_with(sketch, hub_sketch, (x, y) -> x = y), z -> z)) >= {LEAST_ESTIMATE * BINS}")
     near = pairs.join(own, "fp").join(other, "hub").where(same).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     tied = cut(components(links(each.select("fp")).unionAll(near), "a", "b"))
-    rooted = each.select("fp", "least").join(tied, each.fp == tied.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labels = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.select(id_col, "fp").join(labels, "fp").select(id_col, "fp", "component_id")
+    return prints.select(id_col, "fp").join(_labels(each.select("fp", "least"), tied), "fp").select(id_col, "fp", "component_id")
 
 
 def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
