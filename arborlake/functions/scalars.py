@@ -85,7 +85,7 @@ def compare(a: Column, op: str, b: Column) -> Column:
     forms = {
         "=": lambda: a == b, "==": lambda: a == b, "<>": lambda: a != b, "!=": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b, "<=>": lambda: a.eqNullSafe(b),
         "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "//": lambda: F.floor(a / b), "%": lambda: a % b, "**": lambda: F.pow(a, b), "||": lambda: F.concat(a, b),
-        "&": lambda: a.bitwiseAND(b), "|": lambda: a.bitwiseOR(b), "#": lambda: a.bitwiseXOR(b), "~": lambda: a.rlike(b), "!~": lambda: ~a.rlike(b), "~~": lambda: a.like(b), "!~~": lambda: ~a.like(b), "~~*": lambda: a.ilike(b), "^@": lambda: a.startswith(b), "@>": lambda: F.size(F.array_except(b, a)) == 0, "<@": lambda: F.size(F.array_except(a, b)) == 0, "&&": lambda: F.arrays_overlap(a, b),
+        "&": lambda: a.bitwiseAND(b), "|": lambda: a.bitwiseOR(b), "#": lambda: a.bitwiseXOR(b), "~": lambda: F.regexp_like(a, b), "!~": lambda: ~F.regexp_like(a, b), "~~": lambda: F.like(a, b), "!~~": lambda: ~F.like(a, b), "~~*": lambda: F.ilike(a, b), "^@": lambda: a.startswith(b), "@>": lambda: F.size(F.array_except(b, a)) == 0, "<@": lambda: F.size(F.array_except(a, b)) == 0, "&&": lambda: F.arrays_overlap(a, b),
     }
     if op not in forms:
         raise ValueError(f"no operator {op}")

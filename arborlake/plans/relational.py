@@ -1 +1,807 @@
+"""Relational queries whose form Spark SQL lacks: each runs an operator of this package."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborlake.functions import scalars as S
+from arborlake.functions import stars
+from arborlake.functions.types import spark_type
+from arborlake.operators import changes as C
+from arborlake.operators import joins as J
+from arborlake.operators import patterns, ranges, recursion
+from arborlake.operators import windows as W
+from arborlake.plans.registry import register
+from arborlake.session import table
+from arborlake.sources import readers
+
+
+def query(name: str, sql: str | None, *tables: str):
+    """The function gets its tables by name."""
+
+    def add(f):
+        register(name, sql)(lambda spark, sf_dir: f(spark, *[table(spark, sf_dir, t) for t in tables]))
+        return f
+
+    return add
+
+
+# ---- B1 scans and sources
+
+
+@query("b1_file_as_table", "SELECT count(*) AS n, min(r_name) AS a FROM region", "region")
+def _(spark, region):
+    path = region.inputFiles()[0]
+    return readers.file_table(spark, path).agg(F.count("*").alias("n"), F.min("r_name").alias("a"))
+
+
+@query("b1_final", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1", "events")
+def _(spark, events):
+    return C.final(events, ["user_id"], "event_id").select("user_id", "event_id", "value")
+
+
+@query("b1_prewhere", "SELECT event_id FROM events WHERE event_type = 'click' AND value > 50", "events")
+def _(spark, events):
+    return events.where("event_type = 'click'").where("value > 50").select("event_id")
+
+
+@query("b1_with_scalar", "SELECT o_orderkey, o_totalprice * 2 AS x FROM orders WHERE o_totalprice > 150000", "orders")
+def _(spark, orders):
+    return orders.withColumn("factor", F.lit(2)).where("o_totalprice > 150000").select("o_orderkey", (F.col("o_totalprice") * F.col("factor")).alias("x"))
+
+
+@query("b1_recursive_using_key", "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation), t(k, d) AS (SELECT 0, 0 UNION ALL SELECT e.b, t.d + 1 FROM t JOIN e ON t.k = e.a WHERE t.d < 30) SELECT k, min(d) AS d FROM t GROUP BY k", "nation")
+def _(spark, nation):
+    e = nation.select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"))
+    start = spark.createDataFrame([(0, 0)], "k int, d int")
+    return recursion.fixpoint_by_key(start, lambda new, seen: new.join(e, new.k == e.a).select(F.col("b").alias("k"), (F.col("d") + 1).alias("d")), ["k"], F.col("d"))
+
+
+@query("b1_recursive_search_cycle", "WITH RECURSIVE e AS (SELECT n_nationkey AS c, CASE WHEN n_nationkey = 0 THEN NULL ELSE (n_nationkey - 1) // 2 END AS p FROM nation), t(c, level, path) AS (SELECT c, 1, [c] FROM e WHERE p IS NULL UNION ALL SELECT e.c, level + 1, list_append(path, e.c) FROM t JOIN e ON e.p = t.c) SELECT c, level, array_to_string(path, '/') AS path, FALSE AS is_cycle FROM t", "nation")
+def _(spark, nation):
+    e = nation.select(F.col("n_nationkey").alias("c"), F.when(F.col("n_nationkey") > 0, F.floor((F.col("n_nationkey") - 1) / 2).cast("int")).alias("p"))
+    out = recursion.connect_by(e, "c", "p", F.col("p").isNull())
+    return out.select("c", "level", F.array_join("path", "/").alias("path"), "is_cycle")
+
+
+@query("b1_reservoir_sample", "SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS d", "orders")
+def _(spark, orders):
+    s = W.reservoir(orders, 50, 7)
+    return s.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("d"))
+
+
+@query("b1_bernoulli_sample", None, "orders")
+def _(spark, orders):
+    return orders.sample(fraction=0.1, seed=3).select("o_orderkey")
+
+
+@query("b1_partition_selection", "SELECT n_name FROM nation WHERE n_regionkey = 2", "nation")
+def _(spark, nation):
+    return readers.partition(nation, "n_regionkey", 2).select("n_name")
+
+
+@query("b1_rowset_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events", "events")
+def _(spark, events):
+    return readers.json_rows(events, "props", "k int", ["event_id"])
+
+
+@query("b1_inline_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(i, s)")
+def _(spark):
+    return readers.values(spark, [(1, "a"), (2, "b")], "i int, s string")
+
+
+@query("b1_table_argument", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey", "orders")
+def _(spark, orders):
+    import pandas as pd
+
+    def per_key(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"o_custkey": [key[0]], "n": [len(pdf)], "s": [round(float(pdf["o_totalprice"].sum()), 2)]})
+
+    return orders.select("o_custkey", "o_totalprice").groupBy("o_custkey").applyInPandas(per_key, "o_custkey bigint, n bigint, s double")
+
+
+# ---- B2 changes
+
+
+@query("b2_insert_by_name", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT NULL, 'NEW'", "region")
+def _(spark, region):
+    return C.insert_by_name(region, spark.createDataFrame([("NEW",)], "r_name string"))
+
+
+@query("b2_insert_overwrite_where", "SELECT * FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 1, 'ONE'", "region")
+def _(spark, region):
+    return C.delete(region, F.col("r_regionkey") == 1).unionByName(spark.createDataFrame([(1, "ONE")], "r_regionkey int, r_name string"))
+
+
+@query("b2_multi_insert_all", "SELECT o_orderkey, 'big' AS target FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT o_orderkey, 'open' FROM orders WHERE o_orderstatus = 'O'", "orders")
+def _(spark, orders):
+    return C.multi_insert(orders, [("big", F.col("o_totalprice") > 100000), ("open", F.col("o_orderstatus") == "O")]).select("o_orderkey", "target")
+
+
+@query("b2_multi_insert_first", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'open' END AS target FROM orders WHERE o_totalprice > 100000 OR o_orderstatus = 'O'", "orders")
+def _(spark, orders):
+    return C.multi_insert(orders, [("big", F.col("o_totalprice") > 100000), ("open", F.col("o_orderstatus") == "O")], first=True).select("o_orderkey", "target")
+
+
+_UP = "SELECT n_nationkey, n_name || '!' AS n_name, n_regionkey FROM nation WHERE n_nationkey < 3 UNION ALL SELECT n_nationkey + 100, 'NEW', 0 FROM nation WHERE n_nationkey < 2"
+
+
+def _rows(nation):
+    return nation.where("n_nationkey < 3").withColumn("n_name", F.concat("n_name", F.lit("!"))).unionByName(nation.where("n_nationkey < 2").select((F.col("n_nationkey") + 100).alias("n_nationkey"), F.lit("NEW").alias("n_name"), F.lit(0).alias("n_regionkey")))
+
+
+@query("b2_upsert", f"WITH s AS ({_UP}) SELECT n_nationkey, coalesce(s.n_name, n.n_name) AS n_name, coalesce(s.n_regionkey, n.n_regionkey) AS n_regionkey FROM nation n FULL JOIN s USING (n_nationkey)", "nation")
+def _(spark, nation):
+    return C.upsert(nation, _rows(nation), ["n_nationkey"])
+
+
+@query("b2_insert_or_ignore", f"WITH s AS ({_UP}) SELECT * FROM nation UNION ALL SELECT * FROM s WHERE n_nationkey >= 100", "nation")
+def _(spark, nation):
+    return C.upsert(nation, _rows(nation), ["n_nationkey"], ignore=True)
+
+
+@query("b2_update", "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer", "customer")
+def _(spark, customer):
+    return C.update(customer, F.col("c_nationkey") == 3, {"c_acctbal": F.col("c_acctbal") * 2}).select("c_custkey", "c_acctbal")
+
+
+@query("b2_update_from", "SELECT c_custkey, coalesce(n_name, c_name) AS c_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1", "customer", "nation")
+def _(spark, customer, nation):
+    src = nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return C.update_from(customer, src, ["c_nationkey"], {"c_name": F.col("s_n_name")}).select("c_custkey", "c_name")
+
+
+@query("b2_delete", "SELECT c_custkey FROM customer WHERE NOT c_acctbal < 0", "customer")
+def _(spark, customer):
+    return C.delete(customer, F.col("c_acctbal") < 0).select("c_custkey")
+
+
+@query("b2_delete_using", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "customer", "orders")
+def _(spark, customer, orders):
+    return C.delete_using(customer, orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+
+
+
+
+def _merge(nation, customer):
+    s = customer.groupBy((F.col("c_nationkey") + 5).alias("n_nationkey")).agg(F.min("c_name").alias("name"))
+    return C.merge(nation, s, ["n_nationkey"], matched_delete=F.col("t_n_regionkey") == 0, matched_update={"n_name": F.col("s_name")}, insert={"n_name": F.col("s_name"), "n_regionkey": F.lit(9)}, by_source_delete=F.col("t_n_regionkey") == 4)
+
+
+@query(
+    "b2_merge",
+    """WITH s AS (SELECT c_nationkey + 5 AS k, min(c_name) AS name FROM customer GROUP BY 1)
+       SELECT coalesce(n_nationkey, k) AS n_nationkey, CASE WHEN k IS NULL THEN n_name ELSE name END AS n_name, CASE WHEN n_nationkey IS NULL THEN 9 ELSE n_regionkey END AS n_regionkey
+       FROM nation FULL JOIN s ON n_nationkey = k WHERE NOT coalesce(k IS NOT NULL AND n_nationkey IS NOT NULL AND n_regionkey = 0, FALSE) AND NOT coalesce(k IS NULL AND n_regionkey = 4, FALSE)""",
+    "nation", "customer",
+)
+def _(spark, nation, customer):
+    return C.merged(_merge(nation, customer))
+
+
+@query("b2_merge_returning", "WITH s AS (SELECT DISTINCT c_nationkey + 5 AS k FROM customer) SELECT action, count(*) AS n FROM (SELECT CASE WHEN n_nationkey IS NULL THEN 'inserted' WHEN k IS NULL THEN CASE WHEN n_regionkey = 4 THEN 'deleted' ELSE 'kept' END WHEN n_regionkey = 0 THEN 'deleted' ELSE 'updated' END AS action FROM nation FULL JOIN s ON n_nationkey = k) GROUP BY action", "nation", "customer")
+def _(spark, nation, customer):
+    return _merge(nation, customer).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("b2_returning", "SELECT c_custkey, c_acctbal AS old_value, c_acctbal + 1 AS new_value FROM customer WHERE c_nationkey = 7", "customer")
+def _(spark, customer):
+    hit = customer.where("c_nationkey = 7")
+    return hit.select("c_custkey", F.col("c_acctbal").alias("old_value"), (F.col("c_acctbal") + 1).alias("new_value"))
+
+
+@query("b2_for_json", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region", "region")
+def _(spark, region):
+    return readers.as_json(region)
+
+
+@query("b2_for_xml", None, "region")
+def _(spark, region):
+    return readers.as_xml(region)
+
+
+@query("b2_ctas_view", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", "orders")
+def _(spark, orders):
+    orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")).createOrReplaceTempView("arborlake_status")
+    return spark.sql("SELECT * FROM arborlake_status")
+
+
+@query("b2_dictionary", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", "customer", "nation")
+def _(spark, customer, nation):
+    d = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return customer.join(F.broadcast(d) if J.small(d) else d, "c_nationkey", "left").select("c_custkey", "n_name")
+
+
+@query("b2_sequence", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS seq FROM part", "part")
+def _(spark, part):
+    return J.with_row_index(part, ["p_retailprice", "p_partkey"], "seq").select("p_partkey", "seq")
+
+
+# ---- B3 projections and predicates
+
+
+@query("b3_star_replace", "SELECT * REPLACE (lower(n_name) AS n_name) FROM nation", "nation")
+def _(spark, nation):
+    return stars.star_replace(nation, {"n_name": F.lower("n_name")})
+
+
+@query("b3_star_rename", "SELECT n_nationkey, n_name AS name, n_regionkey FROM nation", "nation")
+def _(spark, nation):
+    return stars.star_rename(nation, {"n_name": "name"})
+
+
+@query("b3_star_like", "SELECT n_nationkey, n_regionkey FROM nation", "nation")
+def _(spark, nation):
+    return stars.star_like(nation, "n_%key")
+
+
+@query("b3_columns_regex", "SELECT COLUMNS('.*key$') FROM lineitem WHERE l_orderkey < 50", "lineitem")
+def _(spark, lineitem):
+    return lineitem.where("l_orderkey < 50").select(*stars.columns(lineitem, "key$"))
+
+
+@query("b3_apply", "SELECT max(l_quantity) AS l_quantity, max(l_tax) AS l_tax FROM lineitem", "lineitem")
+def _(spark, lineitem):
+    return stars.apply(lineitem, ["l_quantity", "l_tax"], F.max)
+
+
+@query("b3_positional_column", "SELECT n_name FROM nation", "nation")
+def _(spark, nation):
+    return nation.select(stars.positional(nation, 2))
+
+
+@query("b3_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "orders")
+def _(spark, orders):
+    return W.distinct_on(orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"])
+
+
+@query("b3_qualify", "SELECT o_orderkey FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) <= 2", "orders")
+def _(spark, orders):
+    from pyspark.sql import Window
+
+    return W.qualify(orders, F.rank().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"))) <= 2).select("o_orderkey")
+
+
+@query("b3_xor_ternary", "SELECT p_partkey, CASE WHEN (p_size > 10) <> (p_size > 30) THEN 'x' ELSE 'n' END AS t FROM part", "part")
+def _(spark, part):
+    return part.select("p_partkey", F.when((F.col("p_size") > 10) != (F.col("p_size") > 30), "x").otherwise("n").alias("t"))
+
+
+@query("b3_between_symmetric", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20", "part")
+def _(spark, part):
+    return part.where(S.between_symmetric(F.col("p_size"), F.lit(20), F.lit(10))).select("p_partkey")
+
+
+@query("b3_glob", "SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#[1-3]?'", "part")
+def _(spark, part):
+    return part.where(S.glob(F.col("p_brand"), "Brand#[1-3]?")).select("p_partkey")
+
+
+@query("b3_similar_to", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#(1|2).')", "part")
+def _(spark, part):
+    return part.where(S.similar_to(F.col("p_brand"), "Brand#(1|2)_")).select("p_partkey")
+
+
+@query("b3_quantified_any", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9)", "part")
+def _(spark, part):
+    return part.where(S.any_of(F.col("p_size"), "=", F.array(F.lit(1), F.lit(5), F.lit(9)))).select("p_partkey")
+
+
+@query("b3_quantified_all", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= (SELECT max(s_acctbal) FROM supplier)", "supplier")
+def _(spark, supplier):
+    most = supplier.agg(F.max("s_acctbal").alias("m"))  # one row
+    return supplier.join(F.broadcast(most), F.col("s_acctbal") >= F.col("m")).select("s_suppkey")
+
+
+@query("b3_match_against", "SELECT page_id FROM pages WHERE list_has_any(string_split_regex(lower(url), '[^\\pL\\pN]+'), ['org', 'net'])", "pages")
+def _(spark, pages):
+    return pages.where(S.match_against(F.col("url"), ["org", "net"])).select("page_id")
+
+
+@query("b3_unique_predicate", "SELECT r_regionkey, count(*) = count(DISTINCT n_name) AS u FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1", "region", "nation")
+def _(spark, region, nation):
+    return region.join(nation, region.r_regionkey == nation.n_regionkey).groupBy("r_regionkey").agg((F.count("*") == F.count_distinct("n_name")).alias("u"))
+
+
+@query("b3_member_submultiset", "SELECT p_partkey, list_contains([1, 5, p_size], 5) AS m, p_size <> 5 AS s FROM part", "part")
+def _(spark, part):
+    arr = F.array(F.lit(1), F.lit(5), F.col("p_size"))
+    return part.select("p_partkey", S.member_of(F.lit(5), arr).alias("m"), (~S.submultiset(F.array(F.lit(5), F.lit(5)), arr)).alias("s"))
+
+
+@query("b3_is_json", "SELECT event_id, json_valid(props) AS j, json_valid(event_type) AS t FROM events", "events")
+def _(spark, events):
+    return events.select("event_id", S.is_json(F.col("props")).alias("j"), S.is_json(F.col("event_type")).alias("t"))
+
+
+# ---- B4 joins
+
+
+@query("b4_right_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "orders", "customer")
+def _(spark, orders, customer):
+    return J.right_semi(orders.select(F.col("o_custkey").alias("c_custkey")), customer, ["c_custkey"]).select("c_custkey")
+
+
+@query("b4_right_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "orders", "customer")
+def _(spark, orders, customer):
+    return J.right_anti(orders.select(F.col("o_custkey").alias("c_custkey")), customer, ["c_custkey"]).select("c_custkey")
+
+
+_ASOF = "SELECT a.event_id, b.event_id AS prev_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF {} JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts {} b.ts"
+
+
+def _asof(events, how, strict=False, bucket=None):
+    a = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    b = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("prev_id"))
+    return J.asof_join(a, b, "ts", "ts", ["user_id"], ["prev_id"], how, strict, bucket)
+
+
+@query("b4_asof_left", _ASOF.format("LEFT", ">="), "events")
+def _(spark, events):
+    return _asof(events, "left", bucket=F.date_trunc("day", "_t")).select("event_id", "prev_id")
+
+
+@query("b4_asof_inner", _ASOF.format("", ">="), "events")
+def _(spark, events):
+    return _asof(events, "inner").select("event_id", "prev_id")
+
+
+@query("b4_asof_strict", _ASOF.format("LEFT", ">"), "events")
+def _(spark, events):
+    return _asof(events, "left", True, F.date_trunc("day", "_t")).select("event_id", "prev_id")
+
+
+@query("b4_asof_anti", "SELECT event_id FROM events a WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'click' AND b.user_id = a.user_id AND b.ts <= a.ts)", "events")
+def _(spark, events):
+    return _asof(events, "anti").select("event_id")
+
+
+@query("b4_any_join", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ON o_custkey = c_custkey", "customer", "orders")
+def _(spark, customer, orders):
+    o = orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return J.any_join(customer, o, ["c_custkey"], ["o_orderkey"]).select("c_custkey", "o_orderkey")
+
+
+@query("b4_positional", "WITH a AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier), b AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) SELECT s_name, n_name FROM a FULL JOIN b USING (i)", "supplier", "nation")
+def _(spark, supplier, nation):
+    return J.positional_join(supplier, nation, ["s_suppkey"], ["n_nationkey"]).select("s_name", "n_name")
+
+
+@query("b4_lateral_apply", "SELECT r_name, m FROM region LEFT JOIN (SELECT n_regionkey, max(n_name) AS m FROM nation GROUP BY 1) ON n_regionkey = r_regionkey", "region", "nation")
+def _(spark, region, nation):
+    return spark.sql("SELECT r_name, m FROM {region} LEFT JOIN LATERAL (SELECT max(n_name) AS m FROM {nation} WHERE n_regionkey = r_regionkey) ON TRUE", region=region, nation=nation)
+
+
+@query("b4_nearest_value", "SELECT c_custkey, s_suppkey FROM customer, LATERAL (SELECT s_suppkey FROM supplier ORDER BY abs(c_acctbal - s_acctbal), s_acctbal, s_suppkey LIMIT 1) t WHERE c_nationkey < 10", "customer", "supplier")
+def _(spark, customer, supplier):
+    c, s = customer.where("c_nationkey < 10").withColumn("one", F.lit(1)), supplier.withColumn("one", F.lit(1))
+    return J.nearest_value(c, s, "c_acctbal", "s_acctbal", "s_suppkey", ["one"]).select("c_custkey", "s_suppkey")
+
+
+@query("b4_nearest_vectors", None, "embeddings")
+def _(spark, embeddings):
+    return J.nearest_vectors(embeddings.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), embeddings, "query_id", "embedding", "vec_id", "embedding", 5)
+
+
+@query("b4_outer_mark", "SELECT n_name, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey", "nation", "supplier")
+def _(spark, nation, supplier):
+    return nation.join(supplier, nation.n_nationkey == supplier.s_nationkey, "left").select("n_name", "s_suppkey")
+
+
+@query("b4_partitioned_outer", "WITH k AS (SELECT DISTINCT o_orderpriority FROM orders), s AS (SELECT DISTINCT o_orderstatus FROM orders), c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY 1, 2) SELECT o_orderpriority, o_orderstatus, n FROM (SELECT DISTINCT o_orderpriority FROM c) CROSS JOIN s LEFT JOIN c USING (o_orderpriority, o_orderstatus)", "orders")
+def _(spark, orders):
+    c = orders.where("o_totalprice > 150000").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    return J.partitioned_outer_join(c, orders.select("o_orderstatus").distinct(), ["o_orderpriority"], ["o_orderstatus"])
+
+
+@query("b4_array_join_outer", "SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN 'x' END AS x FROM nation", "nation")
+def _(spark, nation):
+    return nation.select("n_nationkey", F.explode_outer(F.when(F.col("n_regionkey") > 1, F.array(F.lit("x")))).alias("x"))
+
+
+@query("b4_containment_join", "SELECT count(*) AS n FROM orders a, orders b WHERE a.o_custkey = b.o_custkey AND epoch(b.o_orderdate) // 86400 >= epoch(a.o_orderdate) // 86400 AND epoch(b.o_orderdate) // 86400 + 1 <= epoch(a.o_orderdate) // 86400 + 90", "orders")
+def _(spark, orders):
+    d = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01").cast("date"))
+    a = orders.select(F.col("o_custkey").alias("k"), d.alias("a0"), (d + 90).alias("a1"))
+    b = orders.select(F.col("o_custkey").alias("k"), d.alias("b0"), (d + 1).alias("b1"))
+    return J.containment_join(a, b, ["k"], ("a0", "a1"), ("b0", "b1"), 60).agg(F.count("*").alias("n"))
+
+
+# ---- B5 aggregation
+
+
+@query("b5_group_by_distinct", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())", "orders")
+def _(spark, orders):
+    a, b = "o_orderstatus", "o_orderpriority"
+    return W.grouping_sets(orders, [*W.rollup_sets([a, b]), [b, a], []], [F.count("*").alias("n")], distinct=True)
+
+
+@query("b5_with_totals", "SELECT o_orderstatus, count(*) AS n, FALSE AS is_total FROM orders GROUP BY 1 UNION ALL SELECT NULL, count(*), TRUE FROM orders", "orders")
+def _(spark, orders):
+    return W.with_totals(orders, ["o_orderstatus"], [F.count("*").alias("n")])
+
+
+@query("b5_ordered_aggregate", "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_totalprice DESC, o_orderkey) AS ks FROM orders GROUP BY o_custkey", "orders")
+def _(spark, orders):
+    pairs = F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey")))
+    return orders.groupBy("o_custkey").agg(F.array_join(F.transform(pairs, lambda x: x["o_orderkey"].cast("string")), ",").alias("ks"))
+
+
+@query("b5_keep_first_last", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS a, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS b FROM orders GROUP BY o_custkey", "orders")
+def _(spark, orders):
+    return orders.groupBy("o_custkey").agg(W.keep_first("o_orderkey", "o_orderdate").alias("a"), W.keep_last("o_orderkey", "o_orderdate").alias("b"))
+
+
+@query("b5_parametric_combinators", "SELECT l_returnflag, round(sum(CASE WHEN l_quantity > 25 THEN l_tax END), 4) AS s, count(*) FILTER (WHERE l_quantity > 25) AS c FROM lineitem GROUP BY 1", "lineitem")
+def _(spark, lineitem):
+    return lineitem.groupBy("l_returnflag").agg(F.round(F.sum(F.when(F.col("l_quantity") > 25, F.col("l_tax"))), 4).alias("s"), F.count_if(F.col("l_quantity") > 25).alias("c"))
+
+
+@query("b5_quantile_approx", None, "lineitem")
+def _(spark, lineitem):
+    return lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_quantity", [0.1, 0.5, 0.9]).alias("q"))
+
+
+@query("b5_aggregate_state", "SELECT CAST(3 AS BIGINT) AS parts, TRUE AS near", "orders")
+def _(spark, orders):
+    states = orders.groupBy("o_orderstatus").agg(F.hll_sketch_agg("o_custkey").alias("s"))
+    n = orders.agg(F.count_distinct("o_custkey").alias("d"))
+    total = states.agg(F.count("*").alias("parts"), F.hll_sketch_estimate(F.hll_union_agg("s")).alias("e"))
+    return total.join(F.broadcast(n)).select("parts", (F.abs(F.col("e") - F.col("d")) <= 0.05 * F.col("d")).alias("near"))
+
+
+@query("b5_listagg_overflow", "SELECT n_regionkey, CASE WHEN length(s) > 20 THEN left(s, 20) || '...' ELSE s END AS s FROM (SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS s FROM nation GROUP BY 1)", "nation")
+def _(spark, nation):
+    s = F.array_join(F.array_sort(F.collect_list("n_name")), ",")
+    g = nation.groupBy("n_regionkey").agg(s.alias("s"))
+    return g.withColumn("s", F.when(F.length("s") > 20, F.concat(F.left("s", F.lit(20)), F.lit("..."))).otherwise(F.col("s")))
+
+
+@query("b5_having_max", "SELECT o_orderstatus, arg_max(o_custkey, (o_totalprice, o_custkey)) AS c FROM orders GROUP BY 1", "orders")
+def _(spark, orders):
+    return orders.groupBy("o_orderstatus").agg(F.max_by("o_custkey", F.struct("o_totalprice", "o_custkey")).alias("c"))
+
+
+@query("b5_connect_by", "WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey // 3 AS p FROM part), t(c, level, root) AS (SELECT c, 1, c FROM e WHERE c = 1 UNION ALL SELECT e.c, level + 1, root FROM t JOIN e ON e.p = t.c AND e.c <> t.c) SELECT c, level, root FROM t", "part")
+def _(spark, part):
+    e = part.select(F.col("p_partkey").alias("c"), F.floor(F.col("p_partkey") / 3).alias("p"))
+    return recursion.connect_by(e, "c", "p", F.col("c") == 1).select("c", "level", "root")
+
+
+@query("b5_model", "SELECT o_orderpriority, 1998 AS y, CAST(round(2.0 * avg(n)) AS BIGINT) AS n FROM (SELECT o_orderpriority, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2) WHERE y IN (1995, 1996) GROUP BY 1", "orders")
+def _(spark, orders):
+    import pandas as pd
+
+    cells = orders.groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+
+    def rules(pdf: pd.DataFrame) -> pd.DataFrame:
+        """n[1998] = n[1995] + n[1996]"""
+        n = pdf.set_index("y")["n"]
+        own = [int(n[y]) for y in (1995, 1996) if y in n]
+        return pd.DataFrame({"o_orderpriority": pdf["o_orderpriority"].head(1), "y": 1998, "n": sum(own) if len(own) == 2 else 2 * sum(own)}) if own else pdf.head(0)[["o_orderpriority", "y", "n"]]
+
+    return cells.groupBy("o_orderpriority").applyInPandas(rules, "o_orderpriority string, y int, n bigint")
+
+
+@query("b5_pivot_dynamic", "PIVOT (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) ON o_orderstatus USING max(o_totalprice) GROUP BY o_orderpriority", "orders")
+def _(spark, orders):
+    return W.pivot_dynamic(orders, ["o_orderpriority"], "o_orderstatus", F.max("o_totalprice"))
+
+
+_RUNS = """WITH o AS (SELECT user_id, event_id, value, row_number() OVER w AS rn, value < lag(value) OVER w AS down FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(CASE WHEN down THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY rn) AS grp FROM o)
+SELECT user_id, count(*) AS n, min(value) AS low FROM g GROUP BY user_id, grp HAVING count(*) >= 3"""
+
+
+@query("b5_match_recognize", _RUNS, "events")
+def _(spark, events):
+    m = patterns.match_recognize(events.select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"], {"DOWN": F.col("value") < F.col("prev_value")}, "A DOWN{2,}")
+    return m.groupBy("user_id", "match_no").agg(F.count("*").alias("n"), F.min("value").alias("low")).drop("match_no")
+
+
+@query("b5_match_alternation_permute", "WITH o AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id FROM o WHERE (a = 'click' AND b = 'purchase') OR (a = 'purchase' AND b = 'click')", "events")
+def _(spark, events):
+    d = {"C": F.col("event_type") == "click", "P": F.col("event_type") == "purchase"}
+    m = patterns.match_recognize(events.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], d, "PERMUTE(C, P)", after="to next row")
+    return m.where("match_row = 1").select("user_id", "event_id")
+
+
+@query("b5_json_table", "SELECT event_id, CAST(x AS INT) AS x FROM (SELECT event_id, unnest(['1', json_extract_string(props, '$.k')]) AS x FROM events)", "events")
+def _(spark, events):
+    arr = F.concat(F.lit('[{"x": 1}, {"x": '), F.get_json_object("props", "$.k"), F.lit("}]"))
+    return readers.json_rows(events.withColumn("j", arr), "j", "array<struct<x:int>>", ["event_id"])
+
+
+@query("b5_xml_table", "SELECT n_nationkey, n_name AS name FROM nation", "nation")
+def _(spark, nation):
+    x = nation.withColumn("x", F.concat(F.lit("<r><name>"), F.col("n_name"), F.lit("</name></r>")))
+    return readers.xml_rows(x, "x", "name string", ["n_nationkey"])
+
+
+# ---- B6 windows
+
+
+@query("b6_groups_frame", "SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)::BIGINT AS s FROM orders", "orders")
+def _(spark, orders):
+    return W.groups_frame(orders, "sum", "o_custkey", ["o_orderstatus"], "o_orderpriority", -1, 0, "s").select("o_orderkey", "s")
+
+
+for _kind in ("current row", "group", "ties"):
+
+    def _excluded(spark, orders, kind=_kind):
+        return W.excluded_frame(orders, "sum", "o_custkey", ["o_orderstatus"], "o_orderpriority", kind, "s").select("o_orderkey", "s")
+
+    query(f"b6_exclude_{_kind.replace(' ', '_')}", f"SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {_kind.upper()})::BIGINT AS s FROM orders", "orders")(_excluded)
+
+
+# ---- B7 order and limit
+
+
+@query("b7_limit_percent", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM r WHERE i <= floor(n * 0.05)", "orders")
+def _(spark, orders):
+    return W.limit_percent(orders, 5, ["o_totalprice", "o_orderkey"]).select("o_orderkey")
+
+
+@query("b7_limit_by", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) BETWEEN 2 AND 4", "orders")
+def _(spark, orders):
+    return W.limit_by(orders, 3, ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], offset=1).select("o_custkey", "o_orderkey")
+
+
+@query("b7_with_ties", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size) <= 10", "part")
+def _(spark, part):
+    return W.limit_with_ties(part, 10, ["p_size"]).select("p_partkey", "p_size")
+
+
+@query("b7_fetch_first", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7", "part")
+def _(spark, part):
+    return part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(7).select("p_partkey")
+
+
+@query("b7_top_percent", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i, count(*) OVER () AS n FROM part) SELECT p_partkey FROM r WHERE i <= floor(n * 0.1)", "part")
+def _(spark, part):
+    return W.limit_percent(part, 10, ["p_partkey"]).select("p_partkey")
+
+
+@query("b7_with_fill", "WITH c AS (SELECT p_size * 3 AS k, count(*) AS n FROM part GROUP BY 1), g AS (SELECT unnest(range((SELECT min(k) FROM c), (SELECT max(k) FROM c) + 1)) AS k) SELECT CAST(g.k AS BIGINT) AS k, last_value(c.n IGNORE NULLS) OVER (ORDER BY g.k) AS n FROM g LEFT JOIN c ON g.k = c.k", "part")
+def _(spark, part):
+    c = part.groupBy((F.col("p_size") * 3).cast("bigint").alias("k")).agg(F.count("*").alias("n"))
+    return W.fill(c, "k", 1, interpolate=["n"])
+
+
+# ---- B8 composition
+
+
+@query("b8_union_by_name", "SELECT s_suppkey AS k, s_name AS name, NULL AS seg FROM supplier UNION ALL BY NAME SELECT c_mktsegment AS seg, c_custkey AS k FROM customer", "supplier", "customer")
+def _(spark, supplier, customer):
+    a, b = supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), customer.select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("k"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("b8_corresponding", "SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer", "nation", "customer")
+def _(spark, nation, customer):
+    a, b = nation.select(F.col("n_nationkey").alias("k"), "n_name"), customer.select(F.col("c_nationkey").alias("k"), "c_name")
+    common = [c for c in a.columns if c in b.columns]
+    return a.select(*common).unionByName(b.select(*common)).distinct()
+
+
+# ---- B9 scalar forms
+
+
+@query("b9_slice", "SELECT n_nationkey, array_to_string([1, 2, 3, 4, 5, n_nationkey][2:5:2], ',') AS a, array_to_string([1, 2, 3, n_nationkey][-2:], ',') AS b FROM nation", "nation")
+def _(spark, nation):
+    lits = [F.lit(i) for i in range(1, 6)]
+    a, b = F.array(*lits, F.col("n_nationkey")), F.array(*lits[:3], F.col("n_nationkey"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return nation.select("n_nationkey", text(S.slice_list(a, 2, 5, 2)).alias("a"), text(S.slice_list(b, -2)).alias("b"))
+
+
+@query("b9_comprehension", "SELECT n_nationkey, array_to_string([x * 2 FOR x IN [1, 2, 3, n_nationkey] IF x > 1], ',') AS a FROM nation", "nation")
+def _(spark, nation):
+    a = F.array(F.lit(1), F.lit(2), F.lit(3), F.col("n_nationkey"))
+    return nation.select("n_nationkey", F.array_join(S.comprehension(a, lambda x: (x * 2).cast("string"), lambda x: x > 1), ",").alias("a"))
+
+
+@query("b9_method_call", "SELECT n_nationkey, n_name.lower() AS a FROM nation", "nation")
+def _(spark, nation):
+    return nation.select("n_nationkey", S.method(F.col("n_name"), "lower").alias("a"))
+
+
+@query("b9_function_names", "SELECT n_regionkey, len(list(n_name)) AS n, arg_max(n_name, n_nationkey) AS m FROM nation GROUP BY 1", "nation")
+def _(spark, nation):
+    return nation.groupBy("n_regionkey").agg(S.call("len", S.call("array_agg", F.col("n_name"))).cast("bigint").alias("n"), S.call("arg_max", F.col("n_name"), F.col("n_nationkey")).alias("m"))
+
+
+@query("b9_operator_tokens", "SELECT p_partkey, p_size // 7 AS d, p_size ** 2 AS s, p_brand LIKE 'Brand#1%' AS l, starts_with(p_brand, 'Brand') AS t FROM part", "part")
+def _(spark, part):
+    p, b = F.col("p_size"), F.col("p_brand")
+    return part.select("p_partkey", S.compare(p, "//", F.lit(7)).cast("int").alias("d"), S.compare(p, "**", F.lit(2)).alias("s"), S.compare(b, "~~", F.lit("Brand#1%")).alias("l"), S.compare(b, "^@", F.lit("Brand")).alias("t"))
+
+
+@query("b9_at_time_zone", "SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS local FROM events", "events")
+def _(spark, events):
+    return events.select("event_id", S.at_time_zone(F.col("ts"), "America/New_York").alias("local"))
+
+
+@query("b9_json_functions", "SELECT event_id, json_exists(props, '$.k') AS e, CAST(json_extract_string(props, '$.k') AS INT) AS v, '{\"id\":' || event_id || '}' AS o FROM events", "events")
+def _(spark, events):
+    p = F.col("props")
+    return events.select("event_id", S.json_exists(p, "$.k").alias("e"), S.json_value(p, "$.k", "int").alias("v"), F.to_json(F.struct(F.col("event_id").alias("id"))).alias("o"))
+
+
+@query("b9_xml_functions", "SELECT n_nationkey, n_name AS x FROM nation", "nation")
+def _(spark, nation):
+    return nation.select("n_nationkey", F.xpath_string(F.concat(F.lit("<a><b>"), F.col("n_name"), F.lit("</b></a>")), F.lit("a/b")).alias("x"))
+
+
+@query("b9_parameters", "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey > 5", "nation")
+def _(spark, nation):
+    return spark.sql("SELECT n_name FROM {nation} WHERE n_regionkey = :r AND n_nationkey > :k", args={"r": 2, "k": 5}, nation=nation)
+
+
+@query("b9_variables", "SELECT n_name FROM nation WHERE n_regionkey = 3", "nation")
+def _(spark, nation):
+    spark.sql("DECLARE OR REPLACE VARIABLE arborlake_region INT DEFAULT 1")
+    spark.sql("SET VAR arborlake_region = 3")
+    value = spark.sql("SELECT arborlake_region AS v").first().v
+    return nation.where(F.col("n_regionkey") == value).select("n_name")
+
+
+@query("b9_niladic", "SELECT TRUE AS d, TRUE AS t")
+def _(spark):
+    return spark.range(1).select((F.current_date() >= F.lit("2020-01-01").cast("date")).alias("d"), F.current_timestamp().isNotNull().alias("t"))
+
+
+# ---- B10 types
+
+
+_KINDS = ["INTEGER", "UBIGINT", "DECIMAL(10, 2)", "VARCHAR(20)", "INT[]", "STRUCT(a INT, b VARCHAR)", "MAP(VARCHAR, INT)", "Nullable(Int64)", "Array(Tuple(x Float32, y String))", "TIMESTAMP WITH TIME ZONE", "bytea", "MONEY", "LowCardinality(String)", "ROW(a BIGINT)"]
+_MEANT = ["int", "decimal(20,0)", "decimal(10,2)", "varchar(20)", "array<int>", "struct<`a`:int,`b`:string>", "map<string,int>", "bigint", "array<struct<`x`:float,`y`:string>>", "timestamp", "binary", "decimal(19,4)", "string", "struct<`a`:bigint>"]
+
+
+@query("b10_type_names", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_KINDS, _MEANT)) + ") AS t(name, spark)")
+def _(spark):
+    return spark.createDataFrame([(k, spark_type(k)) for k in _KINDS], "name string, spark string")
+
+
+# ---- B12 functions and blocks
+
+
+@query("b12_scalar_function", "SELECT n_nationkey, n_nationkey * 2 + 1 AS v FROM nation", "nation")
+def _(spark, nation):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION arborlake_twice(x INT, y INT DEFAULT 1) RETURNS INT RETURN x * 2 + y")
+    return nation.selectExpr("n_nationkey", "arborlake_twice(n_nationkey) AS v")
+
+
+@query("b12_table_macro", "SELECT n_name FROM nation WHERE n_regionkey = 1", "nation")
+def _(spark, nation):
+    nation.createOrReplaceTempView("arborlake_nation")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION arborlake_of(r INT) RETURNS TABLE (n_name STRING) RETURN SELECT n_name FROM arborlake_nation WHERE n_regionkey = r")
+    return spark.sql("SELECT * FROM arborlake_of(1)")
+
+
+@query("b12_user_aggregate", "SELECT o_orderstatus, round(exp(avg(ln(o_totalprice))), 2) AS g FROM orders GROUP BY 1", "orders")
+def _(spark, orders):
+    return orders.groupBy("o_orderstatus").agg(F.round(F.exp(F.avg(F.log("o_totalprice"))), 2).alias("g"))
+
+
+@query("b12_user_table_function", "SELECT n_nationkey, unnest(string_split(n_name, 'A')) AS piece FROM nation", "nation")
+def _(spark, nation):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="piece string")
+    class Pieces:
+        def eval(self, s: str):
+            for p in s.split("A"):
+                yield (p,)
+
+    spark.udtf.register("arborlake_pieces", Pieces)
+    nation.createOrReplaceTempView("arborlake_nation")
+    return spark.sql("SELECT n_nationkey, piece FROM arborlake_nation, LATERAL arborlake_pieces(n_name)")
+
+
+@query("b12_prepared", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 4", "nation")
+def _(spark, nation):
+    nation.createOrReplaceTempView("arborlake_nation")
+    return spark.sql("EXECUTE IMMEDIATE 'SELECT count(*) AS n FROM arborlake_nation WHERE n_regionkey = ?' USING 4")
+
+
+@query("b12_block", "SELECT 45 AS total")
+def _(spark):
+    return spark.sql("BEGIN DECLARE i INT DEFAULT 0; DECLARE total INT DEFAULT 0; WHILE i < 10 DO SET total = total + i; SET i = i + 1; END WHILE; SELECT total; END")
+
+
+@query("b12_handler", "SELECT 'caught' AS r")
+def _(spark):
+    return spark.sql("BEGIN DECLARE r STRING DEFAULT 'none'; BEGIN DECLARE EXIT HANDLER FOR DIVIDE_BY_ZERO BEGIN SET r = 'caught'; END; SELECT 1 / 0; END; SELECT r; END")
+
+
+# ---- B13 introspection
+
+
+@query("b13_summarize", "SELECT column_name, min, max, n_null, n_rows FROM (SELECT 'n_nationkey' AS column_name, min(n_nationkey)::VARCHAR AS min, max(n_nationkey)::VARCHAR AS max, CAST(0 AS BIGINT) AS n_null, count(*) AS n_rows FROM nation UNION ALL SELECT 'n_name', min(n_name), max(n_name), 0, count(*) FROM nation UNION ALL SELECT 'n_regionkey', min(n_regionkey)::VARCHAR, max(n_regionkey)::VARCHAR, 0, count(*) FROM nation)", "nation")
+def _(spark, nation):
+    return W.summarize(nation).select("column_name", "min", "max", "n_null", "n_rows")
+
+
+@query("b13_describe", "SELECT * FROM (VALUES ('r_name', 'string'), ('r_regionkey', 'int')) AS t(col_name, data_type)", "region")
+def _(spark, region):
+    region.createOrReplaceTempView("arborlake_region")
+    return spark.sql("DESCRIBE arborlake_region").select("col_name", "data_type")
+
+
+@query("b13_explain", "SELECT TRUE AS has_scan", "region")
+def _(spark, region):
+    region.createOrReplaceTempView("arborlake_region")
+    return spark.sql("EXPLAIN FORMATTED SELECT * FROM arborlake_region").select(F.col("plan").contains("Scan parquet").alias("has_scan"))
+
+
+@query("b13_show", None)
+def _(spark):
+    return spark.sql("SHOW FUNCTIONS LIKE 'array_*'")
+
+
+# ---- B14 other query languages
+
+
+@query("b14_last_write_wins", "SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id", "events")
+def _(spark, events):
+    return C.last_write(events, ["user_id"], ["value", "event_type"], "event_id")
+
+
+@query("b14_graph_pattern", "SELECT a.n_name AS x, c.r_name AS y FROM supplier s JOIN nation a ON s.s_nationkey = a.n_nationkey JOIN region c ON a.n_regionkey = c.r_regionkey GROUP BY 1, 2", "supplier", "nation", "region")
+def _(spark, supplier, nation, region):
+    t = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("s"), F.lit("in").alias("p"), F.concat(F.lit("n"), "s_nationkey").alias("o"))
+    t = t.unionAll(nation.select(F.concat(F.lit("n"), "n_nationkey"), F.lit("part"), F.concat(F.lit("r"), "n_regionkey")))
+    t = t.unionAll(nation.select(F.concat(F.lit("n"), "n_nationkey"), F.lit("name"), "n_name")).unionAll(region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("name"), "r_name"))
+    # SELECT DISTINCT ?x ?y { ?s in ?n . ?n name ?x . ?n part ?r . ?r name ?y }
+    one = t.where("p = 'in'").select("s", F.col("o").alias("n"))
+    two = t.where("p = 'name'").select(F.col("s").alias("n"), F.col("o").alias("x"))
+    three = t.where("p = 'part'").select(F.col("s").alias("n"), F.col("o").alias("r"))
+    four = t.where("p = 'name'").select(F.col("s").alias("r"), F.col("o").alias("y"))
+    return one.join(two, "n").join(three, "n").join(four, "r").select("x", "y").distinct()
+
+
+@query("b14_property_path", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1), t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t", "part")
+def _(spark, part):
+    e = part.where("p_partkey > 1").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b"))
+    return recursion.closure(e, "a", "b")
+
+
+@query("b14_nested_selection", "SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_regionkey = 1", "nation")
+def _(spark, nation):
+    nested = nation.select(F.struct(F.col("n_nationkey").alias("key"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("info")).alias("nation"))
+    return nested.where("nation.info.region = 1").select("nation.key", "nation.info.name")
+
+
+# ---- A4.5 range sets
+
+_SETS = "WITH a AS (SELECT user_id AS k, event_id % 60 AS s, event_id % 60 + 7 AS e FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id AS k, event_id % 60 AS s, event_id % 60 + 5 AS e FROM events WHERE event_id % 2 = 1), pa AS (SELECT DISTINCT k, unnest(range(s, e)) AS p FROM a), pb AS (SELECT DISTINCT k, unnest(range(s, e)) AS p FROM b), r AS ({}), g AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM r) SELECT k, CAST(min(p) AS BIGINT) AS start, CAST(max(p) + 1 AS BIGINT) AS \"end\" FROM g GROUP BY k, i"
+
+
+def _two(events):
+    mod = F.col("event_id") % 60
+    a = events.where("event_id % 2 = 0").select(F.col("user_id").alias("k"), mod.alias("start"), (mod + 7).alias("end"))
+    b = events.where("event_id % 2 = 1").select(F.col("user_id").alias("k"), mod.alias("start"), (mod + 5).alias("end"))
+    return a, b
+
+
+@query("a4_ranges_union", _SETS.format("SELECT k, p FROM pa UNION SELECT k, p FROM pb"), "events")
+def _(spark, events):
+    a, b = _two(events)
+    return ranges.normalise(a.unionAll(b), ["k"])
+
+
+@query("a4_ranges_intersect", _SETS.format("SELECT k, p FROM pa INTERSECT SELECT k, p FROM pb"), "events")
+def _(spark, events):
+    return ranges.intersect(*_two(events), ["k"])
+
+
+@query("a4_ranges_difference", _SETS.format("SELECT k, p FROM pa EXCEPT SELECT k, p FROM pb"), "events")
+def _(spark, events):
+    return ranges.difference(*_two(events), ["k"])
+
+
+@query("a4_ranges_symmetric_difference", _SETS.format("(SELECT k, p FROM pa EXCEPT SELECT k, p FROM pb) UNION (SELECT k, p FROM pb EXCEPT SELECT k, p FROM pa)"), "events")
+def _(spark, events):
+    return ranges.symmetric_difference(*_two(events), ["k"])
