@@ -1 +1,315 @@
+"""Queries over syntax trees of events.props (JSON), pages.html (HTML) and SQL texts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborlake.operators import trees as T
+from arborlake.plans.registry import register
+from arborlake.session import table
+from arborlake.sources import readers
+
+SQL_TEXTS = [
+    (1, "SELECT a, b FROM t WHERE x = 'é' -- note\n; DELETE FROM t WHERE y IN (1, 2)"),
+    (2, "insert into t values (1, 'x;y'); /* c */ select count(*) from t"),
+    (3, "WITH q AS (SELECT 1) SELECT * FROM q"),
+]
+
+
+def _json(spark, sf_dir):
+    return T.parse(table(spark, sf_dir, "events"), "json", "event_id", "props")
+
+
+def _html(spark, sf_dir):
+    return T.parse(table(spark, sf_dir, "pages"), "html", "page_id", "html")
+
+
+def _sql(spark, sf_dir):
+    return T.parse(spark.createDataFrame(SQL_TEXTS, "doc_id bigint, text string"), "sql")
+
+
+def query(name: str, sql: str | None = None):
+    return register(name, sql)
+
+
+@query("a1_parse_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _json(spark, sf_dir)
+    return n.where("field = 'value' and kind = 'number'").select("event_id", F.col("text").cast("int").alias("k"))
+
+
+@query("a1_parse_html", "SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS BIGINT) AS n_tags FROM pages")
+def _(spark, sf_dir):
+    n = _html(spark, sf_dir)
+    return n.where("kind in ('start_tag', 'self_closing_tag')").groupBy("page_id").agg(F.count("*").alias("n_tags"))
+
+
+@query("a1_parse_sql", "SELECT * FROM (VALUES (1, 2), (2, 2), (3, 1)) AS t(doc_id, n)")
+def _(spark, sf_dir):
+    return _sql(spark, sf_dir).where("kind = 'statement'").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("a1_included_ranges", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("html", F.concat(F.lit("<b>é</b>"), "props")).withColumn("r", F.array(F.struct(F.lit(9).alias("start"), (F.octet_length("props") + 9).alias("end"))))
+    n = T.parse(e, "json", "event_id", "html", "r")
+    v = n.where("field = 'value'").join(e.select("event_id", F.encode("html", "UTF-8").alias("b")), "event_id")
+    return v.select("event_id", F.substring("b", F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")).cast("string").cast("int").alias("k"))
+
+
+@query("a1_decode_utf16", "SELECT event_id, props AS t FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-16LE").alias("b"))
+    return e.select("event_id", readers.decode_text(F.col("b"), "UTF-16LE").alias("t"))
+
+
+@query("a1_decode_custom", "SELECT event_id, upper(event_type) AS t FROM events")
+def _(spark, sf_dir):
+    decode = readers.decode_custom(lambda b: b.decode("ascii").upper())
+    return table(spark, sf_dir, "events").select("event_id", decode(F.col("event_type").cast("binary")).alias("t"))
+
+
+@query("a2_tokens", "SELECT kind, CAST(n AS BIGINT) AS n FROM (VALUES ('keyword', 17), ('identifier', 11), ('number', 4), ('string', 2), ('comment', 2)) AS t(kind, n)")
+def _(spark, sf_dir):
+    n = _sql(spark, sf_dir)
+    return n.where("kind in ('keyword', 'identifier', 'number', 'string', 'comment')").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("a2_tokenise_regexp", "SELECT page_id, CAST(len(regexp_extract_all(url, '[a-z]+')) AS BIGINT) AS n FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.expr("regexp_extract_all(url, '[a-z]+', 0)")).cast("bigint").alias("n"))
+
+
+@query("a3_error_summary", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS errors FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir).where("node_id = 0")
+    return n.agg(F.count("*").alias("n"), F.sum(F.col("has_error").cast("bigint")).alias("errors"))
+
+
+@query("a3_recovery", "SELECT * FROM (VALUES (1, '(document (object (pair key: (string (string_content)) value: (MISSING null))))'), (2, '(document (array (number) (ERROR) (MISSING '']'')))')) AS t(doc_id, sexp)")
+def _(spark, sf_dir):
+    return T.sexps(spark.createDataFrame([(1, '{"a": }'), (2, "[1 @")], "doc_id int, text string"), "json")
+
+
+@query("a4_edit", "SELECT event_id, CAST(7 AS BIGINT) AS moved FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir)
+    e = n.select("event_id").distinct().select("event_id", F.lit(0).alias("start"), F.lit(0).alias("old_end"), F.lit(7).alias("new_end"))
+    both = T.edited(n, e, "event_id").where("field = 'value'").select("event_id", F.col("start_byte").alias("b")).join(n.where("field = 'value'").select("event_id", "start_byte"), "event_id")
+    return both.select("event_id", (F.col("b") - F.col("start_byte")).cast("bigint").alias("moved"))
+
+
+@query("a4_changed_ranges", "SELECT event_id, CAST(6 AS BIGINT) AS start FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    after = e.withColumn("props", F.regexp_replace("props", r"\d+", "true"))
+    c = T.changed_ranges(T.parse(e, "json", "event_id", "props"), T.parse(after, "json", "event_id", "props"), "event_id")
+    return c.groupBy("event_id").agg(F.min("start").cast("bigint").alias("start"))
+
+
+@query("a4_parse_again", "SELECT event_id FROM events WHERE event_id % 10 = 3")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    after = e.withColumn("props", F.when(F.col("event_id") % 10 == 3, F.lit("{}")).otherwise(F.col("props")))
+    return T.to_parse_again(e, after, "event_id", "props").select("event_id")
+
+
+@query("a5_parent", "SELECT event_id, 'pair' AS parent_kind FROM events")
+def _(spark, sf_dir):
+    return T.parents(_json(spark, sf_dir), "event_id").where("kind = 'number'").select("event_id", "parent_kind")
+
+
+@query("a5_child", "SELECT event_id, 'k' AS t FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir)
+    return T.child(n, 1).where("kind = 'string_content'").select("event_id", F.col("text").alias("t"))
+
+
+@query("a5_child_by_field", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
+def _(spark, sf_dir):
+    return T.child_by_field(_json(spark, sf_dir), "value", "event_id").select("event_id", F.col("text").alias("v"))
+
+
+@query("a5_siblings", "SELECT event_id, ':' AS next_kind, 'number' AS next_named_kind, CAST(2 AS BIGINT) AS n_later FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir)
+    s = T.siblings(n, "event_id").where("field = 'key'")
+    k = n.select("event_id", "node_id", "kind")
+    a = k.select("event_id", F.col("node_id").alias("next_sibling"), F.col("kind").alias("next_kind"))
+    b = k.select("event_id", F.col("node_id").alias("next_named"), F.col("kind").alias("next_named_kind"))
+    return s.join(a, ["event_id", "next_sibling"]).join(b, ["event_id", "next_named"]).select("event_id", "next_kind", "next_named_kind", "n_later")
+
+
+@query("a5_counts", "SELECT event_id, CAST(3 AS BIGINT) AS children, CAST(1 AS BIGINT) AS named, CAST(length(props) AS BIGINT) AS bytes FROM events")
+def _(spark, sf_dir):
+    o = _json(spark, sf_dir).where("kind = 'object'")
+    return o.select("event_id", F.col("n_children").cast("bigint").alias("children"), F.col("n_named").cast("bigint").alias("named"), (F.col("end_byte") - F.col("start_byte")).cast("bigint").alias("bytes"))
+
+
+@query("a5_node_text", "SELECT event_id, props AS t FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return T.text_of(_json(spark, sf_dir).where("kind = 'object'"), e, "event_id", "props").select("event_id", F.col("node_text").alias("t"))
+
+
+@query("a5_descendant_for_range", "SELECT event_id, 'string_content' AS kind FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir)
+    r = n.select("event_id").distinct().select("event_id", F.lit(2).alias("range_start"), F.lit(3).alias("range_end"))
+    return T.descendant_for_range(n, r, "event_id").select("event_id", "kind")
+
+
+@query("a5_first_child_for_byte", "SELECT event_id, ':' AS kind FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir)
+    o = n.where("kind = 'pair'").select("event_id", F.col("node_id").alias("parent_id"), F.lit(4).alias("offset"))
+    return T.first_child_for_byte(n, o, "event_id").select("event_id", "kind")
+
+
+@query("a5_descendants", "SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<a ')) AS BIGINT) AS links FROM pages")
+def _(spark, sf_dir):
+    n = _html(spark, sf_dir)
+    name = n.where("kind = 'tag_name' and text = 'nav'")
+    tag = n.join(name.select("page_id", "layer_id", F.col("parent_id").alias("node_id")), ["page_id", "layer_id", "node_id"], "left_semi")
+    element = n.join(tag.where("kind = 'start_tag'").select("page_id", "layer_id", F.col("parent_id").alias("node_id")), ["page_id", "layer_id", "node_id"], "left_semi")
+    below = T.descendants(n, element, "page_id").where("kind = 'tag_name' and text = 'a'")
+    starts = n.where("kind = 'start_tag'").select("page_id", F.col("node_id").alias("parent_id"))
+    return below.join(starts, ["page_id", "parent_id"]).groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+@query("a5_sexp", "SELECT event_id, '(document (object (pair key: (string (string_content)) value: (number))))' AS sexp FROM events")
+def _(spark, sf_dir):
+    return T.sexps(table(spark, sf_dir, "events"), "json", "event_id", "props")
+
+
+@query("a6_preorder", "SELECT event_id, 'document/object/{/pair/string/\"/string_content/\"/:/number/}' AS walk FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir)
+    return n.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "kind"))), lambda x: x["kind"]), "/").alias("walk"))
+
+
+@query("a7_node_types", "SELECT 'pair' AS kind, 'key,value' AS fields, count(*) AS n FROM events")
+def _(spark, sf_dir):
+    t = T.node_types(_json(spark, sf_dir)).where("kind = 'pair'")
+    return t.select("kind", F.array_join("fields", ",").alias("fields"), "n")
+
+
+@query("a7_expected_next", "SELECT ':' AS kind, 'number' AS next_kind, count(*) AS n FROM events")
+def _(spark, sf_dir):
+    return T.expected_next(_json(spark, sf_dir), "event_id").where("kind = ':'").select("kind", "next_kind", "n")
+
+
+@query("a8_fields_and_captures", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(table(spark, sf_dir, "events"), "json", "(pair key: (string (string_content) @k) value: (number) @v)", "event_id", "props")
+    return m.select("event_id", F.col("captures")[0]["text"].alias("key"), F.col("captures")[1]["text"].alias("value"))
+
+
+@query("a8_join_plan", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir)
+    m = T.join_query(n, "(pair key: (string (string_content) @k) value: (number) @v)", 0, "event_id")
+    t = n.select("event_id", "node_id", "text")
+    m = m.join(t.select("event_id", F.col("node_id").alias("k"), F.col("text").alias("key")), ["event_id", "k"])
+    return m.join(t.select("event_id", F.col("node_id").alias("v"), F.col("text").alias("value")), ["event_id", "v"]).select("event_id", "key", "value")
+
+
+@query("a8_quantifier", "SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<li>')) AS BIGINT) AS items FROM pages")
+def _(spark, sf_dir):
+    m = T.query_texts(table(spark, sf_dir, "pages"), "html", '(element (start_tag (tag_name) @t) (element)+ @li (#eq? @t "ul"))', "page_id", "html")
+    return m.groupBy("page_id").agg(F.max(F.size("captures") - 1).cast("bigint").alias("items"))
+
+
+@query("a8_alternation_anchor_wildcard", "SELECT event_id, CAST(3 AS BIGINT) AS n FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(table(spark, sf_dir, "events"), "json", '[(string) (number)] @s\n(pair . (_) @first)\n(pair "x" @none)', "event_id", "props")
+    return m.groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("a8_negated_field", "SELECT event_id, CAST(0 AS BIGINT) AS n FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(table(spark, sf_dir, "events"), "json", "(pair !value) @p\n(document) @d", "event_id", "props")
+    return m.groupBy("event_id").agg(F.count_if(F.col("pattern_index") == 0).alias("n"))
+
+
+@query("a9_match", "SELECT event_id FROM events WHERE regexp_matches(json_extract_string(props, '$.k'), '^[1-4]')")
+def _(spark, sf_dir):
+    return T.query_texts(table(spark, sf_dir, "events"), "json", '((number) @n (#match? @n "^[1-4]"))', "event_id", "props").select("event_id")
+
+
+@query("a9_any_of", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IN ('1', '2', '30')")
+def _(spark, sf_dir):
+    return T.query_texts(table(spark, sf_dir, "events"), "json", '((number) @n (#any-of? @n "1" "2" "30"))', "event_id", "props").select("event_id")
+
+
+@query("a9_any_compat", "SELECT event_id FROM events")
+def _(spark, sf_dir):
+    return T.query_texts(table(spark, sf_dir, "events"), "json", '((number) @n (#any-eq? @n "no such"))', "event_id", "props").select("event_id")
+
+
+@query("a9_any_strict", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+def _(spark, sf_dir):
+    return T.query_texts(table(spark, sf_dir, "events"), "json", '((number) @n (#any-eq? @n "7"))', "event_id", "props", strict=True).select("event_id")
+
+
+@query("a10_captures", "SELECT event_id, i AS seq, name FROM events, (VALUES (1, 'p'), (2, 'k'), (3, 'v')) AS t(i, name)")
+def _(spark, sf_dir):
+    m = T.query_texts(table(spark, sf_dir, "events"), "json", "(number) @v\n(pair key: (string) @k) @p", "event_id", "props")
+    return T.captures(m, "event_id").select("event_id", "seq", "name")
+
+
+@query("a10_ranges_and_depth", "SELECT event_id, CAST(1 AS BIGINT) AS n FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(table(spark, sf_dir, "events"), "json", "(_) @n", "event_id", "props", byte_range=(0, 1), max_start_depth=1)
+    return m.where(F.col("captures")[0]["kind"] == "object").groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("a11_layers", "SELECT page_id, language, depth FROM pages, (VALUES ('html', 0), ('css', 1), ('javascript', 1)) AS t(language, depth)")
+def _(spark, sf_dir):
+    return T.layers(table(spark, sf_dir, "pages"), "html", "page_id", "html").select("page_id", "language", "depth")
+
+
+@query("a11_layered_nodes", "SELECT page_id, 'track' AS f FROM pages")
+def _(spark, sf_dir):
+    n = T.layered_nodes(table(spark, sf_dir, "pages"), "html", "page_id", "html")
+    return n.where("language = 'javascript' and kind = 'identifier' and text = 'track'").select("page_id", F.col("text").alias("f"))
+
+
+@query("a12_highlight", "SELECT event_id, 'string.special.key' AS a, 'number' AS b FROM events")
+def _(spark, sf_dir):
+    h = T.highlight(table(spark, sf_dir, "events"), "json", "event_id", "props")
+    return h.groupBy("event_id").agg(F.max(F.when(F.col("seq") == 0, F.col("capture"))).alias("a"), F.max(F.when(F.col("seq") == 1, F.col("capture"))).alias("b"))
+
+
+@query("a12_events", "SELECT event_id, 'start,end,start,end' AS kinds FROM events")
+def _(spark, sf_dir):
+    h = T.highlight_events(T.highlight(table(spark, sf_dir, "events"), "json", "event_id", "props"), "event_id")
+    return h.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]), ",").alias("kinds"))
+
+
+@query("a12_styles", "SELECT event_id, 'green' AS a, 'plain' AS b FROM events")
+def _(spark, sf_dir):
+    styles = spark.createDataFrame([("string", "green"), ("comment", "grey")], "name string, style string")
+    h = T.styled(T.highlight(table(spark, sf_dir, "events"), "json", "event_id", "props"), styles, "plain")
+    return h.groupBy("event_id").agg(F.max(F.when(F.col("seq") == 0, F.col("style"))).alias("a"), F.max(F.when(F.col("seq") == 1, F.col("style"))).alias("b"))
+
+
+@query("a12_locals", "SELECT * FROM (VALUES (1, 'x', 10, 5), (1, 'x', 30, 25), (1, 'y', 31, NULL), (1, 'x', 60, 5)) AS t(doc_id, name, offset_, def_offset)")
+def _(spark, sf_dir):
+    refs = spark.createDataFrame([(1, "x", 10), (1, "x", 30), (1, "y", 31), (1, "x", 60)], "doc_id int, name string, offset int")
+    defs = spark.createDataFrame([(1, "x", 5), (1, "x", 25), (1, "y", 55)], "doc_id int, name string, offset int")
+    scopes = spark.createDataFrame([(1, 0, 100, True), (1, 20, 40, True)], "doc_id int, scope_start int, scope_end int, inherits boolean")
+    return T.resolve(refs, defs, scopes).withColumnRenamed("offset", "offset_")
+
+
+@query("a12_tags", "SELECT 'track' AS name, count(*) AS n FROM pages")
+def _(spark, sf_dir):
+    n = T.layered_nodes(table(spark, sf_dir, "pages"), "html", "page_id", "html")
+    return n.where("language = 'javascript' and kind = 'identifier' and text = 'track'").groupBy(F.col("text").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("a12_colours", "SELECT * FROM (VALUES (255, 0, 0, 196), (8, 8, 8, 232), (0, 0, 255, 21), (128, 128, 128, 244)) AS t(r, g, b, index)")
+def _(spark, sf_dir):
+    c = spark.createDataFrame([(255, 0, 0), (8, 8, 8), (0, 0, 255), (128, 128, 128)], "r int, g int, b int")
+    return T.nearest_colours(c, T.xterm_palette(spark))
