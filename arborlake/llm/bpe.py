@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arborlake.llm.common import map_slices, read
 
 #: Words that a task keeps with their encoding; beyond it the cache starts anew. A bound of memory only.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -88,7 +88,7 @@ class Automaton:
             return True
         key = state << 32 | token
         if (to := self.rows.get(key)) is None:
-            if len(self.rows) > 2_000_000:
+            if len(self.rows) > 400_000:
                 self.rows.clear()
             to = self.rows[key] = self._open(state, token)
         return to
@@ -161,6 +161,11 @@ class WordBpe:
         self.label = self.automaton.label | {i: t for t, i in self.special.items()}
         self.words: dict[str, tuple[list[int], str, str]] = {}
 
+    def forget(self) -> None:
+        """Lets the cached words and transitions go."""
+        self.words.clear()
+        self.automaton.rows.clear()
+
     def word(self, w: str) -> tuple[list[int], str, str]:
         """A split word's ids, their decimal form and their labels, the last two joined by spaces."""
         if (got := self.words.get(w)) is None:
@@ -227,6 +232,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [bpe.pieces(t or "") for t in texts]
             return [ids, [[i for p in ps for i in p[0]] for ps in found], [" ".join(p[2] for p in ps) for ps in found]]
 
+        f.close = bpe.forget
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -245,6 +251,7 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [bpe.pieces(t or "") for t in texts]
             return [ids, [sum(len(p[0]) for p in ps) for ps in found], [sha(" ".join([p[1] for p in ps])) for ps in found], [sha(" ".join([p[2] for p in ps])) for ps in found]]
 
+        f.close = bpe.forget
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -264,6 +271,7 @@ def encode_with_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             tokens = [[i for p in ps for i in p[0]] for ps in found]
             return [ids, tokens, [len(t) for t in tokens], [sha(" ".join([p[1] for p in ps])) for ps in found], [sha(" ".join([p[2] for p in ps])) for ps in found]]
 
+        f.close = bpe.forget
         return f
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -34,17 +34,21 @@ def map_slices(df: DataFrame, columns: list, make: Callable, schema: str, rows:
     """One output row or more for the rows of a slice, by Arrow and without a shuffle.
 
     make() runs once a task and returns f, which gets one list per column for up to `rows` rows and
-    returns one list per output column. Only the named columns leave the JVM, so others may have any name.
+    returns one list per output column. Only the named columns leave the JVM, so others may have any name. If f has a
+    `close`, it is called as the task ends, so that workers, which live on, keep nothing of it.
     """
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = f(*[c.to_pylist() for c in batch.slice(at, rows).columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(out, arrow, strict=True)], schema=arrow)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    out = f(*[c.to_pylist() for c in batch.slice(at, rows).columns])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(out, arrow, strict=True)], schema=arrow)
+        finally:
+            getattr(f, "close", lambda: None)()
 
     return df.select(*columns).mapInArrow(run, kind)
 
