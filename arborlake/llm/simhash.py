@@ -12,6 +12,8 @@ so that rows grow with the members and no component is lost.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -112,24 +114,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 BINS, BANDS, BAND_ROWS = 256, 20, 5
-#: Estimated from 256 bins, whose error at 0.8 is 0.025, so that a similarity of 0.8 passes 39 times in 40.
-LEAST_ESTIMATE = 0.75
+#: Texts are near copies if their sets of five-word shingles have this similarity.
+SIMILARITY = 0.8
+#: By 256 bins, whose error at 0.8 is 0.025: below the first a pair is none, from the second on it is one; between them texts decide.
+UNLIKELY, LIKELY = 0.7, 0.93
+#: Meetings of more texts than this compare each with three hubs, smaller ones all pairs.
+MEETING = 32
 _DONORS = np.argsort(np.random.default_rng(17).random((BINS, BINS)), axis=1)
+_BREAKS = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
-def sketch(text: str | None, width: int = 5, seed: int = 43) -> np.ndarray | None:
-    """The least shingle hash in each of 256 bins of the hash range, 48 bits of it; empty bins take another's. None without words."""
-    words = (text or "").encode("utf-8").lower().split()
+def _shingle_hashes(text: str | None, width: int = 5, seed: int = 43) -> np.ndarray:
+    """Sorted hashes of the shingles of words without their punctuation; texts of fewer words are one shingle, without words none."""
+    words = [w for w in _BREAKS.split((text or "").encode("utf-8").lower()) if w]
     if not words:
-        return None
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        h = np.array([digest(whole, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = np.sort(np.array([digest(whole[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())], np.uint64))
+        return np.array([digest(whole, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.sort(np.array([digest(whole[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())], np.uint64))
+
+
+def sketch(text: str | None, width: int = 5) -> np.ndarray | None:
+    """The least shingle hash in each of 256 bins of the hash range, 48 bits of it; empty bins take another's. None without words."""
+    h = _shingle_hashes(text, width)
+    if not len(h):
+        return None
     at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
     least = h[np.minimum(at, len(h) - 1)]
     full = (at < len(h)) & (least >> np.uint64(56) == np.arange(BINS))
@@ -139,43 +152,75 @@ def sketch(text: str | None, width: int = 5, seed: int = 43) -> np.ndarray | Non
     return least & np.uint64((1 << 48) - 1)
 
 
+def similarity(a: str | None, b: str | None) -> float:
+    """Of the sets of five-word shingles; 1 for two texts without words."""
+    x, y = np.unique(_shingle_hashes(a)), np.unique(_shingle_hashes(b))
+    if not len(x) and not len(y):
+        return 1.0
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)
+
+
 def _copies_prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, sketch, bands); sketch: 256 numbers of 15 bits; bands: 20 numbers. Both empty for texts without words."""
+    """(id, th, fp, sketch, bands); th: a hash of the text; sketch: 256 numbers of 15 bits; bands: 20 numbers. Both empty for texts without words."""
 
     def make():
+        signed = lambda v: v - (v >> 63 << 64)
+
         def f(ids, texts):
-            prints, sketches, bands = [], [], []
+            hashes, prints, sketches, bands = [], [], [], []
             for t in texts:
-                v = fingerprint(t)
-                prints.append(v - (v >> 63 << 64))
+                hashes.append(signed(xxhash.xxh64_intdigest((t or "").encode("utf-8"), 42)))
+                prints.append(signed(fingerprint(t)))
                 k = sketch(t)
                 sketches.append([] if k is None else (k & np.uint64(0x7FFF)).astype(np.int16))
                 bands.append([] if k is None else [xxhash.xxh64_intdigest(k[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) >> 1 for b in range(BANDS)])
-            return [ids, prints, sketches, bands]
+            return [ids, hashes, prints, sketches, bands]
 
         return f
 
-    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp bigint, sketch array<smallint>, bands array<bigint>")
+    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, th bigint, fp bigint, sketch array<smallint>, bands array<bigint>")
 
 
-def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) as near_duplicates(), with links also between texts of similar five-word shingles.
+def _met(each: DataFrame, meeting: int) -> DataFrame:
+    """Pairs (a, b) of texts that share a band: all of a small meeting, else each with the one that met most others and with those of the least and greatest hash."""
+    keys = each.select("th", F.explode("bands").alias("k"))
+    met = cut(keys.join(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"))
+    few = met.where(F.col("n") <= meeting)
+    small = few.select("k", F.col("th").alias("a")).join(few.select("k", F.col("th").alias("b")), "k").where("a < b").select("a", "b")
+    large = met.where(F.col("n") > meeting)
+    weight = large.groupBy("th").agg(F.sum("n").alias("w"))
+    hubs = large.join(weight, "th").groupBy("k").agg(F.max(F.struct("w", "th"))["th"].alias("x"), F.min("th").alias("y"), F.max("th").alias("z"))
+    hubs = cut(hubs.select("k", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("hub")))
+    crowded = large.join(hubs, "k").where("th <> hub").select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b"))
+    return small.unionAll(crowded).distinct()
+
 
-    Texts that agree in a band of the sketch meet. Each is compared with the hub of the meeting, the text that met the
-    most others in all its bands, so that rows grow with the members of a group, whatever its size.
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
+    """(id, component_id) of each row: components of texts with a similarity of 0.8 or more; of the ids in a component the smallest.
+
+    Candidates are SimHash links, texts of one fingerprint and texts that share a band of their sketches. Sketches rule
+    most pairs in or out; texts decide the rest exactly. df has no null ids.
     """
     prints = cut(_copies_prints(df, id_col, text_col))
-    each = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
-    keys = each.select("fp", F.explode("bands").alias("k"))
-    met = cut(keys.join(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"))
-    weight = met.groupBy("fp").agg(F.sum("n").alias("w"))
-    hubs = met.join(weight, "fp").groupBy("k").agg(F.max(F.struct("w", "fp")).alias("hub")).select("k", F.col("hub.fp").alias("hub"))
-    pairs = met.join(hubs, "k").where("fp <> hub").select("fp", "hub").distinct()
-    own, other = each.select("fp", "sketch"), each.select(F.col("fp").alias("hub"), F.col("sketch").alias("hub_sketch"))
-    same = F.expr(f"size(filter(zip_with(sketch, hub_sketch, (x, y) -> x = y), z -> z)) >= {LEAST_ESTIMATE * BINS}")
-    near = pairs.join(own, "fp").join(other, "hub").where(same).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    tied = cut(components(links(each.select("fp")).unionAll(near), "a", "b"))
-    return prints.select(id_col, "fp").join(_labels(each.select("fp", "least"), tied), "fp").select(id_col, "fp", "component_id")
+    each = cut(prints.groupBy("th").agg(F.min(id_col).alias("least"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
+    reps = cut(each.groupBy("fp").agg(F.min("th").alias("rep")))
+    equal = each.select("th", "fp").join(reps, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+    near = links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    pairs = equal.unionAll(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(_met(each, meeting)).distinct()
+    own, other = each.select(F.col("th").alias("a"), F.col("sketch").alias("x")), each.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
+    share = F.expr(f"if(size(x) = 0 or size(y) = 0, if(size(x) = size(y), 1D, 0D), size(filter(zip_with(x, y, (p, q) -> p = q), z -> z)) / {BINS}D)")
+    judged = cut(pairs.join(own, "a").join(other, "b").select("a", "b", share.alias("s")).where(F.col("s") >= UNLIKELY))
+    open_pairs = judged.where(F.col("s") < LIKELY).select("a", "b")
+    asked = broadcast_if_small(open_pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), 1_000_000)  # 8 bytes each
+    texts = df.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))  # the hash of _copies_prints()
+    texts = cut(texts.join(asked, "th").dropDuplicates(["th"]))
+    both = open_pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
+    exact = map_slices(both, ["a", "b", "ta", "tb"], lambda: lambda a, b, ta, tb: [a, b, [similarity(x, y) for x, y in zip(ta, tb)]], "a bigint, b bigint, s double")
+    linked = judged.where(F.col("s") >= LIKELY).unionAll(exact.where(F.col("s") >= SIMILARITY)).select("a", "b")
+    tied = cut(components(linked, "a", "b"))
+    labels = _labels(each.select(F.col("th").alias("fp"), "least"), tied).withColumnRenamed("fp", "th")
+    return prints.select(id_col, "th").join(labels, "th").select(id_col, "component_id")
 
 
 def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
