@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.operators.storage import cut
+
 #: Rows of the smaller side that are broadcast at most by the joins here; beyond it they shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -21,11 +23,13 @@ def with_row_index(df: DataFrame, order: list, name: str = "row_index") -> DataF
     """Adds 0, 1, 2 .. in the given order without bringing all rows into one task.
 
     Rows are laid out by range and sorted there; each range's start is the sum of the sizes before it, which is one
-    number a partition. The order should be total, else ties fall as they do.
+    number a partition. The layout is written once, as another run would sample other ranges. The order should be
+    total, else ties fall as they do.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    laid = cut(laid)
     sizes = {r["_pid"]: r["n"] for r in laid.groupBy("_pid").agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
     for pid in sorted(sizes):

@@ -37,9 +37,9 @@ def test_asof_with_and_without_buckets(spark):
 
 
 def test_row_index(spark):
-    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x")).repartition(5)
+    df = spark.range(20011).select((F.col("id") * 37 % 20011).alias("x")).repartition(5)
     got = joins.with_row_index(df, ["x"], "n").collect()
-    assert all(r.x == r.n for r in got) and len(got) == 1000
+    assert all(r.x == r.n for r in got) and len(got) == 20011
     assert joins.with_row_index(df.limit(0), ["x"], "n").count() == 0
 
 
