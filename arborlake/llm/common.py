@@ -68,13 +68,17 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that a lost executor costs nothing that came before."""
+def cut(df: DataFrame, as_dealt: bool = False) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, so that a lost executor costs nothing that came before.
+
+    They are written by twice as many tasks as there are cores, as a file each for very many small partitions costs more
+    than its rows; as_dealt keeps the partitions, for what is costly to compute.
+    """
     spark = df.sparkSession
     there = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(there)
-    return df.checkpoint(eager=True)
+    return (df if as_dealt else df.coalesce(2 * spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:

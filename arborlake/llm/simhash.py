@@ -107,7 +107,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null id is no component's smallest unless the component has no other id; then it is null. Long texts are hashed
     whole. An empty table gives no rows.
     """
-    prints = cut(fingerprints(df, id_col, text_col, width))
+    prints = cut(fingerprints(df, id_col, text_col, width), as_dealt=True)
     least = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     tied = cut(components(links(least.select("fp"), crowd), "a", "b"))
     return prints.join(_labels(least, tied), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -202,7 +202,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meetin
     Candidates are SimHash links, texts of one fingerprint and texts that share a band of their sketches. Sketches rule
     most pairs in or out; texts decide the rest exactly. df has no null ids.
     """
-    prints = cut(_copies_prints(df, id_col, text_col))
+    prints = cut(_copies_prints(df, id_col, text_col), as_dealt=True)
     each = cut(prints.groupBy("th").agg(F.min(id_col).alias("least"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
     reps = cut(each.groupBy("fp").agg(F.min("th").alias("rep")))
     equal = each.select("th", "fp").join(reps, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
