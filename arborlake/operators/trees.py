@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,11 @@ from arborlake.syntax.query import Item, Query
 FLUSH = 4096
 
 
+@lru_cache(maxsize=64)
+def _compiled(query: str) -> Matcher:
+    return Matcher(Query(query))
+
+
 def _each_text(df: DataFrame, id_col: str, text_col: str, schema: str, one: Callable[[object, bytes], Iterator[tuple]], more: list[str] = ()) -> DataFrame:
     """Rows of one(id, bytes, *more) for each text, streamed in batches of bounded size. Null texts give none."""
     kind = _parse_datatype_string(schema)
@@ -287,9 +293,10 @@ def _layers(source: bytes, language: str, most_depth: int) -> list[tuple[int, in
         out.append((me, parent, depth, lang, ranges, root, own, shift))
         if lang not in INJECTIONS or depth == most_depth:
             continue
-        q = Query(INJECTIONS[lang])
+        matcher = _compiled(INJECTIONS[lang])
+        q = matcher.query
         combined: dict[int, tuple[str, list]] = {}
-        for m in Matcher(q).matches(root, own):
+        for m in matcher.matches(root, own):
             settings = q.patterns[m.pattern].settings()
             named = [own[n.start : n.end].decode("utf-8", "replace") for c, n in m.captures if c == "injection.language"]
             to = named[0] if named else settings.get("injection.language") or (lang if "injection.self" in settings else out[parent][3] if "injection.parent" in settings and parent is not None else None)
@@ -400,7 +407,7 @@ def highlight(df: DataFrame, language: str, id_col: str = "doc_id", text_col: st
             if lang not in HIGHLIGHTS:
                 continue
             best: dict[int, tuple[int, str, Node]] = {}
-            for m in Matcher(Query(HIGHLIGHTS[lang])).matches(root, own):
+            for m in _compiled(HIGHLIGHTS[lang]).matches(root, own):
                 for c, n in m.captures:
                     if id(n) not in best or best[id(n)][0] <= m.pattern:
                         best[id(n)] = (m.pattern, c, n)

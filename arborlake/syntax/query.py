@@ -98,6 +98,8 @@ class Query:
             while self._at < len(self._tokens) and self._peek() == "(" and self._peek(1).startswith("#"):
                 predicates.append(self._predicate())
             self._check(predicates)
+            while item.form == "group" and len(item.parts) == 1 and not (item.captures or item.quantifier or item.fields):
+                item = item.parts[0]  # the brackets hold predicates alone
             end = self._tokens[self._at][1] if self._at < len(self._tokens) else len(text.encode("utf-8"))
             self.patterns.append(Pattern(item, predicates, start, end))
 
