@@ -64,16 +64,31 @@ def _pieces(source: bytes, ranges) -> tuple[bytes, list[tuple[int, int]] | None]
     return b"".join(out), shift or [(0, 0)]
 
 
-def parse(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", ranges_col: str | None = None) -> DataFrame:
-    """Every text as rows of syntax nodes; ranges_col, an array of (start, end) byte ranges, limits what is parsed. Offsets are the document's."""
+def _node_schema(columns: list[str] | None) -> tuple[str, list[int] | None]:
+    if columns is None:
+        return NODES_SCHEMA, None
+    fields = [f.strip() for f in NODES_SCHEMA.split(", ")]
+    names = [f.split(" ")[0] for f in fields]
+    at = [names.index(c) for c in columns]
+    return ", ".join(fields[k] for k in at), at
+
+
+def parse(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", ranges_col: str | None = None, kinds: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Every text as rows of syntax nodes; ranges_col, an array of (start, end) byte ranges, limits what is parsed. Offsets are the document's.
+
+    kinds and columns: what is wanted of the nodes. The optimizer can't push a filter or projection into a parser, so
+    naming them here keeps rows and columns that nobody reads from crossing to the JVM.
+    """
     parser = LANGUAGES[language]
+    schema, at = _node_schema(columns)
+    wanted = None if kinds is None else frozenset(kinds)
 
     def one(i, source, ranges=None):
         own, shift = _pieces(source, ranges)
-        for r in rows(parser(own), own, 0, language, shift):
-            yield (i, *r)
+        for r in rows(parser(own), own, 0, language, shift, wanted):
+            yield (i, *r) if at is None else (i, *[r[k] for k in at])
 
-    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, {NODES_SCHEMA}", one, [ranges_col] if ranges_col else [])
+    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, {schema}", one, [ranges_col] if ranges_col else [])
 
 
 def sexps(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

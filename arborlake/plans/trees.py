@@ -35,14 +35,14 @@ def query(name: str, sql: str | None = None):
 
 @query("a1_parse_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _json(spark, sf_dir)
-    return n.where("field = 'value' and kind = 'number'").select("event_id", F.col("text").cast("int").alias("k"))
+    n = T.parse(table(spark, sf_dir, "events"), "json", "event_id", "props", kinds=["number"], columns=["field", "text"])
+    return n.where("field = 'value'").select("event_id", F.col("text").cast("int").alias("k"))
 
 
 @query("a1_parse_html", "SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS BIGINT) AS n_tags FROM pages")
 def _(spark, sf_dir):
-    n = _html(spark, sf_dir)
-    return n.where("kind in ('start_tag', 'self_closing_tag')").groupBy("page_id").agg(F.count("*").alias("n_tags"))
+    n = T.parse(table(spark, sf_dir, "pages"), "html", "page_id", "html", kinds=["start_tag", "self_closing_tag"], columns=["node_id"])
+    return n.groupBy("page_id").agg(F.count("*").alias("n_tags"))
 
 
 @query("a1_parse_sql", "SELECT * FROM (VALUES (1, 2), (2, 2), (3, 1)) AS t(doc_id, n)")

@@ -37,8 +37,8 @@ class Node:
         return node
 
 
-def rows(root: Node, source: bytes, layer: int, language: str, shift: list[tuple[int, int]] | None = None) -> list[tuple]:
-    """NODES_SCHEMA rows in pre-order. shift: (offset in source, offset in the document) of each range that source was put together from."""
+def rows(root: Node, source: bytes, layer: int, language: str, shift: list[tuple[int, int]] | None = None, wanted: frozenset[str] | None = None) -> list[tuple]:
+    """NODES_SCHEMA rows in pre-order, of the wanted kinds if they are named. shift: (offset in source, offset in the document) of each range that source was put together from."""
     lines = [0]
     at = source.find(b"\n")
     while at >= 0:
@@ -58,11 +58,12 @@ def rows(root: Node, source: bytes, layer: int, language: str, shift: list[tuple
     while todo:
         node, parent, ancestors, depth, index, named_index = todo.pop()
         me = len(out)
-        s, e = where(node.start), where(node.end, True)
+        skip = wanted is not None and node.kind not in wanted
+        s, e = ((0, 0, 0),) * 2 if skip else (where(node.start), where(node.end, True))
         named = [c for c in node.children if c.named]
         out.append([
             layer, language, me, parent, me, list(ancestors), depth, index, named_index, len(node.children), len(named), node.field, node.kind, list(node.supertypes), node.named, node.extra, node.missing, node.error, node.error or node.missing,
-            s[0], e[0], s[1], s[2], e[1], e[2], None if node.children else source[node.start : node.end].decode("utf-8", "replace"),
+            s[0], e[0], s[1], s[2], e[1], e[2], None if skip or node.children else source[node.start : node.end].decode("utf-8", "replace"),
         ])
         below = (*ancestors, me)
         k = len(named)
@@ -75,7 +76,7 @@ def rows(root: Node, source: bytes, layer: int, language: str, shift: list[tuple
             p = out[r[3]]
             p[4] = max(p[4], r[4])
             p[18] = p[18] or r[18]
-    return [tuple(r) for r in out]
+    return [tuple(r) for r in out if wanted is None or r[12] in wanted]
 
 
 def settle(root: Node) -> Node:
