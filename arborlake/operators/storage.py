@@ -16,3 +16,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(there or f"file:/tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
+
+
+def scratch(df: DataFrame, name: str) -> str:
+    """A path of its own in the shared folder, for tables that a query writes and reads again."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        cut(df.limit(0))
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+    return f"{base}/{name}-{uuid.uuid4().hex}"

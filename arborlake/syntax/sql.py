@@ -96,7 +96,7 @@ def parse_sql(source: bytes, options: Options | str = "standard") -> Node:
             n, close = stack.pop()
             if close:
                 n.add(Node(close, end, end, named=False, missing=True))
-            n.end = end
+                n.end = end
 
     at = 0
     pattern = _token(o)
