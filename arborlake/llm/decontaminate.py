@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import ascii_lower_col, broadcast_if_small, cut, read
+from arborlake.llm.common import ascii_lower_col, broadcast_if_small, cut, fewer, read
 
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Item windows that are broadcast at most: with their words about 200 bytes each, so under 100 MB.
@@ -125,7 +125,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     hit = scan(keyed.select(F.lit(0).alias("doc_id"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("key")), benchmark, width=width, carried="key")
     n = covered(F.col("hits"))
     gone = broadcast_if_small(hit.where((n > 0) & (20 * n >= F.col("n_words"))).select(F.col("key").alias("_gone")).distinct(), 200_000)  # 64 characters each
-    return docs.join(gone, F.sha2(F.col(text_col).cast("binary"), 256) == F.col("_gone"), "left_anti")
+    return fewer(docs).join(gone, F.sha2(F.col(text_col).cast("binary"), 256) == F.col("_gone"), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import broadcast_if_small, cut, map_slices, read
+from arborlake.llm.common import broadcast_if_small, cut, fewer, map_slices, read
 from arborlake.llm.components import components
 
 #: A segment value with more distinct fingerprints than this is a crowd. Results do not depend on it.
@@ -70,7 +70,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     own = _segments(prints)
     probes = own.select("fp", F.col("k").alias("own_k"), F.explode(F.expr(_ball("k"))).alias("k"))
-    crowds = cut(own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("k"))
+    crowds = own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("k")
     near = F.expr("bit_count(a ^ b) <= 3 and a <> b and (own_k <> k or a < b)")
     found = own.select(F.col("fp").alias("a"), "k").join(probes.select(F.col("fp").alias("b"), "own_k", "k"), "k")
     if crowds.isEmpty():
@@ -109,7 +109,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = cut(fingerprints(df, id_col, text_col, width), as_dealt=True)
     least = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    tied = cut(components(links(least.select("fp"), crowd), "a", "b"))
+    tied = components(links(least.select("fp"), crowd), "a", "b")
     return prints.join(_labels(least, tied), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -191,7 +191,7 @@ def _met(each: DataFrame, meeting: int) -> DataFrame:
     large = met.where(F.col("n") > meeting)
     weight = large.groupBy("th").agg(F.sum("n").alias("w"))
     hubs = large.join(weight, "th").groupBy("k").agg(F.max(F.struct("w", "th"))["th"].alias("x"), F.min("th").alias("y"), F.max("th").alias("z"))
-    hubs = cut(hubs.select("k", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("hub")))
+    hubs = hubs.select("k", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("hub"))
     crowded = large.join(hubs, "k").where("th <> hub").select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b"))
     return small.unionAll(crowded).distinct()
 
@@ -204,7 +204,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meetin
     """
     prints = cut(_copies_prints(df, id_col, text_col), as_dealt=True)
     each = cut(prints.groupBy("th").agg(F.min(id_col).alias("least"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
-    reps = cut(each.groupBy("fp").agg(F.min("th").alias("rep")))
+    reps = each.groupBy("fp").agg(F.min("th").alias("rep"))
     equal = each.select("th", "fp").join(reps, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
     near = links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     pairs = equal.unionAll(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(_met(each, meeting)).distinct()
@@ -218,7 +218,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meetin
     both = open_pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
     exact = map_slices(both, ["a", "b", "ta", "tb"], lambda: lambda a, b, ta, tb: [a, b, [similarity(x, y) for x, y in zip(ta, tb)]], "a bigint, b bigint, s double")
     linked = judged.where(F.col("s") >= LIKELY).unionAll(exact.where(F.col("s") >= SIMILARITY)).select("a", "b")
-    tied = cut(components(linked, "a", "b"))
+    tied = components(linked, "a", "b")
     labels = _labels(each.select(F.col("th").alias("fp"), "least"), tied).withColumnRenamed("fp", "th")
     return prints.select(id_col, "th").join(labels, "th").select(id_col, "component_id")
 
@@ -232,12 +232,12 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id")).distinct()
     named = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
     gone = broadcast_if_small(gone.join(named, F.col("_gone_id") == F.col("_kept_id"), "left_anti"), 1_000_000)  # 8 bytes each
-    stay = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == F.col("_gone_id"), "left_anti")
-    twice = docs.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1")
-    if not twice.where(F.col(id_col).isNotNull()).isEmpty():
-        first = Window.partitionBy(id_col).orderBy(text_col)
-        stay = stay.withColumn("_first_of_id", F.row_number().over(first)).where("_first_of_id = 1").drop("_first_of_id")
-    return stay.unionAll(docs.where(F.col(id_col).isNull()))
+    stay = fewer(docs).join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")  # null ids equal none and stay
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return stay
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    named = stay.where(F.col(id_col).isNotNull()).withColumn("_first_of_id", F.row_number().over(first)).where("_first_of_id = 1").drop("_first_of_id")
+    return named.unionAll(stay.where(F.col(id_col).isNull()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

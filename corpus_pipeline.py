@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlake.llm import bpe, decontaminate, secrets, simhash, toxicity
-from arborlake.llm.common import read, shared_dir
+from arborlake.llm.common import fewer, read, shared_dir
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in the text masked and n_chars set to what is left."""
-    return secrets.redact(docs, secrets.train())
+    return secrets.redact(fewer(docs), secrets.train())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
