@@ -6,7 +6,7 @@ import re
 
 #: Type names and the Spark type that holds each.
 SIMPLE = {
-    "tinyint": "tinyint", "int1": "tinyint", "int8": "tinyint", "smallint": "smallint", "int2": "smallint", "int16": "smallint", "short": "smallint", "integer": "int", "int": "int", "int4": "int", "int32": "int", "signed": "int", "mediumint": "int", "bigint": "bigint", "int64": "bigint", "long": "bigint", "hugeint": "decimal(38,0)",
+    "tinyint": "tinyint", "int1": "tinyint", "int8": "bigint", "smallint": "smallint", "int2": "smallint", "int16": "smallint", "short": "smallint", "integer": "int", "int": "int", "int4": "int", "int32": "int", "signed": "int", "mediumint": "int", "bigint": "bigint", "int64": "bigint", "long": "bigint", "hugeint": "decimal(38,0)",
     "utinyint": "smallint", "uint8": "smallint", "usmallint": "int", "uint16": "int", "uinteger": "bigint", "uint32": "bigint", "ubigint": "decimal(20,0)", "uint64": "decimal(20,0)", "float": "float", "float4": "float", "float32": "float", "real": "float", "double": "double", "double precision": "double", "float8": "double", "float64": "double", "number": "decimal(38,10)", "numeric": "decimal(18,3)", "decimal": "decimal(18,3)", "dec": "decimal(18,3)", "money": "decimal(19,4)", "smallmoney": "decimal(10,4)",
     "boolean": "boolean", "bool": "boolean", "logical": "boolean", "varchar": "string", "varchar2": "string", "nvarchar": "string", "nvarchar2": "string", "char": "string", "nchar": "string", "bpchar": "string", "text": "string", "string": "string", "clob": "string", "nclob": "string", "fixedstring": "string", "uuid": "string", "uniqueidentifier": "string", "bit": "string", "bitstring": "string", "enum": "string", "enum8": "string", "enum16": "string", "xml": "string", "ipv4": "string", "ipv6": "string",
     "blob": "binary", "bytea": "binary", "binary": "binary", "varbinary": "binary", "raw": "binary", "bytes": "binary", "date": "date", "date32": "date", "datetime": "timestamp_ntz", "datetime2": "timestamp_ntz", "datetime64": "timestamp_ntz", "smalldatetime": "timestamp_ntz", "timestamp": "timestamp_ntz", "timestamp without time zone": "timestamp_ntz", "timestamptz": "timestamp", "timestamp with time zone": "timestamp", "datetimeoffset": "timestamp", "timestamp with local time zone": "timestamp", "time": "time(6)", "time without time zone": "time(6)",
@@ -41,6 +41,8 @@ def _arguments(text: str) -> list[str]:
 def spark_type(text: str) -> str:
     """A dialect's type as a Spark DDL type. Fixed array sizes, lengths and enum values are not enforced."""
     t = re.sub(r"\s+", " ", text.strip())
+    if t == "Int8":
+        return "tinyint"  # so written it counts bits; int8 elsewhere counts bytes
     if m := re.fullmatch(r"(.+)\[\d*\]", t):
         return f"array<{spark_type(m[1])}>"
     low = t.lower()

@@ -566,7 +566,7 @@ def _(spark, part):
 @query("b7_with_fill", "WITH c AS (SELECT p_size * 3 AS k, count(*) AS n FROM part GROUP BY 1), g AS (SELECT unnest(range((SELECT min(k) FROM c), (SELECT max(k) FROM c) + 1)) AS k) SELECT CAST(g.k AS BIGINT) AS k, last_value(c.n IGNORE NULLS) OVER (ORDER BY g.k) AS n FROM g LEFT JOIN c ON g.k = c.k", "part")
 def _(spark, part):
     c = part.groupBy((F.col("p_size") * 3).cast("bigint").alias("k")).agg(F.count("*").alias("n"))
-    return W.fill(c, "k", 1, interpolate=["n"])
+    return W.fill(c, "k", 1, interpolate=["n"]).withColumn("k", F.col("k").cast("bigint"))
 
 
 # ---- B8 composition

@@ -77,7 +77,7 @@ sql("b4_star_join", "SELECT r_name, count(*) AS n, round(sum(l_extendedprice * (
 # B5 aggregation
 sql("b5_group_by", "SELECT o_orderpriority, count(*) AS n, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM orders GROUP BY o_orderpriority")
 sql("b5_group_by_all", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
-sql("b5_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_linestatus) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+sql("b5_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS BIGINT) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("b5_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 sql("b5_grouping_sets", "SELECT l_returnflag, l_linestatus, l_suppkey % 3 AS m, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_suppkey % 3), ())")
 sql("b5_empty_group", "SELECT count(*) AS n, max(o_totalprice) AS m FROM orders GROUP BY GROUPING SETS (())")
@@ -96,7 +96,7 @@ sql("b5_histogram_counts", "SELECT floor(p_retailprice / 100) * 100 AS bucket, c
 
 # B6 window functions
 sql("b6_over", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS s FROM orders WHERE o_custkey < 300")
-sql("b6_named_window", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
+sql("b6_named_window", "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
 sql("b6_rows_frame", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS a FROM orders")
 sql("b6_range_frame", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS n FROM lineitem WHERE l_suppkey < 5")
 sql("b6_interval_range", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
@@ -139,7 +139,7 @@ sql("b9_json_path", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT)
 sql("b9_variant", "SELECT event_id, variant_get(parse_json(props), '$.k', 'int') AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 sql("b9_strings", "SELECT n_nationkey, upper(lower(n_name)) AS u, CAST(length(n_name) AS BIGINT) AS l, reverse(n_name) AS r, lpad(n_name, 12, '*') AS p, replace(n_name, 'A', 'a') AS x, left(n_name, 3) AS h, repeat('ab', 2) AS q FROM nation")
 sql("b9_math", "SELECT p_partkey, round(sqrt(p_size), 6) AS s, abs(p_size - 25) AS a, round(ln(p_size + 1), 6) AS l, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(sign(p_size - 25) AS INT) AS g, round(power(p_size, 1.5), 4) AS w FROM part")
-sql("b9_dates", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS m, CAST(datediff(o_orderdate, DATE '1992-01-01') AS BIGINT) AS d, date_format(o_orderdate, 'yyyy-MM') AS f FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, date_diff('day', DATE '1992-01-01', o_orderdate) AS d, strftime(o_orderdate, '%Y-%m') AS f FROM orders")
+sql("b9_dates", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, CAST(datediff(o_orderdate, DATE '1992-01-01') AS BIGINT) AS d, date_format(o_orderdate, 'yyyy-MM') AS f FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, date_diff('day', DATE '1992-01-01', o_orderdate) AS d, strftime(o_orderdate, '%Y-%m') AS f FROM orders")
 sql("b9_conditionals", "SELECT p_partkey, coalesce(nullif(p_size, 7), 0) AS c, greatest(p_size, 10) AS g, least(p_size, 10) AS l, if(p_size > 5, 'y', 'n') AS i FROM part")
 
 # B10 types

@@ -45,7 +45,7 @@ def _(spark, sf_dir):
     return n.groupBy("page_id").agg(F.count("*").alias("n_tags"))
 
 
-@query("a1_parse_sql", "SELECT * FROM (VALUES (1, 2), (2, 2), (3, 1)) AS t(doc_id, n)")
+@query("a1_parse_sql", "SELECT CAST(d AS BIGINT) AS doc_id, CAST(n AS BIGINT) AS n FROM (VALUES (1, 2), (2, 2), (3, 1)) AS t(d, n)")
 def _(spark, sf_dir):
     return _sql(spark, sf_dir).where("kind = 'statement'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
