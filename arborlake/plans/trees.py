@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.operators import trees as T
+from arborlake.operators.storage import cut
 from arborlake.plans.registry import register
 from arborlake.session import table
 from arborlake.sources import readers
@@ -17,12 +18,19 @@ SQL_TEXTS = [
 ]
 
 
-def _json(spark, sf_dir):
-    return T.parse(table(spark, sf_dir, "events"), "json", "event_id", "props")
+def _json(spark, sf_dir, once=False, columns=None, kinds=None):
+    """once: parsed and written, for queries that join nodes with nodes; columns and kinds: what the query reads."""
+    n = T.parse(table(spark, sf_dir, "events"), "json", "event_id", "props", kinds=kinds, columns=columns)
+    return cut(n) if once else n
 
 
-def _html(spark, sf_dir):
-    return T.parse(table(spark, sf_dir, "pages"), "html", "page_id", "html")
+def _html(spark, sf_dir, once=False, columns=None, kinds=None):
+    n = T.parse(table(spark, sf_dir, "pages"), "html", "page_id", "html", kinds=kinds, columns=columns)
+    return cut(n) if once else n
+
+
+#: What join_query() reads.
+JOINED = ["layer_id", "node_id", "parent_id", "child_index", "named_child_index", "n_children", "n_named", "start_byte", "text", "kind", "is_named", "supertypes", "field", "is_error", "is_missing"]
 
 
 def _sql(spark, sf_dir):
@@ -94,7 +102,7 @@ def _(spark, sf_dir):
 
 @query("a4_edit", "SELECT event_id, CAST(7 AS BIGINT) AS moved FROM events")
 def _(spark, sf_dir):
-    n = _json(spark, sf_dir)
+    n = _json(spark, sf_dir, True, ["start_byte", "end_byte", "field"])
     e = n.select("event_id").distinct().select("event_id", F.lit(0).alias("start"), F.lit(0).alias("old_end"), F.lit(7).alias("new_end"))
     both = T.edited(n, e, "event_id").where("field = 'value'").select("event_id", F.col("start_byte").alias("b")).join(n.where("field = 'value'").select("event_id", "start_byte"), "event_id")
     return both.select("event_id", (F.col("b") - F.col("start_byte")).cast("bigint").alias("moved"))
@@ -104,7 +112,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "props")
     after = e.withColumn("props", F.regexp_replace("props", r"\d+", "true"))
-    c = T.changed_ranges(T.parse(e, "json", "event_id", "props"), T.parse(after, "json", "event_id", "props"), "event_id")
+    own = ["kind", "field", "start_byte", "end_byte", "text", "n_children"]
+    c = T.changed_ranges(cut(T.parse(e, "json", "event_id", "props", columns=own)), cut(T.parse(after, "json", "event_id", "props", columns=own)), "event_id")
     return c.groupBy("event_id").agg(F.min("start").cast("bigint").alias("start"))
 
 
@@ -133,7 +142,7 @@ def _(spark, sf_dir):
 
 @query("a5_siblings", "SELECT event_id, ':' AS next_kind, 'number' AS next_named_kind, CAST(2 AS BIGINT) AS n_later FROM events")
 def _(spark, sf_dir):
-    n = _json(spark, sf_dir)
+    n = _json(spark, sf_dir, True, ["layer_id", "node_id", "parent_id", "child_index", "is_named", "field", "kind"])
     s = T.siblings(n, "event_id").where("field = 'key'")
     k = n.select("event_id", "node_id", "kind")
     a = k.select("event_id", F.col("node_id").alias("next_sibling"), F.col("kind").alias("next_kind"))
@@ -155,7 +164,7 @@ def _(spark, sf_dir):
 
 @query("a5_descendant_for_range", "SELECT event_id, 'string_content' AS kind FROM events")
 def _(spark, sf_dir):
-    n = _json(spark, sf_dir)
+    n = _json(spark, sf_dir, True, ["node_id", "depth", "kind", "start_byte", "end_byte"])
     r = n.select("event_id").distinct().select("event_id", F.lit(2).alias("range_start"), F.lit(3).alias("range_end"))
     return T.descendant_for_range(n, r, "event_id").select("event_id", "kind")
 
@@ -169,7 +178,7 @@ def _(spark, sf_dir):
 
 @query("a5_descendants", "SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<a ')) AS BIGINT) AS links FROM pages")
 def _(spark, sf_dir):
-    n = _html(spark, sf_dir)
+    n = _html(spark, sf_dir, True, ["layer_id", "node_id", "parent_id", "ancestors", "kind", "text"])
     name = n.where("kind = 'tag_name' and text = 'nav'")
     tag = n.join(name.select("page_id", "layer_id", F.col("parent_id").alias("node_id")), ["page_id", "layer_id", "node_id"], "left_semi")
     element = n.join(tag.where("kind = 'start_tag'").select("page_id", "layer_id", F.col("parent_id").alias("node_id")), ["page_id", "layer_id", "node_id"], "left_semi")
@@ -208,7 +217,7 @@ def _(spark, sf_dir):
 
 @query("a8_join_plan", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
 def _(spark, sf_dir):
-    n = _json(spark, sf_dir)
+    n = _json(spark, sf_dir, True, JOINED)
     m = T.join_query(n, "(pair key: (string (string_content) @k) value: (number) @v)", 0, "event_id")
     t = n.select("event_id", "node_id", "text")
     m = m.join(t.select("event_id", F.col("node_id").alias("k"), F.col("text").alias("key")), ["event_id", "k"])
