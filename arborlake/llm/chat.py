@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from arborlake.llm.common import read
+from arborlake.llm.common import read, small_batches
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -149,7 +149,7 @@ def _mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(zip(*rows), arrow)], schema=arrow)
 
-    return df.mapInArrow(batches, kind)
+    return small_batches(df).mapInArrow(batches, kind)
 
 
 def format_conversations(df: DataFrame, template: Template = inst_template, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,16 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 LOWER_TABLE = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
+#: Rows of one Arrow batch at most. Spark's own 10,000 whole texts are tens of MB, held by the JVM and the worker both.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, to be handed to Python workers in batches of BATCH_ROWS rows; the session keeps that setting."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +60,7 @@ def map_slices(df: DataFrame, columns: list, make: Callable, schema: str, rows:
         finally:
             getattr(f, "close", lambda: None)()
 
-    return df.select(*columns).mapInArrow(run, kind)
+    return small_batches(df).select(*columns).mapInArrow(run, kind)
 
 
 def shared_dir(spark: SparkSession) -> str:

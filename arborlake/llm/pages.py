@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from arborlake.llm.common import map_slices, parts, read
+from arborlake.llm.common import map_slices, parts, read, small_batches
 from arborlake.llm.url_rules import host_and_path
 
 NONE, ARTICLE, BOILERPLATE = 0, 1, 2
@@ -277,7 +277,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             rows.append(done(before, now, None))
             yield out()
 
-    return laid.mapInArrow(compare, result)
+    return small_batches(laid).mapInArrow(compare, result)
 
 
 def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

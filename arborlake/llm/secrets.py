@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from arborlake.llm.common import map_slices, read
+from arborlake.llm.common import map_slices, read, small_batches
 
 #: A run of 16 and more key characters with a digit in it, or of 16 and more capitals and digits.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9]|[A-Z0-9]{16,})[A-Za-z0-9_+/-]{16,}={0,2}")
@@ -293,7 +293,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", length_col:
                         columns[size] = pa.array([len(c) if found else old for c, found, old in zip(clean, got, columns[size].to_pylist())], arrow.field(size).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
