@@ -47,7 +47,8 @@ def parse_json(source: bytes) -> Node:
         if stack[-1].kind == "pair":
             pair = stack.pop()
             if not any(c.field == "value" for c in pair.children):
-                pair.children.append(Node("null", pair.end, pair.end, missing=True, field="value", supertypes=VALUE))
+                at = max(pair.end, pair.children[-1].end)
+                pair.children.append(Node("null", at, at, missing=True, field="value", supertypes=VALUE))
 
     while at < len(source):
         m = TOKEN.match(source, at)

@@ -85,7 +85,7 @@ def settle(root: Node) -> Node:
     for n in reversed(order):
         if n.children:
             n.start = min(n.start, n.children[0].start)
-            n.end = max(n.end, n.children[-1].end)
+            n.end = max(n.end, max(c.end for c in n.children))
     return root
 
 
