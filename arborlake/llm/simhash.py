@@ -118,7 +118,7 @@ BINS, BANDS, BAND_ROWS = 256, 20, 5
 SIMILARITY = 0.8
 #: By 256 bins, whose error at 0.8 is 0.025: below the first a pair is none, from the second on it is one; between them texts decide.
 UNLIKELY, LIKELY = 0.7, 0.93
-#: Meetings of more texts than this compare each with three hubs, smaller ones all pairs.
+#: Meetings of more texts than this compare each with three hubs, then those that share a rare shingle; smaller ones all pairs.
 MEETING = 32
 _DONORS = np.argsort(np.random.default_rng(17).random((BINS, BINS)), axis=1)
 _BREAKS = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -182,8 +182,12 @@ def _copies_prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_slices(df, [id_col, text_col], make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, th bigint, fp bigint, sketch array<smallint>, bands array<bigint>")
 
 
-def _met(each: DataFrame, meeting: int) -> DataFrame:
-    """Pairs (a, b) of texts that share a band: all of a small meeting, else each with the one that met most others and with those of the least and greatest hash."""
+def _met(each: DataFrame, meeting: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of texts that share a band, and the members (k, th) of large meetings.
+
+    Pairs are all of a small meeting, else each with the one that met most others and with those of the least and
+    greatest hash; what that leaves open is for _rare_pairs().
+    """
     keys = each.select("th", F.explode("bands").alias("k"))
     met = cut(keys.join(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"))
     few = met.where(F.col("n") <= meeting)
@@ -193,32 +197,79 @@ def _met(each: DataFrame, meeting: int) -> DataFrame:
     hubs = large.join(weight, "th").groupBy("k").agg(F.max(F.struct("w", "th"))["th"].alias("x"), F.min("th").alias("y"), F.max("th").alias("z"))
     hubs = hubs.select("k", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("hub"))
     crowded = large.join(hubs, "k").where("th <> hub").select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b"))
-    return small.unionAll(crowded).distinct()
+    return small.unionAll(crowded).distinct(), large.select("k", "th")
+
+
+def _rare_pairs(texts: DataFrame, large: DataFrame, tied: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of members of large meetings that may be similar and are in different components; None if there are none.
+
+    By prefixes: the shingles of each set stand in one order, rarest first. Of two sets as similar as asked, the first
+    shared one stands early in both, so sets meet at their first shingles alone, and what a whole family shares is not
+    among them unless a member is as good as the family's template. Only members outside the largest component of a
+    meeting look for others. texts: (th, text), may repeat.
+    """
+    roots = tied.select(F.col("node").alias("th"), "root")
+    own = cut(large.join(roots, "th", "left").select("k", "th", F.coalesce("root", "th").alias("c")))
+    main = own.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    members = cut(own.join(main, "k").groupBy("th", "c").agg(F.max(F.col("c") != F.col("main")).alias("open")))
+    if members.isEmpty():
+        return None
+    asked = broadcast_if_small(members.select("th"), 1_000_000)  # 8 bytes each
+
+    def make():
+        def f(ths, ts):
+            sets = [np.unique(_shingle_hashes(t)).view(np.int64) for t in ts]
+            return [ths, [len(x) for x in sets], sets]
+
+        return f
+
+    sets = cut(map_slices(texts.join(asked, "th").dropDuplicates(["th"]), ["th", "text"], make, "th bigint, n bigint, hs array<bigint>", rows=32), as_dealt=True)
+    each = sets.select("th", "n", F.explode("hs").alias("h"))
+    repeated = each.join(each.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "h")
+    of_text = Window.partitionBy("th")  # shingles of one text alone come first and meet none
+    ranked = repeated.withColumn("at", F.row_number().over(of_text.orderBy("d", "h")) + F.col("n") - F.count("*").over(of_text))
+    first = cut(ranked.where(f"at <= n - ceil({SIMILARITY}D * n - 1e-6D) + 1").join(members, "th").select("th", "n", "h", "at", "c", "open"))
+    x = first.where(f"at <= n - ceil({2 * SIMILARITY / (1 + SIMILARITY)}D * n - 1e-6D) + 1").select("h", *[F.col(c).alias(f"x_{c}") for c in ("th", "n", "at", "c", "open")])  # of the smaller set
+    y = first.select("h", *[F.col(c).alias(f"y_{c}") for c in ("th", "n", "at", "c", "open")])
+    fits = F.expr(
+        f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_th < y_th) and x_n >= {SIMILARITY}D * y_n - 1e-6D"
+        f" and {1 + SIMILARITY}D * (1 + least(x_n - x_at, y_n - y_at)) >= {SIMILARITY}D * (x_n + y_n) - 1e-6D"
+    )
+    found = x.where("x_open").join(y, "h").where(fits).unionAll(x.where("not x_open").join(y.where("y_open"), "h").where(fits))
+    return found.select(F.least("x_th", "y_th").alias("a"), F.greatest("x_th", "y_th").alias("b")).distinct()
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
     """(id, component_id) of each row: components of texts with a similarity of 0.8 or more; of the ids in a component the smallest.
 
-    Candidates are SimHash links, texts of one fingerprint and texts that share a band of their sketches. Sketches rule
-    most pairs in or out; texts decide the rest exactly. df has no null ids.
+    Candidates are SimHash links, texts of one fingerprint and texts that share a band of their sketches; where very many
+    share one, also those of them that share a rare shingle. Sketches rule most pairs in or out; texts decide the rest
+    exactly. df has no null ids.
     """
     prints = cut(_copies_prints(df, id_col, text_col), as_dealt=True)
     each = cut(prints.groupBy("th").agg(F.min(id_col).alias("least"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
     reps = each.groupBy("fp").agg(F.min("th").alias("rep"))
     equal = each.select("th", "fp").join(reps, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
     near = links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    pairs = equal.unionAll(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(_met(each, meeting)).distinct()
+    met, large = _met(each, meeting)
+    pairs = equal.unionAll(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(met).distinct()
     own, other = each.select(F.col("th").alias("a"), F.col("sketch").alias("x")), each.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
     share = F.expr(f"if(size(x) = 0 or size(y) = 0, if(size(x) = size(y), 1D, 0D), size(filter(zip_with(x, y, (p, q) -> p = q), z -> z)) / {BINS}D)")
-    judged = cut(pairs.join(own, "a").join(other, "b").select("a", "b", share.alias("s")).where(F.col("s") >= UNLIKELY))
-    open_pairs = judged.where(F.col("s") < LIKELY).select("a", "b")
-    asked = broadcast_if_small(open_pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), 1_000_000)  # 8 bytes each
-    texts = df.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))  # the hash of _copies_prints()
-    texts = cut(texts.join(asked, "th").dropDuplicates(["th"]))
-    both = open_pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
-    exact = map_slices(both, ["a", "b", "ta", "tb"], lambda: lambda a, b, ta, tb: [a, b, [similarity(x, y) for x, y in zip(ta, tb)]], "a bigint, b bigint, s double")
-    linked = judged.where(F.col("s") >= LIKELY).unionAll(exact.where(F.col("s") >= SIMILARITY)).select("a", "b")
-    tied = components(linked, "a", "b")
+    hashed = df.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))  # the hash of _copies_prints()
+
+    def similar(pairs):
+        judged = cut(pairs.join(own, "a").join(other, "b").select("a", "b", share.alias("s")).where(F.col("s") >= UNLIKELY))
+        open_pairs = judged.where(F.col("s") < LIKELY).select("a", "b")
+        asked = broadcast_if_small(open_pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), 1_000_000)  # 8 bytes each
+        texts = cut(hashed.join(asked, "th").dropDuplicates(["th"]))
+        both = open_pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
+        exact = map_slices(both, ["a", "b", "ta", "tb"], lambda: lambda a, b, ta, tb: [a, b, [similarity(x, y) for x, y in zip(ta, tb)]], "a bigint, b bigint, s double")
+        return judged.where(F.col("s") >= LIKELY).unionAll(exact.where(F.col("s") >= SIMILARITY)).select("a", "b")
+
+    tied = components(similar(pairs), "a", "b")
+    rare = _rare_pairs(hashed, large, tied)
+    if rare is not None:
+        tied = components(tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar(rare)), "a", "b")
     labels = _labels(each.select(F.col("th").alias("fp"), "least"), tied).withColumnRenamed("fp", "th")
     return prints.select(id_col, "th").join(labels, "th").select(id_col, "component_id")
 

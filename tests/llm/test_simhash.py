@@ -136,3 +136,22 @@ def test_sketch_estimates():
     assert simhash.similarity(" ".join(base), " ".join(own).upper().replace(" ", ", ")) == len(a & b) / len(a | b)
     assert simhash.similarity(None, "!!") == 1 and simhash.similarity("", "a") == 0
     assert simhash.sketch(None) is None and len(set(simhash.sketch("one").tolist())) == 1
+
+
+def test_pairs_inside_a_template_family(spark):
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.getrandbits(40):x}" for _ in range(n)]
+    template, rows, pairs = words(425), [], []
+    for k in range(2000):
+        own = words(26)
+        rows.append((2 * k, " ".join(template + own + words(49))))
+        if k < 80:
+            rows.append((2 * k + 1, " ".join(template + own + words(49))))
+            pairs.append((2 * k, 2 * k + 1))
+    text = dict(rows)
+    assert all(simhash.similarity(text[a], text[b]) >= simhash.SIMILARITY for a, b in pairs)
+    assert all(simhash.similarity(text[0], text[b]) < simhash.SIMILARITY for b in range(2, 4000, 2))
+    rnd.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in simhash.copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    partner = {b: a for a, b in pairs}
+    assert got == {i: partner.get(i, i) for i in text}
