@@ -16,7 +16,7 @@ from arborlake.llm.common import map_slices, read
 
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
-#: Pieces that one sentence may be broken into, by line ends and abbreviations.
+#: Pieces that such sentences may be broken into, by line ends and abbreviations.
 MOST_PIECES = 24
 
 # Sentences of public licence notices.
@@ -102,45 +102,42 @@ class Recogniser:
         for rule in self.rules:
             self.by_first.setdefault(rule[1][0], []).append(rule)
 
-    def sentences(self, text: str | None) -> tuple[int, list[tuple[int, str]]]:
-        """The number of sentence pieces, and (number of its first piece, identifier) of each known sentence.
+    def sentences(self, text: str | None) -> tuple[int, list[tuple[tuple[int, int], str]]]:
+        """The number of sentence pieces, and ((its first, its last piece), identifier) of each known sentence.
 
-        A known sentence may run over several pieces, as lines end inside it; of two that begin alike the longer counts.
+        A known sentence may run over any number of pieces, as lines end inside it; of two that begin alike the longer
+        counts. Pieces without a word count nowhere.
         """
-        pieces = PIECES.split(text or "")
+        pieces = [w for p in PIECES.split(text or "") if (w := normalise(p))]
         found, at, n = [], 0, 0
         opening = self.opening
         while at < len(pieces):
-            piece = pieces[at]
-            first = WORDS.search(piece[:200].lower())
-            if first is None:
-                at += 1
-                continue
             n += 1
-            if first.group() in opening:
-                lengths, words, ends = opening[first.group()], [], {}
+            first = pieces[at][0]
+            if first in opening:
+                lengths, words, ends = opening[first], [], {}
                 most = max(lengths)
-                for k in range(at, min(len(pieces), at + MOST_PIECES)):
-                    words += normalise(pieces[k])
+                for k in range(at, len(pieces)):  # a word each at least, so `most` pieces
+                    words += pieces[k]
                     if len(words) > most:
                         break
                     ends[len(words)] = k
                 hit = next((m for m in sorted(lengths & ends.keys(), reverse=True) if tuple(words[:m]) in self.known), None)
                 if hit is not None:
-                    found.append((at, self.known[tuple(words[:hit])]))
+                    found.append(((at, ends[hit]), self.known[tuple(words[:hit])]))
                     at = ends[hit] + 1
                     continue
             at += 1
         return n, found
 
-    def licences(self, found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    def licences(self, found: list[tuple[tuple[int, int], str]]) -> list[tuple[int, str]]:
         """(number of the first piece, licence) of each rule that matches, in order."""
         out, at = [], 0
         while at < len(found):
             for licence, ids in self.by_first.get(found[at][1], ()):
                 own = found[at : at + len(ids)]
-                if [i for _, i in own] == ids and all(b - a <= MOST_PIECES + GAP for (a, _), (b, _) in zip(own, own[1:])):
-                    out.append((found[at][0], licence))
+                if [i for _, i in own] == ids and all(b - a <= MOST_PIECES + GAP for ((_, a), _), ((b, _), _) in zip(own, own[1:])):
+                    out.append((found[at][0][0], licence))
                     at += len(ids)
                     break
             else:

@@ -56,3 +56,14 @@ def test_rows(spark):
     got = sorted(((r.doc_id, r.n_sentences, r.licences) for r in lic.scan(df).collect()), key=str)
     assert got == sorted([(1, 1, ["MIT"]), (1, 1, ["MIT"]), (2, 0, []), (3, 0, []), (None, 1, []), (4, 20001, ["CC-BY-NC-4.0"])], key=str)
     assert lic.scan(df.limit(0)).count() == 0
+
+
+def test_broken_and_late_sentences():
+    """Rules, indents and foreign text before a sentence, and any number of pieces in it."""
+    for before in ("-" * 300, " " * 300, "Ö" * 300 + " "):
+        assert R.sentences(before + "Released under the MIT License")[0] == 1
+        assert found(before + "Released under the MIT License") == ["MIT"]
+    name, ids = lic.RULES[0]
+    text = "\n".join(lic.SENTENCES[i] for i in ids)
+    assert len(lic.SENTENCES[ids[0]].split()) > lic.MOST_PIECES + lic.GAP
+    assert found("!! ".join(text.split())) == found("\n\n".join(text.split())) == [name]
