@@ -19,8 +19,8 @@ from arborlake.llm.common import map_slices, parts, read
 
 #: Labelled rows that are mined at most, chosen by a hash of the id: a bound of the mining's time.
 MOST_LABELLED = 20_000
-#: Mined rules that are kept at most, best first: a bound of the index.
-MOST_RULES = 5_000
+#: Rules left after pruning that the driver and the workers can hold; more are an error.
+MOST_RULES = 1_000_000
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 8, 0.6
 BLOCK = "label=block"
 #: The fixed rules of the query: (verdict, host and path).
@@ -88,16 +88,35 @@ def _rank(rule: tuple[frozenset, float, int]):
     return -rule[1], -rule[2], len(rule[0]), sorted(rule[0])
 
 
-def prune(rules: list[tuple[frozenset, float, int]]) -> list[tuple[frozenset, float, int]]:
-    """Drops rules that one with a part of their tokens and at least their confidence covers."""
-    kept: dict[frozenset, float] = {}
-    out = []
-    for r in sorted(rules, key=lambda r: (len(r[0]), _rank(r))):
-        own = sorted(r[0])
-        below = (frozenset(t for k, t in enumerate(own) if bits >> k & 1) for bits in range(1, (1 << len(own)) - 1)) if len(own) <= 10 else kept
-        if not any(kept.get(b, -1.0) >= r[1] and b < r[0] for b in below):
-            kept[r[0]] = r[1]
-            out.append(r)
+def prune(found: DataFrame, most: int = MOST_RULES) -> list[tuple[frozenset, float, int]]:
+    """The rules (antecedent, confidence, count) but those that one with a part of their tokens and at least their confidence covers.
+
+    Smaller antecedents come first; those of one size are held against the kept ones where they are, so that only rules
+    that stay reach the driver.
+    """
+    spark = found.sparkSession
+    kept: dict[str, list[tuple[frozenset, float]]] = {}
+    out: list[tuple[frozenset, float, int]] = []
+    for (size,) in found.select(F.size("antecedent").alias("s")).distinct().orderBy("s").collect():
+        sent = spark.sparkContext.broadcast(kept)
+
+        def make(sent=sent):
+            below = sent.value
+
+            def f(*columns):
+                rows = [r for r in zip(*columns) if not any(c >= r[1] and b < set(r[0]) for t in r[0] for b, c in below.get(t, ()))]
+                return [[r[k] for r in rows] for k in range(3)]
+
+            return f
+
+        left = map_slices(found.where(F.size("antecedent") == size), ["antecedent", "confidence", "count"], make, "antecedent array<string>, confidence double, count bigint")
+        rows = left.limit(most + 1 - len(out)).collect()
+        if len(out) + len(rows) > most:
+            raise ValueError(f"over {most} rules are left after pruning: raise min_support or min_confidence")
+        for r in rows:
+            own = frozenset(r["antecedent"])
+            kept.setdefault(min(own), []).append((own, r["confidence"]))
+            out.append((own, r["confidence"], r["count"]))
     return sorted(out, key=_rank)
 
 
@@ -125,11 +144,14 @@ def mine(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: s
             return Rules(list(fixed), {})
         model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=min(8, parts(spark))).fit(baskets)
         found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", F.round(F.col("support") * n).cast("long").alias("count"))
-        best = found.orderBy(F.desc("confidence"), F.desc("count"), F.size("antecedent"), F.array_sort("antecedent")).limit(MOST_RULES).collect()
+        found = found.persist()
+        try:
+            rules = prune(found)
+        finally:
+            found.unpersist()
         single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq").limit(1_000_000).collect()  # at most n tokens a basket / support
     finally:
         baskets.unpersist()
-    rules = prune([(frozenset(r["antecedent"]), r["confidence"], r["count"]) for r in best])
     return Rules(list(fixed), index_of(rules, {r["t"]: r["freq"] for r in single}))
 
 

@@ -67,3 +67,13 @@ def test_empty(spark):
     assert ur.judge(urls.limit(0), rules).count() == 0
     twice = ur.judge(urls.unionAll(urls), rules)
     assert twice.count() == 2
+
+
+def test_a_host_of_many_tokens_displaces_no_other(spark):
+    long = "http://a.b.c.d.e.f/g/h/i/j/k/l/m"
+    rows = [(i, long, 0) for i in range(60)] + [(100 + i, "http://weak.net/" + chr(97 + i), int(i >= 28)) for i in range(40)] + [(200 + i, f"http://ok{i}.org/", 1) for i in range(40)]
+    urls = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id bigint, url string")
+    rules = ur.mine(urls, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int"))
+    assert len(ur.tokens(long)) == 13
+    judged = {r.page_id: r.verdict for r in ur.judge(urls, rules).collect()}
+    assert all(judged[i] == ("allow" if i >= 200 else "block") for i, _, _ in rows)
