@@ -1,13 +1,17 @@
 """URL filtering by association rules.
 
 Labelled URLs become baskets of tokens; Spark's FP-growth mines the combinations that occur with the label `block`.
-Rules below a support or a confidence go, and so do those that a rule with fewer tokens covers as well. Each kept rule
-stands in an inverted index under its rarest token, so a URL meets only rules whose rarest token it has. Fixed rules
-of host and path come before the mined ones.
+Rules below a support or a confidence go, those whose confidence may be the labels' base rate by chance, and those that
+a rule with fewer tokens covers as well. Each kept rule stands in an inverted index under its rarest token, so a URL
+meets only rules whose rarest token it has. Fixed rules of host and path come before the mined ones.
+
+Labels come from tables of (url, block). The query mines two: the pages whose document has a label, and labelled_urls(),
+a table made by rule, as the labels of documents tell of their text and hardly of their URL.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass, field
 
@@ -21,11 +25,25 @@ from arborlake.llm.common import map_slices, parts, read
 MOST_LABELLED = 20_000
 #: Rules left after pruning that the driver and the workers can hold; more are an error.
 MOST_RULES = 1_000_000
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 8, 0.6
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 8, 0.8
+#: Standard errors by which a rule's confidence is to lie above the base rate, as very many combinations are tried.
+ERRORS = 4.0
 BLOCK = "label=block"
 #: The fixed rules of the query: (verdict, host and path).
 FIXED_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
+# Words of hosts that are blocked in these pairs, of hosts that are not, and of both alike.
+BLOCKED_WORDS = {
+    "gambling": ("casino poker slots roulette blackjack jackpot betting bets bingo lottery".split(), "win free online best royal lucky bonus club king vegas".split()),
+    "pharmacy": ("pills viagra cialis tramadol xanax meds".split(), "cheap discount online buy order generic".split()),
+    "adult": ("adult xxx porn sex nude cams".split(), "x hot live free video tube".split()),
+    "spam": ("spam seo backlinks clickbait linkfarm doorway".split(), "farm links traffic cheap boost network".split()),
+    "tracking": ("ads adserver banner popunder doubleclick tracker".split(), "track click pixel serve media network".split()),
+}
+OTHER_WORDS = "news city museum school garden travel science music kitchen history sport weather library health forum river market art film photo software nature bridge family village".split()
+MIXED_HOSTS = "windows-win free-software free-recipes cheap-flights cheap-hotels adult-education adult-learning spam-filter spam-report classified-ads track-order race-track video-lessons dairy-farm wind-farm online-school best-books live-news hot-springs x-ray bonus-track media-library network-news order-books club-history royal-museum buy-local discount-travel click-here boost-health".split()
+SECTIONS = "en de fr es news blog article archive tag topics about products".split()
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _PARTS = re.compile(r"[^\W_]+")
@@ -51,13 +69,13 @@ def tokens(url: str | None) -> list[str]:
             out.update("host:" + b for b in bits)
     for s in path.split("/"):
         if s:
-            out.add("path:" + ("#" if s.isdigit() else s[:64]))
+            out.add("path:" + ("#" if s.isdigit() else s))
             if "." in s:
-                out.add("type:" + s.rsplit(".", 1)[1][:16])
+                out.add("type:" + s.rsplit(".", 1)[1])
     query = (url or "").split("?", 1)
     if len(query) == 2:
         for pair in query[1].split("#", 1)[0].split("&"):
-            out.add("query:" + pair.split("=", 1)[0][:64])
+            out.add("query:" + pair.split("=", 1)[0])
     return sorted(out)
 
 
@@ -127,32 +145,73 @@ def index_of(rules: list[tuple[frozenset, float, int]], frequency: dict[str, int
     return out
 
 
-def mine(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", block_value: int = 0, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, most: int = MOST_LABELLED, fixed=()) -> Rules:
-    """Mines `block` rules from the URLs that have a label. Without labelled URLs there are no mined rules."""
-    spark = urls.sparkSession
-    own = labels.select(F.col(label_id).alias("id"), (F.col(label_col) == block_value).cast("int").alias("b")).where("id is not null and b is not null").groupBy("id").agg(F.max("b").alias("b"))
-    known = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).where("url is not null").join(own, "id")
-    rows = known.orderBy(F.xxhash64("id"), "id", "url").limit(most)
-    baskets = map_slices(rows, ["url", "b"], lambda: lambda us, bs: [[[*tokens(u), BLOCK] if b else tokens(u) for u, b in zip(us, bs)]], "items array<string>", rows=1024)
-    baskets = baskets.where(F.size("items") > 0).coalesce(min(8, parts(spark))).persist()
+def mine(labelled: DataFrame, url_col: str = "url", block_col: str = "block", min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, errors: float = ERRORS, most: int = MOST_LABELLED) -> tuple[list[tuple[frozenset, float, int]], dict[str, int]]:
+    """`block` rules from labelled URLs, and how often each of their tokens occurs.
+
+    labelled: a URL and whether it is to be blocked; rows with a null in either are left out, and of many rows `most`
+    are taken by a hash of the URL. Without both labels there are no rules.
+    """
+    spark = labelled.sparkSession
+    known = labelled.select(F.col(url_col).alias("url"), F.col(block_col).cast("int").alias("b")).where("url is not null and b is not null")
+    rows = known.orderBy(F.xxhash64("url"), "url", "b").limit(most)
+    baskets = map_slices(rows, ["url", "b"], lambda: lambda us, bs: [[[*tokens(u), BLOCK] if b else tokens(u) for u, b in zip(us, bs)], bs], "items array<string>, b int", rows=1024)
+    baskets = baskets.where(F.size("items") > F.col("b")).coalesce(min(8, parts(spark))).persist()
     try:
-        n = baskets.count()
-        if not n:
-            return Rules(list(fixed), {})
-        support = max(min_support, min_count / n)
-        if support > 1:
-            return Rules(list(fixed), {})
-        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=min(8, parts(spark))).fit(baskets)
+        n, blocked = baskets.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+        support = max(min_support, min_count / n) if n else 2
+        if support > 1 or not 0 < blocked < n:
+            return [], {}
+        base = blocked / n
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=min(8, parts(spark))).fit(baskets.select("items"))
         found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", F.round(F.col("support") * n).cast("long").alias("count"))
-        found = found.persist()
+        error = F.sqrt(F.lit(base * (1 - base)) * F.col("confidence") / F.col("count"))  # count / confidence URLs have the tokens
+        found = found.where(F.col("confidence") > base + errors * error).persist()
         try:
             rules = prune(found)
         finally:
             found.unpersist()
-        single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq").limit(1_000_000).collect()  # at most n tokens a basket / support
+        if not rules:
+            return [], {}
+        own = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r[0]})], "t string")  # of MOST_RULES rules
+        single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq").join(own, "t").collect()
     finally:
         baskets.unpersist()
-    return Rules(list(fixed), index_of(rules, {r["t"]: r["freq"] for r in single}))
+    return rules, {r["t"]: r["freq"] for r in single}
+
+
+def compiled(mined: list[tuple[list[tuple[frozenset, float, int]], dict[str, int]]], fixed=()) -> Rules:
+    """The rules of one mining or more under their rarest tokens."""
+    frequency: dict[str, int] = {}
+    for _, own in mined:
+        for t, n in own.items():
+            frequency[t] = frequency.get(t, 0) + n
+    return Rules(list(fixed), index_of([r for rules, _ in mined for r in rules], frequency))
+
+
+def labelled_urls(n: int = 6000, seed: int = 3) -> list[tuple[str, int]]:
+    """(url, block): labelled URLs made by rule. 1: a host of gambling, pharmacies, adult content, spam or tracking.
+
+    Words that stand in such hosts stand in others as well, so that combinations tell more than words.
+    """
+    rnd = random.Random(seed)
+    kinds = sorted(BLOCKED_WORDS)
+    out = []
+    for _ in range(n):
+        block = rnd.random() < 0.35
+        if block:
+            own, beside = BLOCKED_WORDS[rnd.choice(kinds)]
+            pair = [rnd.choice(own), rnd.choice(beside)]
+            rnd.shuffle(pair)
+            name = "-".join(pair)
+        elif rnd.random() < 0.5:
+            name = rnd.choice(MIXED_HOSTS)
+        else:
+            name = "-".join(rnd.sample(OTHER_WORDS, rnd.randint(1, 2)))
+        host = rnd.choice(["", "", "www.", "m.", "blog."]) + name + rnd.choice([".example.com", ".example.org", ".example.net", ".test"])
+        path = "/".join([rnd.choice(SECTIONS), *([rnd.choice(OTHER_WORDS)] if rnd.random() < 0.3 else []), str(rnd.randrange(10_000))])
+        end = rnd.choice(["", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"])
+        out.append((f"{rnd.choice(['http', 'https'])}://{host}/{path}{end}", int(block)))
+    return out
 
 
 def judge(urls: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -182,6 +241,16 @@ def judge(urls: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str =
     return map_slices(urls, [id_col, url_col], make, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, matched array<string>, confidence double", rows=1024)
 
 
+def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, block) of the pages whose URL ends in the number of a labelled document: block if its quality is 0."""
+    number = F.regexp_extract("url", r"^[^?#]*/(\d{1,18})(?:\.\w+)?/?(?:[?#]|$)", 1)
+    numbered = pages.where("url is not null").select("url", F.when(number != "", number.cast("bigint")).alias("doc_id"))
+    bad = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("block"))
+    return numbered.join(bad, "doc_id").select("url", "block")
+
+
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    return judge(pages, mine(pages, read(spark, sf_dir, "labels"), fixed=FIXED_RULES))
+    made = spark.createDataFrame(labelled_urls(), "url string, block int")
+    mined = [mine(labelled_pages(pages, read(spark, sf_dir, "labels"))), mine(made)]
+    return judge(pages, compiled(mined, FIXED_RULES))
