@@ -243,7 +243,7 @@ def judge(urls: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str =
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(url, block) of the pages whose URL ends in the number of a labelled document: block if its quality is 0."""
-    number = F.regexp_extract("url", r"^[^?#]*/(\d{1,18})(?:\.\w+)?/?(?:[?#]|$)", 1)
+    number = F.regexp_extract("url", r"^[^?#]*?://[^/?#]*/(?:[^?#]*/)?(\d{1,18})(?:\.\w+)?/?(?:[?#]|$)", 1)
     numbered = pages.where("url is not null").select("url", F.when(number != "", number.cast("bigint")).alias("doc_id"))
     bad = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("block"))
     return numbered.join(bad, "doc_id").select("url", "block")
