@@ -4,8 +4,13 @@ The automaton reads tokens and accepts exactly the sequences that merging yields
 loop for each symbol; each merge (u, v), in order of rank, adds one gadget: wherever u then v could be read, an arc
 for the merged token is added, and the state behind u loses its arc v. A state depends on the last token alone, so
 states are named by tokens, and their arcs are held as the set of arcs lost, with the rank at which each went. That
-keeps the table as small as the merge list. A word is encoded by running it against this table, longest arcs first: a
-prefix of a word has one accepted path, so no position is entered twice. Decoding emits the labels of the arcs.
+keeps it as small as the merge list.
+
+For words of symbols it is made deterministic: a state there is the set of arcs that are being read, each with how far
+into its label, and a transition says which token ends at the symbol. There is one, as each prefix of a word has one
+tokenization. Its table is filled where it is first read and bounded, like that of other subset constructions. A word
+is encoded by one transition a symbol, and by going back over the tokens that ended. Decoding emits the labels of the
+arcs.
 """
 
 from __future__ import annotations
@@ -13,15 +18,17 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlake.llm.common import map_slices, read
 
-#: Words that a task keeps with their encoding; beyond it the cache starts anew. A bound of memory only.
-CACHED_WORDS = 150_000
+#: Words that a task keeps with their ids. States of the table, which starts anew beyond them. Bounds of memory only.
+CACHED_WORDS, MOST_STATES = 150_000, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -32,113 +39,151 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """States are the last token's id (START before any); step() is the transition table, filled where it is read."""
+    """Gadgets by merges, and the table of the deterministic automaton over symbols."""
 
     START = -1
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.vocab, self.suffix = vocab, suffix
+        self.suffix = suffix
         self.label = {i: t for t, i in vocab.items()}
-        self.lost: dict[tuple[int, int], int] = {}  # (u, v): the rank of the gadget that took arc v from the state behind u
-        self.left: dict[int, tuple[int, int]] = {}  # token: its left part and its rank
-        self.right: dict[int, tuple[int, int]] = {}
-        self.rows: dict[int, bool] = {}
+        most = max(vocab.values(), default=0) + 1
+        self.lost: dict[int, int] = {}  # u, v in one number: the rank of the gadget that took arc v from the state behind u
+        self.left, self.right = array("i", [-1]) * most, array("i", [-1]) * most  # the parts of a merged token
+        self.rank = array("i", [0]) * most
+        spelled: dict[int, tuple[str, ...]] = {}  # the symbols of a merged token
         dead = set()
-        made = set()
         for rank, (a, b) in enumerate(merges):
             u, v, uv = vocab[a], vocab[b], vocab[a + b]
-            if uv in made:
+            if uv in spelled:
                 raise ValueError("two merges make one token; the gadgets need one each")
-            made.add(uv)
-            if u in dead or v in dead or not self._open(u, v, rank):
+            spelled[uv] = spelled.get(u, (a,)) + spelled.get(v, (b,))
+            if u in dead or v in dead or not self.opens(u, v, rank):
                 dead.add(uv)  # no path u, v is left when this gadget's turn comes, so no arc arises
-            self.lost[(u, v)] = rank
-            self.left[uv], self.right[uv] = (u, rank), (v, rank)
+            self.lost[u << 32 | v] = rank
+            self.left[uv], self.right[uv], self.rank[uv] = u, v, rank
         self.arcs = {t: i for t, i in vocab.items() if i not in dead}
-        self.trie: dict = {}
+        self.length = array("i", [0]) * most
+        leaf: dict[str, int] = {}
+        self.inside: list[dict[str, int]] = [{}]  # the places inside labels: where a symbol leads
+        self.ends = array("i", [-1])  # the token whose label ends there
         for t, i in self.arcs.items():
-            node = self.trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = i
+            symbols = spelled.get(i, (t,))
+            self.length[i] = len(symbols)
+            at = 0
+            for c in symbols:
+                if (to := self.inside[at].get(c)) is None:
+                    to = len(self.inside)
+                    if self.inside[at] is leaf:
+                        self.inside[at] = {}
+                    self.inside[at][c] = to
+                    self.inside.append(leaf)
+                    self.ends.append(-1)
+                at = to
+            self.ends[at] = i
+        self.empty()
+
+    def empty(self) -> None:
+        """The table with its first state: behind no token, inside no label.
+
+        A state is a row of the table: {symbol: (the next row, the token that ends there)}, and under None what it stands for.
+        """
+        start = ((self.START, 0),)
+        self.first: dict = {None: start}
+        self.rows: dict[tuple, dict] = {start: self.first}
 
-    def _open(self, u: int, v: int, before: int | None = None) -> bool:
+    def opens(self, u: int, v: int, before: int | None = None) -> bool:
         """Whether arc v leaves the state behind u once all gadgets (or those before a rank) are in place.
 
         The state behind u is a copy of the one behind u's right part, taken at u's rank; an arc for v came from
         one for v's left part, present at v's rank. So an arc lost along either spine counts if it went in time.
         """
-        lost, left, right = self.lost, self.left, self.right
-        x, until_x = u, before
+        lost, left, right, rank = self.lost, self.left, self.right, self.rank
+        most = len(rank) if before is None else before
+        x, until_x = u, most
         while True:
-            y, until_y = v, before
+            y, until_y = v, most
+            row = x << 32
             while True:
-                gone = lost.get((x, y))
-                if gone is not None and (until_x is None or gone < until_x) and (until_y is None or gone <= until_y):
+                gone = lost.get(row | y)
+                if gone is not None and gone < until_x and (gone < most if y == v else gone <= until_y):
                     return False
-                if y not in left:
+                if left[y] < 0:
                     break
-                y, until_y = left[y]
-            if x not in right:
+                y, until_y = left[y], rank[y]
+            if right[x] < 0:
                 return True
-            x, until_x = right[x]
-
-    def step(self, state: int, token: int) -> bool:
-        if state == self.START:
-            return True
-        key = state << 32 | token
+            x, until_x = right[x], rank[x]
+
+    def _fill(self, row: dict, symbol: str) -> tuple[dict, int]:
+        """The row behind a symbol and the token that ends there; new entries of the table."""
+        out, ended, inside = [], None, self.inside
+        for token, at in row[None]:
+            to = inside[at].get(symbol)
+            if to is None:
+                continue
+            if inside[to]:
+                out.append((token, to))
+            here = self.ends[to]
+            if here >= 0 and ended is None and (token == self.START or self.opens(token, here)):
+                ended = here
+        out.append((ended, 0))
+        key = tuple(out)
         if (to := self.rows.get(key)) is None:
-            if len(self.rows) > 400_000:
-                self.rows.clear()
-            to = self.rows[key] = self._open(state, token)
-        return to
+            to = self.rows[key] = {None: key}
+        row[symbol] = entry = (to, ended)
+        return entry
 
     def encode(self, symbols: list[str]) -> list[int]:
         """The ids of a word given as symbols, the last of which may be longer than one character.
 
-        Symbols outside the vocabulary are skipped. Arcs are tried from the longest; as the accepted path to each
-        position is the only one, a position that was left once is not entered again.
+        Symbols outside the vocabulary are skipped.
         """
         if any(s not in self.arcs for s in symbols):
             symbols = [s for s in symbols if s in self.arcs]
-        if not symbols:
-            return []
-        return self._run("".join(symbols), len(symbols[-1]))
-
-    def _run(self, text: str, tail: int) -> list[int]:
-        end = len(text)
-        last_start = end - tail
-        trie, rows = self.trie, self.rows
-        at, state, left = 0, self.START, set()
-        path: list[tuple[int, int, list]] = []
-        arcs = None
-        while True:
-            if arcs is None:
-                arcs, node, j = [], trie, at
-                while j < end:
-                    node = node.get(text[j])
-                    if node is None:
-                        break
-                    j += 1
-                    if "" in node and (j <= last_start or j == end):
-                        arcs.append((j, node[""]))
-            while arcs:
-                j, token = arcs.pop()
-                if j in left:
-                    continue
-                if state >= 0:
-                    to = rows.get(state << 32 | token)
-                    if not (self.step(state, token) if to is None else to):
-                        continue
-                left.add(j)
-                path.append((token, at, arcs))
-                if j == end:
-                    return [p[0] for p in path]
-                at, state, arcs = j, token, None
-                break
-            else:
-                token, at, arcs = path.pop()
-                state = path[-1][0] if path else self.START
+        return self.run(symbols[:-1], symbols[-1]) if symbols else []
+
+    def run(self, symbols, last: str) -> list[int]:
+        """The same for symbols that the vocabulary has: a string or list of them, and the last one."""
+        if len(self.rows) > MOST_STATES:
+            self.empty()
+        row, ended = self.first, []
+        for c in symbols:
+            try:
+                row, token = row[c]
+            except KeyError:
+                row, token = self._fill(row, c)
+            ended.append(token)
+        entry = row.get(last) or self._fill(row, last)
+        ended.append(entry[1])
+        out, at, length = [], len(ended), self.length
+        while at:
+            token = ended[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
+
+
+class Words(dict):
+    """The ids of words, found as they are asked for. Of two generations the elder goes when the younger is full."""
+
+    def __init__(self, find, most: int):
+        super().__init__()
+        self.find, self.most, self.elder = find, most, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        got = self.elder.get(word)
+        if got is None:
+            got = tuple(self.find(word))
+        if len(self) >= self.most // 2:
+            self.elder = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+    def forget(self) -> None:
+        self.elder = {}
+        self.clear()
 
 
 class WordBpe:
@@ -157,53 +202,45 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.whole = all(s in self.automaton.arcs and s + self.automaton.suffix in self.automaton.arcs for s in self.symbols)
-        self.label = self.automaton.label | {i: t for t, i in self.special.items()}
-        self.words: dict[str, tuple[list[int], str, str]] = {}
+        suffix = self.automaton.suffix
+        self.whole = all(s in self.automaton.arcs and s + suffix in self.automaton.arcs for s in self.symbols)
+        labels = self.automaton.label | {i: t for t, i in self.special.items()}
+        self.label = [labels.get(i) for i in range(max(labels) + 1)]
+        self.decimal = [str(i) for i in range(len(self.label))]
+        self.words = Words(self.word, CACHED_WORDS)
+
+    def word(self, w: str) -> list[int]:
+        """A split word's ids."""
+        suffix = self.automaton.suffix
+        if w.isascii() and w.isprintable() and self.whole:
+            return self.automaton.run(w[:-1], w[-1] + suffix)  # each byte is its own symbol
+        s = [self.symbols[b] for b in w.encode("utf-8")]
+        s[-1] += suffix
+        return self.automaton.encode(s)
 
-    def forget(self) -> None:
-        """Lets the cached words and transitions go."""
-        self.words.clear()
-        self.automaton.rows.clear()
-
-    def word(self, w: str) -> tuple[list[int], str, str]:
-        """A split word's ids, their decimal form and their labels, the last two joined by spaces."""
-        if (got := self.words.get(w)) is None:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            if w.isascii() and w.isprintable() and self.whole:
-                ids = self.automaton._run(w + self.automaton.suffix, 1 + len(self.automaton.suffix))  # each byte is its own symbol
-            else:
-                s = [self.symbols[b] for b in w.encode("utf-8")]
-                s[-1] += self.automaton.suffix
-                ids = self.automaton.encode(s)
-            got = self.words[w] = (ids, " ".join(map(str, ids)), " ".join(self.label[i] for i in ids))
-        return got
-
-    def pieces(self, text: str) -> list[tuple[list[int], str, str]]:
-        """One entry for each split word or special token of the whole text."""
+    def encode(self, text: str) -> list[int]:
+        """The ids of the whole text, special tokens included."""
         if self.special_split is not None and "<" in text:
             spans = self.special_split.split(text)
         else:
             spans = [text]
-        out = []
+        out: list[int] = []
         for k, span in enumerate(spans):
             if k % 2:
-                i = self.special[span]
-                out.append(([i], str(i), span))
+                out.append(self.special[span])
             elif span:
                 if not span.isascii():
                     # each capital sigma alone, as the library lower-cases character by character
                     span = unicodedata.normalize("NFC", span).replace("Σ", "σ")
-                word, words = self.word, self.words
-                out += [words.get(w) or word(w) for w in self.pattern.findall(span.lower())]
-        return [p for p in out if p[0]]
-
-    def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in p[0]]
+                out.extend(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(span.lower()))))
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.label[i] for i in ids if i in self.label)
+        return " ".join([self.label[i] for i in ids if 0 <= i < len(self.label) and self.label[i] is not None])
+
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """SHA-256 of own ids in decimal and of their labels, both joined by spaces."""
+        return tuple(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode("utf-8")).hexdigest() for names in (self.decimal, self.label))
 
 
 @lru_cache(maxsize=2)
@@ -229,10 +266,10 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe = load(path)
 
         def f(ids, texts):
-            found = [bpe.pieces(t or "") for t in texts]
-            return [ids, [[i for p in ps for i in p[0]] for ps in found], [" ".join(p[2] for p in ps) for ps in found]]
+            tokens = [bpe.encode(t or "") for t in texts]
+            return [ids, tokens, [bpe.decode(t) for t in tokens]]
 
-        f.close = bpe.forget
+        f.close = bpe.words.forget  # the table stays for the next task
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -245,13 +282,12 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         bpe = load(path)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
         def f(ids, texts):
-            found = [bpe.pieces(t or "") for t in texts]
-            return [ids, [sum(len(p[0]) for p in ps) for ps in found], [sha(" ".join([p[1] for p in ps])) for ps in found], [sha(" ".join([p[2] for p in ps])) for ps in found]]
+            tokens = [bpe.encode(t or "") for t in texts]
+            return [ids, [len(t) for t in tokens], *zip(*map(bpe.digests, tokens))]
 
-        f.close = bpe.forget
+        f.close = bpe.words.forget  # the table stays for the next task
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -264,14 +300,12 @@ def encode_with_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def make():
         bpe = load(path)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
         def f(ids, texts):
-            found = [bpe.pieces(t or "") for t in texts]
-            tokens = [[i for p in ps for i in p[0]] for ps in found]
-            return [ids, tokens, [len(t) for t in tokens], [sha(" ".join([p[1] for p in ps])) for ps in found], [sha(" ".join([p[2] for p in ps])) for ps in found]]
+            tokens = [bpe.encode(t or "") for t in texts]
+            return [ids, tokens, [len(t) for t in tokens], *zip(*map(bpe.digests, tokens))]
 
-        f.close = bpe.forget
+        f.close = bpe.words.forget  # the table stays for the next task
         return f
 
     kind = df.schema[id_col].dataType.simpleString()

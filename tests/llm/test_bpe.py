@@ -76,3 +76,23 @@ def test_rows(spark):
     assert bpe.encode_digests(df.limit(0)).count() == 0
     full = {r.doc_id: r for r in bpe.encode_texts(df.where("doc_id = 4")).collect()}
     assert full[4].token_ids == LIB.encode("word " * 5000, add_special_tokens=False).ids
+
+
+def test_table_and_words_that_start_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_STATES", 20)
+    small = bpe.Words(OWN.word, 6)
+    words = [w for w in "the cat sat on the mat while thirteen other cats were sitting on other mats the end".split()] * 3
+    assert [list(small[w]) for w in words] == [LIB.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(small) <= 6 and len(small.elder) <= 6
+    OWN.automaton.empty()
+
+
+def test_table_is_deterministic():
+    """A row has one entry a symbol, and what ends there is the last token of the prefix."""
+    OWN.automaton.empty()
+    for w in ["thethethinging", "hahahahahaha", "internationalization"]:
+        OWN.automaton.run(w[:-1], w[-1] + OWN.automaton.suffix)
+        row = OWN.automaton.first
+        for k, c in enumerate(w[:-1]):
+            row, token = row[c]
+            assert token == OWN.automaton.encode(list(w[: k + 1]))[-1]
