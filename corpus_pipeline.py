@@ -1,6 +1,7 @@
 """From raw documents to token ids, in five stages; each takes what the one before kept.
 
-Every stage but the last returns the columns of documents. SQL can express none of this: a trained classifier, a
+Every stage but the last returns the columns of documents, whatever others there are and whatever their names; very long
+texts are read whole, and an empty table gives an empty one. SQL can express none of this: a trained classifier, a
 similarity and a tokenizer are among the stages. tests/llm/test_pipeline.py holds each against a plain version.
 """
 
@@ -9,31 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlake.llm import bpe, decontaminate, secrets, simhash, toxicity
-from arborlake.llm.common import fewer, read, shared_dir
+from arborlake.llm.common import read, shared_dir
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels of docs, does not call toxic."""
+    """Documents that the classifier, learnt from the labels of docs, does not call toxic.
+
+    Null and empty texts have no words and are scored as such. Repeated rows stay or go together. Without labels of
+    both kinds nothing goes.
+    """
     return toxicity.reject(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies, that of the smallest id."""
+    """One document of each group of exact and near copies, that of the smallest id.
+
+    Null texts count as empty ones. Null ids come last. Rows that share an id but no text are different documents; of
+    rows that share both one stays.
+    """
     return simhash.remove_copies(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words is in benchmark passages."""
+    """Documents of which less than a twentieth of the words is in benchmark passages. Null and empty texts stay."""
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret in the text masked and n_chars set to what is left."""
-    return secrets.redact(fewer(docs), secrets.train())
+    """All documents, each secret in the text masked and n_chars set to what is left. Null texts stay null, repeated rows repeated."""
+    return secrets.redact(docs, secrets.train())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, and the digests by which to compare them."""
+    """The token ids of each document, and the digests by which to compare them. Null texts have no ids."""
     return bpe.encode_with_digests(docs)
 
 
