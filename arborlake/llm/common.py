@@ -78,22 +78,28 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+#: Files of a lineage cut for each core at most: a file each for very many small partitions costs more than its rows.
+FILES_A_CORE = 4
+
+
 def cut(df: DataFrame, as_dealt: bool = False) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that a lost executor costs nothing that came before.
 
-    They are written by as many tasks as there are cores, as a file each for very many small partitions costs more than
-    its rows; as_dealt keeps the partitions, for what is costly to compute.
+    Partitions beyond FILES_A_CORE for each core are put together; as_dealt keeps them all, for what is costly to compute.
     """
     spark = df.sparkSession
     there = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(there)
-    return (df if as_dealt else df.coalesce(spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
+    return (df if as_dealt else df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
 
 
-def fewer(df: DataFrame, each: int = 4) -> DataFrame:
-    """A scan with `each` of its splits to a task, as long as there is work for all cores: larger and fewer files from quick stages."""
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // each))
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many lines before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:

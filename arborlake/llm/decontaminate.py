@@ -2,9 +2,10 @@
 
 A text becomes its array of words, and each window of words one 64-bit hash. Window hashes are built by doubling: the
 hashes of neighbouring windows of 1, 2, 4 and 8 words are combined, so a window of 13 costs five passes over the array
-and no string is joined. The items' windows are hashed likewise and, being few, broadcast as a hash set behind a
-check of their count; beyond the bound the same join shuffles instead. Hits are verified word by word. Each document's
-array ends with one mark that always matches, so that documents without a hit keep a row without a second scan.
+and no string is joined. The items' windows are hashed likewise and broadcast as a hash set of a bounded size; more
+windows than that are dealt to several such sets, and the texts are scanned once for each. Rows of one word each are
+therefore never shuffled. Hits are verified word by word. Each document's array ends with one mark that always matches,
+so that documents without a hit keep a row without a second scan.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import ascii_lower_col, broadcast_if_small, cut, fewer, read
+from arborlake.llm.common import ascii_lower_col, broadcast_if_small, cut, read, unused
 
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Item windows that are broadcast at most: with their words about 200 bytes each, so under 100 MB.
+#: Item windows that are broadcast at once: with their words about 200 bytes each, so under 100 MB.
 BROADCAST_WINDOWS = 400_000
+_MARK = 0
 
 
 def words(text: Column) -> Column:
@@ -54,46 +56,69 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return each.select("item", F.slice("words", F.col("at"), size).alias("window"), size.alias("size")).distinct()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_broadcast: int = BROADCAST_WINDOWS, carried: str | None = None) -> DataFrame:
-    """(row, id, n_words, hits) for each document, and the column `carried` if one is named; hits: array of (at, size, item), word positions from 0.
-
-    `row` tells repeated rows apart. Null texts and items have no words. Items without an id are scanned but not
-    named. Rows with a null id are kept. An empty benchmark hits nothing.
-    """
-    windows = cut(item_windows(benchmark, width=width))
-    sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # one row a width
-    table = None
-    for s in sorted(sizes):
+def _tables(benchmark: DataFrame, id_col: str, text_col: str, width: int, most: int) -> tuple[list[DataFrame], list[int]]:
+    """Tables (h, s, window, items) of at most about `most` windows and items each, the first with the mark; the sizes of windows."""
+    windows = cut(item_windows(benchmark, id_col, text_col, width))
+    of_size = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # one row a size
+    sizes, total = sorted(of_size), sum(of_size.values())
+    hashed = None
+    for s in sizes:
         part, names = _with_windows(windows.where(F.col("size") == s), "window", [s])
-        part = part.select(F.col(names[s])[0].alias("h"), "item", "window", "size")
-        table = part if table is None else table.unionAll(part)
-    mark = docs.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("h"), F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("window"), F.lit(0).alias("size"))
-    table = mark if table is None else table.unionAll(mark)
-    if sum(sizes.values()) <= most_broadcast:
-        table = F.broadcast(table)
-    more = [carried] if carried else []
-    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"), *more)
-    w, names = _with_windows(w, "words", sorted(sizes))
+        part = part.select(F.col(names[s])[0].alias("h"), F.col("size").alias("s"), "window", "item")
+        hashed = part if hashed is None else hashed.unionAll(part)
+    spark = benchmark.sparkSession
+    mark = spark.range(1).select(F.lit(0).cast("bigint").alias("h"), F.lit(_MARK).alias("s"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"))
+    if hashed is None:
+        return [mark], []
+    # a window that many items share is one row of the table, and one hit wherever it occurs
+    hashed = hashed.groupBy("h", "s", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    n = max(1, -(-total // most)) if most else total
+    if n > 1:
+        hashed = cut(hashed)
+    dealt = [hashed.where(F.pmod(F.xxhash64("h"), F.lit(n)) == k) if n > 1 else hashed for k in range(n)]
+    return [mark.unionAll(dealt[0]), *dealt[1:]], sizes
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_broadcast: int = BROADCAST_WINDOWS, carried: str | None = None, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(row, id, n_words, spans, items) for each document, and the column `carried` if one is named.
+
+    spans: array of (at, end), word positions from 0, one for each place of a window; items: those that occur. `row`
+    tells repeated rows apart. Null texts and items have no words. Items without an id are scanned but not named. Rows
+    with a null id are kept. An empty benchmark hits nothing. Other columns may have any name.
+    """
+    tables, sizes = _tables(benchmark, item_col, item_text_col, width, most_broadcast)
+    more = [F.col(carried).alias("carried")] if carried else []
+    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
+    if len(tables) > 1:
+        w = cut(w, as_dealt=True)  # all scans number the same rows alike
+    kept = ["row", "id", *["carried"][: len(more)]]
+    w = w.select(*kept, words(F.col("text")).alias("words"))
+    w, names = _with_windows(w, "words", sizes)
     entry = lambda s: F.transform(F.col(names[s]), lambda h, i: F.struct(h.alias("h"), i.alias("at"), F.lit(s).alias("s")))
-    last = F.array(F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("at"), F.lit(0).alias("s")))
-    each = w.select("row", "id", "words", *more, F.explode(F.concat(*[entry(s) for s in sorted(sizes)], last)).alias("e"))
-    each = each.select("row", "id", "words", *more, F.col("e.h").alias("h"), F.col("e.at").alias("at"), F.col("e.s").alias("s"))
-    met = each.join(table, (each.h == table.h) & (each.s == table.size) & ((each.s == 0) | (F.slice("words", F.col("at") + 1, F.greatest(F.col("s"), F.lit(1))) == table.window)))
-    met = met.select("row", "id", *more, F.size("words").alias("n_words"), "at", "size", "item")
-    return met.groupBy("row").agg(
-        F.first("id").alias("id"),
-        *[F.first(c).alias(c) for c in more],
-        F.first("n_words").alias("n_words"),
-        F.collect_list(F.when(F.col("size") > 0, F.struct("at", "size", "item"))).alias("hits"),
+    last = F.array(F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("at"), F.lit(_MARK).alias("s")))
+    met = None
+    for k, table in enumerate(tables):
+        entries = [*[entry(s) for s in sizes], *([last] if k == 0 else [])]
+        each = w.select(*kept, "words", F.explode(F.concat(*entries)).alias("e")).select(*kept, "words", F.col("e.h").alias("h"), F.col("e.at").alias("at"), F.col("e.s").alias("s"))
+        t = F.broadcast(table.select(F.col("h").alias("t_h"), F.col("s").alias("t_s"), "window", "items"))
+        found = each.join(t, (F.col("h") == F.col("t_h")) & (F.col("s") == F.col("t_s")) & ((F.col("s") == _MARK) | (F.slice("words", F.col("at") + 1, F.greatest(F.col("s"), F.lit(1))) == F.col("window"))))
+        found = found.select(*kept, F.size("words").alias("n_words"), F.when(F.col("s") != _MARK, F.struct("at", (F.col("at") + F.col("s")).alias("end"))).alias("span"), "items")
+        met = found if met is None else met.unionAll(found)
+    # a document's places by the items of their window first: a window that many items share names them once
+    by_items = met.groupBy("row", "items").agg(*[F.first(c).alias(c) for c in [*kept[1:], "n_words"]], F.collect_list("span").alias("spans"))
+    out = by_items.groupBy("row").agg(
+        *[F.first(c).alias(c) for c in [*kept[1:], "n_words"]],
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
+    return out.withColumnRenamed("carried", carried) if carried else out
 
 
-def covered(hits: Column) -> Column:
-    """The number of words in the union of the hits' spans."""
-    spans = F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.struct(h["at"].alias("at"), (h["at"] + h["size"]).alias("end")))))
+def covered(spans: Column) -> Column:
+    """The number of words in the union of the spans (at, end)."""
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end"))
     return F.aggregate(
-        spans,
+        F.array_sort(F.array_distinct(spans)),
         start,
         lambda acc, s: F.struct(
             (acc["n"] + F.greatest(s["end"] - F.greatest(s["at"], acc["end"]), F.lit(0))).alias("n"),
@@ -104,10 +129,13 @@ def covered(hits: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_broadcast: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row a document: words, words hit, items that occur and whether it is contaminated (a twentieth hit, at least one)."""
+    """One row a document: words, words hit, items that occur and whether it is contaminated (a twentieth hit, at least one).
+
+    Nulls, empty texts, repeated rows and empty tables are as in scan().
+    """
     found = scan(docs, benchmark, id_col, text_col, width, most_broadcast)
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item"]), lambda i: i.isNotNull())))
-    out = found.select(F.col("row"), F.col("id").alias(id_col), F.col("n_words").cast("bigint").alias("n_words"), covered(F.col("hits")).alias("n_hit"), items.alias("items"))
+    items = F.array_sort("items")
+    out = found.select(F.col("row"), F.col("id").alias(id_col), F.col("n_words").cast("bigint").alias("n_words"), covered(F.col("spans")).alias("n_hit"), items.alias("items"))
     return out.select(
         "row",
         id_col,
@@ -119,13 +147,18 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13) -> DataFrame:
-    """docs with all columns and without the rows that are contaminated, as report() has it. Equal texts are judged once."""
-    keyed = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    hit = scan(keyed.select(F.lit(0).alias("doc_id"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("key")), benchmark, width=width, carried="key")
-    n = covered(F.col("hits"))
-    gone = broadcast_if_small(hit.where((n > 0) & (20 * n >= F.col("n_words"))).select(F.col("key").alias("_gone")).distinct(), 200_000)  # 64 characters each
-    return fewer(docs).join(gone, F.sha2(F.col(text_col).cast("binary"), 256) == F.col("_gone"), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, most_broadcast: int = BROADCAST_WINDOWS) -> DataFrame:
+    """docs with all columns and without the rows that are contaminated, as report() has it. Equal texts are judged once.
+
+    Rows with a null or empty text have no words and stay. Repeated rows stay or go together. Ids are not looked at,
+    and other columns may have any name. Empty tables take nothing away.
+    """
+    texts = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    hit = scan(texts.select(F.lit(0).alias("doc_id"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("key")), benchmark, width=width, most_broadcast=most_broadcast, carried="key")
+    n = covered(F.col("spans"))
+    key = unused(docs, "gone")
+    gone = broadcast_if_small(hit.where((n > 0) & (20 * n >= F.col("n_words"))).select(F.col("key").alias(key)).distinct(), 200_000)  # 64 characters each
+    return docs.join(gone, F.sha2(docs[text_col].cast("binary"), 256) == F.col(key), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import broadcast_if_small, cut, fewer, map_slices, read
+from arborlake.llm.common import broadcast_if_small, cut, map_slices, read, unused
 from arborlake.llm.components import components
 
 #: A segment value with more distinct fingerprints than this is a crowd. Results do not depend on it.
@@ -117,7 +117,7 @@ BINS, BANDS, BAND_ROWS = 256, 20, 5
 #: Texts are near copies if their sets of five-word shingles have this similarity.
 SIMILARITY = 0.8
 #: By 256 bins, whose error at 0.8 is 0.025: below the first a pair is none, from the second on it is one; between them texts decide.
-UNLIKELY, LIKELY = 0.7, 0.93
+UNLIKELY, LIKELY = 0.66, 0.95
 #: Meetings of more texts than this compare each with three hubs, then those that share a rare shingle; smaller ones all pairs.
 MEETING = 32
 _DONORS = np.argsort(np.random.default_rng(17).random((BINS, BINS)), axis=1)
@@ -239,15 +239,10 @@ def _rare_pairs(texts: DataFrame, large: DataFrame, tied: DataFrame) -> DataFram
     return found.select(F.least("x_th", "y_th").alias("a"), F.greatest("x_th", "y_th").alias("b")).distinct()
 
 
-def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
-    """(id, component_id) of each row: components of texts with a similarity of 0.8 or more; of the ids in a component the smallest.
-
-    Candidates are SimHash links, texts of one fingerprint and texts that share a band of their sketches; where very many
-    share one, also those of them that share a rare shingle. Sketches rule most pairs in or out; texts decide the rest
-    exactly. df has no null ids.
-    """
+def _groups(df: DataFrame, id_col: str, text_col: str, meeting: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th) of each row, and (th, component_id) of each text hash; component_id: (no_id, id, th) of the row that comes first in its component."""
     prints = cut(_copies_prints(df, id_col, text_col), as_dealt=True)
-    each = cut(prints.groupBy("th").agg(F.min(id_col).alias("least"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
+    each = cut(prints.groupBy("th").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("th").alias("th"))).alias("least"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
     reps = each.groupBy("fp").agg(F.min("th").alias("rep"))
     equal = each.select("th", "fp").join(reps, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
     near = links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
@@ -271,24 +266,43 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meetin
     if rare is not None:
         tied = components(tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar(rare)), "a", "b")
     labels = _labels(each.select(F.col("th").alias("fp"), "least"), tied).withColumnRenamed("fp", "th")
-    return prints.select(id_col, "th").join(labels, "th").select(id_col, "component_id")
+    return prints.select(F.col(id_col).alias("id"), "th"), labels
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
+    """(id, component_id) of each row: components of texts with a similarity of 0.8 or more; of the ids in a component the smallest.
+
+    Candidates are SimHash links, texts of one fingerprint and texts that share a band of their sketches; where very many
+    share one, also those of them that share a rare shingle. Sketches rule most pairs in or out; texts decide the rest
+    exactly. Null texts count as empty; texts without words are copies if their fingerprints are equal. Repeated rows give
+    one row each; null ids are kept, and the component of rows without any id has none. An empty table gives no rows.
+    """
+    rows, labels = _groups(df, id_col, text_col, meeting)
+    return rows.join(labels, "th").select(F.col("id").alias(id_col), F.col("component_id.id").alias("component_id"))
 
 
 def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all columns and one document of each group of copies: the one of the smallest id.
+    """docs with all columns and one document of each group of copies: the one of the smallest id, null ids last.
 
-    Of rows with that id the first in order of the text stays. Rows with a null id stay as they are: nothing names them.
+    Null texts count as empty. Rows that share an id but no text are different documents; of rows that share both one
+    stays, whatever their other columns hold. Other columns may have any name. An empty table stays empty.
     """
-    found = copies(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id")).distinct()
-    named = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    gone = broadcast_if_small(gone.join(named, F.col("_gone_id") == F.col("_kept_id"), "left_anti"), 1_000_000)  # 8 bytes each
-    stay = fewer(docs).join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")  # null ids equal none and stay
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
-        return stay
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    named = stay.where(F.col(id_col).isNotNull()).withColumn("_first_of_id", F.row_number().over(first)).where("_first_of_id = 1").drop("_first_of_id")
-    return named.unionAll(stay.where(F.col(id_col).isNull()))
+    rows, labels = _groups(docs, id_col, text_col, MEETING)
+    own = rows.groupBy("id", "th").agg(F.count("*").alias("n"))
+    judged = cut(own.join(labels, "th").select("id", "th", "n", (F.col("id").eqNullSafe(F.col("component_id.id")) & (F.col("th") == F.col("component_id.th"))).alias("stays")).where("n > 1 or not stays"))
+    gone_id, gone_th = unused(docs, "gone_id"), unused(docs, "gone_th")
+    named = judged.select(F.col("id").alias(gone_id), F.col("th").alias(gone_th), "stays")
+    gone = broadcast_if_small(named.where("not stays").drop("stays"), 1_000_000)  # 16 bytes each
+    hashed = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    match = lambda t: (hashed == t[gone_th]) & docs[id_col].eqNullSafe(t[gone_id])
+    left = docs.join(gone, match(gone), "left_anti")
+    many = named.where("stays").drop("stays")  # rows that share id and text
+    if many.isEmpty():
+        return left
+    many = broadcast_if_small(many, 1_000_000)
+    own_th = unused(docs, "own_th")
+    one = docs.join(many, match(many), "left_semi").withColumn(own_th, hashed).dropDuplicates([id_col, own_th]).drop(own_th)
+    return left.join(many, match(many), "left_anti").unionAll(one)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

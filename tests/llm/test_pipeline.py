@@ -62,13 +62,32 @@ def test_stages(spark):
     assert sorted(map(str, whole)) == sorted(map(str, five))
 
 
+NAMES = "gone _gone gone_id gone_th own_th row id key items words n th fp k a b t h s at text_ span held_out score predicted".split()
+ODD = [(1, None, "en", "s", None), (2, "", None, None, 0), (None, "x", "en", "s", 1), (3, "word " * 30000, "en", "s", 5), (3, "word " * 30000, "en", "s", 5), (3, "other words", None, "s", None), (None, None, None, None, None)]
+
+
 def test_odd_documents(spark):
-    df = spark.createDataFrame(
-        [(1, None, "en", "s", None), (2, "", None, None, 0), (None, "x", "en", "s", 1), (3, "word " * 30000, "en", "s", 5), (3, "word " * 30000, "en", "s", 5)],
-        "doc_id bigint, text string, lang string, source string, n_chars bigint",
-    )
-    for rows in (df, df.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, DIR).persist()
-            rows.count()
-        assert "token_ids" in rows.columns
+    """Nulls in any column, empty and very long texts, repeated rows and ids, columns of any name, an empty table."""
+    df = spark.createDataFrame([(*r, *range(len(NAMES))) for r in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} int" for n in NAMES))
+    plain = lambda rows: sorted(map(str, {(r.doc_id, r.text) for r in rows}))
+    every = df.collect()
+    want = {
+        "toxicity": every,
+        "near_dedup": [every[0], *every[2:4], every[5]],  # null and empty texts are one group, rows of one id and text one document
+        "decontamination": every,
+        "secrets": every,
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, DIR)
+        if name == "bpe":
+            assert out.columns[:2] == ["doc_id", "token_ids"] and out.count() == len(every)
+            continue
+        got = out.collect()
+        assert out.columns == df.columns and len(got) == len(want[name]) and plain(got) == plain(want[name]), name
+        none = stage(spark, df.limit(0), DIR)
+        assert none.columns == df.columns and none.count() == 0
+    rows = df
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, DIR).persist()
+        rows.count()
+    assert "token_ids" in rows.columns
