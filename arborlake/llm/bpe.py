@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arborlake.llm.common import map_slices, read
 
 #: Words that a task keeps with their ids. States of the table, which starts anew beyond them. Bounds of memory only.
-CACHED_WORDS, MOST_STATES = 150_000, 100_000
+CACHED_WORDS, MOST_STATES = 150_000, 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -42,6 +42,8 @@ class Automaton:
     """Gadgets by merges, and the table of the deterministic automaton over symbols."""
 
     START = -1
+    #: Keys of a row that are no symbols.
+    ENDED, STATE = "", "  "
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         self.suffix = suffix
@@ -83,13 +85,14 @@ class Automaton:
         self.empty()
 
     def empty(self) -> None:
-        """The table with its first state: behind no token, inside no label.
+        """The table with its first row: behind no token, inside no label.
 
-        A state is a row of the table: {symbol: (the next row, the token that ends there)}, and under None what it stands for.
+        A row is {symbol: the next row}, under ENDED the token that ends there, and under STATE what it stands for: the
+        arcs that are being read, each a token and a place inside the label behind it, as one number.
         """
-        start = ((self.START, 0),)
-        self.first: dict = {None: start}
-        self.rows: dict[tuple, dict] = {start: self.first}
+        start = array("q", [self.START << 32]).tobytes()
+        self.first: dict = {self.STATE: start}
+        self.rows: dict[bytes, dict] = {start: self.first}
 
     def opens(self, u: int, v: int, before: int | None = None) -> bool:
         """Whether arc v leaves the state behind u once all gadgets (or those before a rank) are in place.
@@ -114,24 +117,25 @@ class Automaton:
                 return True
             x, until_x = right[x], rank[x]
 
-    def _fill(self, row: dict, symbol: str) -> tuple[dict, int]:
-        """The row behind a symbol and the token that ends there; new entries of the table."""
+    def _fill(self, row: dict, symbol: str) -> dict:
+        """The row behind a symbol; a new entry of the table."""
         out, ended, inside = [], None, self.inside
-        for token, at in row[None]:
-            to = inside[at].get(symbol)
+        for read in memoryview(row[self.STATE]).cast("q"):
+            token = read >> 32
+            to = inside[read & 0xFFFFFFFF].get(symbol)
             if to is None:
                 continue
             if inside[to]:
-                out.append((token, to))
+                out.append(token << 32 | to)
             here = self.ends[to]
-            if here >= 0 and ended is None and (token == self.START or self.opens(token, here)):
+            if here >= 0 and ended is None and (token < 0 or self.opens(token, here)):
                 ended = here
-        out.append((ended, 0))
-        key = tuple(out)
+        out.append(ended << 32)
+        key = array("q", out).tobytes()
         if (to := self.rows.get(key)) is None:
-            to = self.rows[key] = {None: key}
-        row[symbol] = entry = (to, ended)
-        return entry
+            to = self.rows[key] = {self.STATE: key, self.ENDED: ended}
+        row[symbol] = to
+        return to
 
     def encode(self, symbols: list[str]) -> list[int]:
         """The ids of a word given as symbols, the last of which may be longer than one character.
@@ -146,18 +150,17 @@ class Automaton:
         """The same for symbols that the vocabulary has: a string or list of them, and the last one."""
         if len(self.rows) > MOST_STATES:
             self.empty()
-        row, ended = self.first, []
+        row, passed = self.first, []
         for c in symbols:
             try:
-                row, token = row[c]
+                row = row[c]
             except KeyError:
-                row, token = self._fill(row, c)
-            ended.append(token)
-        entry = row.get(last) or self._fill(row, last)
-        ended.append(entry[1])
-        out, at, length = [], len(ended), self.length
+                row = self._fill(row, c)
+            passed.append(row)
+        passed.append(row.get(last) or self._fill(row, last))
+        out, at, ended, length = [], len(passed), self.ENDED, self.length
         while at:
-            token = ended[at - 1]
+            token = passed[at - 1][ended]
             out.append(token)
             at -= length[token]
         out.reverse()

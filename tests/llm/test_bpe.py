@@ -94,5 +94,5 @@ def test_table_is_deterministic():
         OWN.automaton.run(w[:-1], w[-1] + OWN.automaton.suffix)
         row = OWN.automaton.first
         for k, c in enumerate(w[:-1]):
-            row, token = row[c]
-            assert token == OWN.automaton.encode(list(w[: k + 1]))[-1]
+            row = row[c]
+            assert row[OWN.automaton.ENDED] == OWN.automaton.encode(list(w[: k + 1]))[-1]
