@@ -25,8 +25,9 @@ from arborlake.llm.common import read, small_batches
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns that are rendered together. A longer conversation is rendered in windows, each headed by the last turn before
-#: it, so that time and memory stay in proportion to its length; its windows are rows of their own.
+#: Turns that are rendered together where a template is declared to be context-free. A longer conversation is rendered
+#: in windows, each headed by the last turn before it, so that time and memory stay in proportion to its length; its
+#: windows are rows of their own. Any other template gets the whole history, at the cost of a square in its turns.
 WINDOW = 64
 
 #: The control strings of the template.
@@ -45,6 +46,13 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1\2\3", text)
 
 
+def context_free(template: Template) -> Template:
+    """Declares that the template writes each turn without looking at others."""
+    template.context_free = True
+    return template
+
+
+@context_free
 def inst_template(turns: list[Turn]) -> str:
     """[SYS] .. [/SYS], [INST] .. [/INST] and the answer closed by </s>; any other role is named in its mark."""
     out = []
@@ -86,7 +94,7 @@ def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, i
         if not now.startswith(before):
             rewritten = k
             break
-        one, other = (template([*turns[:k], (role, t)]) for t in ("", ""))
+        one, other = (template([*turns[:k], (role, t)]) for t in ("\ue000", "\ue001"))
         start = len(os.path.commonprefix([one, other]))
         tail = len(one) - start - 1
         end = len(now) - tail
@@ -100,9 +108,10 @@ def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, i
     return whole, found, rewritten
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, bool, Turn | None, list[Turn]]]:
+def _grouped(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[tuple[object, int, bool, Turn | None, list[Turn]]]:
     """(conversation, part, whether it ends there, the turn before, turns) from rows sorted by conversation and turn."""
     none = object()
+    windowed = getattr(template, "context_free", False)
     conv, part, head, turns = none, 0, None, []
     for batch in batches:
         for c, role, text in zip(*[x.to_pylist() for x in batch.columns[:3]], strict=True):
@@ -110,7 +119,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, b
                 if conv is not none:
                     yield conv, part, True, head, turns
                 conv, part, head, turns = c, 0, None, []
-            elif len(turns) == WINDOW:
+            elif windowed and len(turns) == WINDOW:
                 yield conv, part, False, head, turns
                 part, head, turns = part + 1, turns[-1], []
             turns.append((role or "", text or ""))
@@ -153,16 +162,17 @@ def _mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def format_conversations(df: DataFrame, template: Template = inst_template, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, part, formatted, turns, rewritten_at): one row for a conversation, or for each 64 turns of a longer one.
+    """(conv, part, formatted, turns, rewritten_at): one row for a conversation; with a context-free template one for each 64 turns.
 
     turns: role, span, span of the text, and whether it counts for the loss. rewritten_at: the turn at which the
-    template changed what it had written before, else null. Null texts and roles count as empty. Turns with equal
+    template changed what it had written before, else null; any template but a context-free one is given all turns up
+    to each, so that a conversation is held in memory whole. Null texts and roles count as empty. Turns with equal
     numbers go by role, then text; repeated rows stay. Rows without a conversation id are one conversation of null id.
     An empty table gives no rows.
     """
 
     def run(it):
-        for conv, part, _, head, turns in _grouped(it):
+        for conv, part, _, head, turns in _grouped(it, template):
             whole, found, rewritten = _window(head, turns, template)
             marks = [{"role": r, "start": f[0], "end": f[1], "text_start": f[2], "text_end": f[3], "loss": r == "assistant"} for (r, _), f in zip(turns, found)]
             yield conv, part, whole, marks, rewritten
@@ -178,7 +188,7 @@ def conversation_digests(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     def run(it):
         sha = hashlib.sha256
         n, n_chars, loss_chars, all_turns, loss = 0, 0, 0, sha(), sha()
-        for conv, _, ends, head, turns in _grouped(it):
+        for conv, _, ends, head, turns in _grouped(it, inst_template):
             whole, found, rewritten = _window(head, turns, inst_template)
             if rewritten is not None:
                 raise ValueError("the template rewrites history")

@@ -232,12 +232,19 @@ def _side_by_side(stream: np.ndarray, starts: np.ndarray, ends: np.ndarray, step
 
 
 class _Bits:
+    """The bits of a segment, a few bytes of which are held as a number."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
+        self.data, self.at, self.value, self.left = data, 0, 0, 0
 
     def take(self, n: int) -> int:
-        if n > self.left:
-            raise BadMedia("a segment ends early")
+        while self.left < n:
+            more = self.data[self.at : self.at + 8]
+            if not more:
+                raise BadMedia("a segment ends early")
+            self.at += len(more)
+            self.value = (self.value & ((1 << self.left) - 1)) << 8 * len(more) | int.from_bytes(more, "big")
+            self.left += 8 * len(more)
         self.left -= n
         return self.value >> self.left & ((1 << n) - 1)
 

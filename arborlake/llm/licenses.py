@@ -2,8 +2,8 @@
 
 Each known licence sentence has an identifier. A text is cut into sentences, each is normalised to its words and looked
 up, and the identifiers in order are matched against rules: a rule is a licence and the identifiers that make it up.
-Longer rules come first and a sentence counts for one rule. Sentences in between that are not known, up to a few, do
-not break a rule; a known one does.
+Longer rules come first and a sentence counts for one rule. A few pieces in between that are not known, as the numbers
+of a list or a line of copyright, do not break a rule; a known sentence does.
 """
 
 from __future__ import annotations
@@ -14,10 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arborlake.llm.common import map_slices, read
 
-#: Unknown sentences that may stand between two of a rule.
-GAP = 2
-#: Pieces that such sentences may be broken into, by line ends and abbreviations.
-MOST_PIECES = 24
+#: Unknown pieces that may stand between the end of one of a rule's sentences and the next.
+GAP = 6
 
 # Sentences of public licence notices.
 SENTENCES = {
@@ -136,7 +134,7 @@ class Recogniser:
         while at < len(found):
             for licence, ids in self.by_first.get(found[at][1], ()):
                 own = found[at : at + len(ids)]
-                if [i for _, i in own] == ids and all(b - a <= MOST_PIECES + GAP for ((_, a), _), ((b, _), _) in zip(own, own[1:])):
+                if [i for _, i in own] == ids and all(b - a - 1 <= GAP for ((_, a), _), ((b, _), _) in zip(own, own[1:])):
                     out.append((found[at][0][0], licence))
                     at += len(ids)
                     break

@@ -8,7 +8,6 @@ the tables hold no such labels; any other may be given instead.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -19,12 +18,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from arborlake.llm.common import map_slices, read, small_batches
 
 #: A run of 16 and more key characters with a digit in it, or of 16 and more capitals and digits.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9]|[A-Z0-9]{16,})[A-Za-z0-9_+/-]{16,}={0,2}")
+#: Letters of both cases without a digit.
+LETTERS = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[a-z]*[A-Z])(?=[A-Z]*[a-z])[A-Za-z]{20,}(?![A-Za-z0-9_+/-])")
+#: What is given to a name that tells of a secret, in quotes or up to white space.
+GIVEN = re.compile(
+    r"""(?i:(?<![a-z])(?:password|passwd|pwd|passphrase|secret|token|credential|auth|(?:api|access|private|secret|auth)[_-]?key)["']?[ \t]*(?::|=>|=)[ \t]*)(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))"""
+)
+#: Three parts of base64 of which the first opens an object, and a private key with its armour.
+DOTTED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]*)?")
+ARMOURED = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[^-]*-----END \1PRIVATE KEY-----")
 CONTEXT = 48
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -38,6 +47,26 @@ LONGEST_WORD = max(map(len, DICTIONARY))
 WORDS = re.compile(r"[A-Za-z]+")
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what may be a secret, in order; of those that overlap the first, and of these the longest."""
+    found = [m.span() for m in CANDIDATE.finditer(text)] + [m.span() for m in LETTERS.finditer(text)]
+    for m in GIVEN.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:
+            b = a + len(m[3].rstrip(".:!?)]}"))
+        if b - a >= 6:
+            found.append((a, b))
+    if "eyJ" in text:
+        found += [m.span() for m in DOTTED.finditer(text)]
+    if "-----BEGIN" in text:
+        found += [m.span() for m in ARMOURED.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -102,6 +131,9 @@ def features(before: str, candidate: str, after: str) -> list[float]:
         float(any(w in TELLING for w in left)),
         float(any(w in OTHERWISE for w in left) or any(w in OTHERWISE for w in right)),
         float(candidate.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk_", "sk-", "xox", "AIza", "eyJ"))),
+        float(candidate.startswith("-----BEGIN")),
+        candidate.count(" ") + candidate.count("."),
+        len(set(kinds)),
     ]
 
 
@@ -171,7 +203,7 @@ class Forest:
         return out / max(1, len(self.trees))
 
 
-def findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, int]]:
+def findings(n: int = 5000, seed: int = 5) -> list[tuple[str, str, str, int]]:
     """(before, candidate, after, label): labelled findings made by rule. 1: a secret."""
     rnd = random.Random(seed)
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
@@ -180,7 +212,7 @@ def findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, int]]:
     run = lambda pool, k: "".join(rnd.choice(pool) for _ in range(k))
     out = []
     while len(out) < n:
-        kind = rnd.randrange(14)
+        kind = rnd.randrange(22)
         a, b = prose(rnd.randint(0, 5)), prose(rnd.randint(0, 4))
         name = rnd.choice(sorted(TELLING))
         sep = rnd.choice(["=", ": ", " = ", ' = "', "='", " "])
@@ -212,9 +244,27 @@ def findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, int]]:
             c, label, a = run("0123456789", rnd.randint(16, 24)), 0, f"{a} {rnd.choice(['order', 'invoice', 'isbn', ''])} "
         elif kind == 12:
             c, label, a = "".join(rnd.choice(words) for _ in range(4)).upper() + rnd.choice(["", "2"]), 0, f"{a} "
+        elif kind in (13, 14):  # made up by people: a word, digits and signs
+            c = rnd.choice([run(alnum, rnd.randint(5, 9)), rnd.choice(words).capitalize() + run("0123456789", rnd.randint(1, 4)), run(string.ascii_letters, 4) + rnd.choice(words)])
+            at = rnd.randrange(1, len(c) + 1)
+            c, label, a = c[:at] + run("!@#$%^&*?+", rnd.randint(1, 2)) + c[at:] + run("0123456789", rnd.randint(1, 3)), 1, f"{a} {name}{rnd.choice(['=', ': ', ' = ', ' = ' + chr(34)])}"
+        elif kind == 15:
+            c, label, a = ".".join(p + run(alnum + "_-", rnd.randint(16, 60)) for p in ("eyJ", "eyJ", "")), 1, f"{a} {rnd.choice([name + sep, 'Bearer ', ''])}"
+        elif kind == 16:
+            armour = rnd.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----"
+            c, label = f"-----BEGIN {armour}\n" + "\n".join(run(alnum + "+/", 64) for _ in range(rnd.randint(2, 5))) + f"\n-----END {armour}", 1
+        elif kind == 17:
+            c, label, a = run(string.ascii_letters, rnd.randint(20, 48)), 1, f"{a} {name}{sep}"
+        elif kind == 18:  # what stands for a secret, or tells of one
+            c = rnd.choice([rnd.choice(words), rnd.choice(words) + rnd.choice("_-. ") + rnd.choice(words), "YOUR_" + rnd.choice(words).upper(), "${" + rnd.choice(words).upper() + "}", "*" * rnd.randint(6, 12), "x" * rnd.randint(6, 12), "os.environ[" + rnd.choice(words), rnd.choice(["required", "undefined", "optional", "changeme", "string", "getToken()", "process.env.TOKEN", "user.password", "self.secret"])])
+            label, a = 0, f"{a} {name}{rnd.choice(['=', ': ', ' = ', ' = ' + chr(34)])}"
+        elif kind == 19:
+            c, label, a = "".join(rnd.choice(words).capitalize() for _ in range(rnd.randint(4, 6))), 0, f"{a} {rnd.choice(['', 'class ', 'import ', name + ' '])}"
+        elif kind == 20:
+            c, label, a = " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 6))), 0, f"{a} {name}{rnd.choice([': ', ' = ' + chr(34)])}"
         else:
             c, label, a = f"{rnd.choice(words)}-{rnd.randrange(2000, 2030)}-{rnd.randrange(10, 13)}-{rnd.randrange(10, 29)}-{rnd.choice(words)}", 0, f"{a} {rnd.choice(['file ', 'page ', name + ' '])}"
-        if len(c) >= 16:
+        if len(c) >= 6:
             close = '"' if a.endswith('"') else "'" if a.endswith("'") else ""
             out.append((a[-CONTEXT:], c, f"{close} {b}"[:CONTEXT], label))
     return out
@@ -230,11 +280,10 @@ def spans(texts: list[str | None], forest: Forest) -> list[tuple[int, list[tuple
     where, rows = [], []
     n = [0] * len(texts)
     for k, t in enumerate(texts):
-        for m in CANDIDATE.finditer(t or ""):
-            a, b = m.span()
+        for a, b in candidates(t or ""):
             n[k] += 1
             where.append((k, a, b))
-            rows.append(features(t[max(0, a - CONTEXT) : a], m.group(), t[b : b + CONTEXT]))
+            rows.append(features(t[max(0, a - CONTEXT) : a], t[a:b], t[b : b + CONTEXT]))
     out: list[tuple[int, list]] = [(c, []) for c in n]
     if rows:
         for (k, a, b), s in zip(where, forest.score(np.array(rows)).tolist()):
@@ -273,7 +322,10 @@ def scan(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str =
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with all columns, each secret in the text masked and the length column, if there is one, set anew."""
+    """docs with all columns, each secret in the text masked and the length column, if there is one, set anew.
+
+    Null texts stay null, and rows without a secret as they are; repeated rows stay. Other columns may have any name.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(forest)
     arrow = to_arrow_schema(docs.schema)
     at = docs.columns.index(text_col)
@@ -297,15 +349,6 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", length_col:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    forest = spark.sparkContext.broadcast(train())
-
-    def make():
-        def f(ids, texts):
-            got = spans(texts, forest.value)
-            sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-            return [ids, [n for n, _ in got], [len(found) for _, found in got], [";".join(f"{a}-{b}" for a, b, _ in found) for _, found in got], [sha(redacted(t, found) or "") for t, (_, found) in zip(texts, got)]]
-
-        return f
-
-    return map_slices(docs, ["doc_id", "text"], make, "doc_id bigint, n_candidates bigint, n_secrets bigint, spans string, redacted_sha256 string")
+    found = scan(read(spark, sf_dir, "documents"), train())
+    places = F.transform("secrets", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"), F.array_join(places, ";").alias("spans"), F.sha2(F.coalesce("redacted", F.lit("")).cast("binary"), 256).alias("redacted_sha256"))

@@ -64,3 +64,25 @@ def test_rows(spark):
     assert [r.formatted[t.text_start : t.text_end] for t in r.turns if t.loss] == ["two"]
     six = sorted((r for r in full if r.conv_id == 6), key=lambda r: r.part)
     assert "".join(r.formatted for r in six) == chat.inst_template([(a, b) for c, _, a, b in rows if c == 6])
+
+
+def late(turns):
+    """Rewrites turn 1 as soon as there are over 100 turns."""
+    return "".join(f"<{r}>{'gone' if k == 1 and len(turns) > 100 else t}</{r}>" for k, (r, t) in enumerate(turns))
+
+
+def numbered(turns):
+    """Numbers its turns and opens with a start mark."""
+    return "<start>" + "".join(f"{k}:{r}={t};" for k, (r, t) in enumerate(turns))
+
+
+def test_templates_with_history(spark):
+    """Any template but a context-free one is given the whole history, however long."""
+    turns = [("assistant" if k % 2 else "user", f"turn {k}") for k in range(150)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, k, r, t) for k, (r, t) in enumerate(turns[:100])], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.format_conversations(df, late).collect()}
+    assert got[1].rewritten_at == 100 and got[1].formatted == late(turns) and got[2].rewritten_at is None
+    got = {r.conv_id: r for r in chat.format_conversations(df, numbered).collect()}
+    assert got[1].rewritten_at is None and got[1].formatted == numbered(turns)
+    assert [got[1].formatted[t.text_start : t.text_end] for t in got[1].turns] == [t for _, t in turns]
+    assert chat.format_conversations(df, chat.inst_template).count() == 5

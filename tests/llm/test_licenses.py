@@ -65,5 +65,50 @@ def test_broken_and_late_sentences():
         assert found(before + "Released under the MIT License") == ["MIT"]
     name, ids = lic.RULES[0]
     text = "\n".join(lic.SENTENCES[i] for i in ids)
-    assert len(lic.SENTENCES[ids[0]].split()) > lic.MOST_PIECES + lic.GAP
     assert found("!! ".join(text.split())) == found("\n\n".join(text.split())) == [name]
+
+
+def brute(text):
+    """Licences by trying each rule at each place over the pieces, longest rules first."""
+    pieces = [tuple(re.findall("[a-z0-9]+", p.lower())) for p in re.split(r"\n|[.!?;:](?=\s)", text)]
+    pieces = [p for p in pieces if p]
+    known = sorted(((tuple(re.findall("[a-z0-9]+", s.lower())), i) for i, s in lic.SENTENCES.items()), key=lambda x: -len(x[0]))
+    seen, at = [], 0
+    while at < len(pieces):
+        for words, i in known:
+            ends = [e for e in range(at + 1, len(pieces) + 1) if sum(pieces[at:e], ()) == words]
+            if ends:
+                seen.append((at, ends[0], i))
+                at = ends[0]
+                break
+        else:
+            at += 1
+    out, k = [], 0
+    while k < len(seen):
+        for name, ids in sorted(lic.RULES, key=lambda r: -len(r[1])):
+            own = seen[k : k + len(ids)]
+            if [x[2] for x in own] == ids and all(b[0] - a[1] <= lic.GAP for a, b in zip(own, own[1:])):
+                out.append(name)
+                k += len(ids)
+                break
+        else:
+            k += 1
+    return out
+
+
+def test_rules_against_brute_force():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            ids = list(rnd.choice(lic.RULES)[1])
+            if rnd.random() < 0.3:
+                rnd.shuffle(ids)
+            for i in ids[: rnd.randint(1, len(ids))]:
+                parts += [lic.SENTENCES[i], *[f"Unknown {k}" for k in range(rnd.choice([0, 0, 1, lic.GAP, lic.GAP + 1]))]]
+        text = ".\n".join(parts)
+        words = text.split(" ")
+        text = " ".join(w + ("\n" if rnd.random() < 0.05 else "") for w in words)
+        assert found(text) == brute(text)
