@@ -11,40 +11,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from arborlake.syntax import LANGUAGES
+from arborlake.operators.storage import small
+from arborlake.syntax import FIELDS, KINDS, LANGUAGES
+from arborlake.syntax.change import changed
 from arborlake.syntax.match import Matcher
-from arborlake.syntax.nodes import NODES_SCHEMA, Node, rows, sexp
+from arborlake.syntax.nodes import COLUMNS, NODES_SCHEMA, Node, columns as node_columns, line_starts, placed, sexp
 from arborlake.syntax.query import Item, Query
 
 FLUSH = 4096
 
 
+def compiled(query: str, language: str | None = None) -> Query:
+    """The query; with a language its names are checked as well."""
+    return Query(query, KINDS.get(language), None, FIELDS.get(language))
+
+
 @lru_cache(maxsize=64)
-def _compiled(query: str) -> Matcher:
-    return Matcher(Query(query))
+def _matcher(query: str, language: str) -> Matcher:
+    return Matcher(compiled(query, language))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if a scan of few files would leave most of them idle: parsing costs far more than moving texts once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # dealt already
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _each_text(df: DataFrame, id_col: str, text_col: str, schema: str, one: Callable[[object, bytes], Iterator[tuple]], more: list[str] = ()) -> DataFrame:
     """Rows of one(id, bytes, *more) for each text, streamed in batches of bounded size. Null texts give none."""
+
+    def columns(i, text, *rest):
+        got = list(one(i, text, *rest))
+        return len(got), list(zip(*got))
+
+    return _each_columns(df, id_col, text_col, schema, columns, more)
+
+
+def _each_columns(df: DataFrame, id_col: str, text_col: str, schema: str, one: Callable[[object, bytes], tuple[int, list]], more: list[str] = ()) -> DataFrame:
+    """The same for one(id, bytes, *more) that gives the number of rows and their columns."""
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        out: list[list] = [[] for _ in arrow]
+        held = 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(out, arrow)], schema=arrow)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for i, text, *rest in zip(*[c.to_pylist() for c in batch.slice(at, 64).columns]):
                     if text is None:
                         continue
-                    for row in one(i, text if isinstance(text, bytes) else text.encode("utf-8"), *rest):
-                        out.append(row)
-                        if len(out) >= FLUSH:
-                            yield pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(zip(*out), arrow)], schema=arrow)
-                            out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(zip(*out), arrow)], schema=arrow)
+                    n, got = one(i, text if isinstance(text, bytes) else text.encode("utf-8"), *rest)
+                    if not n:
+                        continue
+                    for column, own in zip(out, got):
+                        column.extend(own)
+                    held += n
+                    if held >= FLUSH:
+                        yield flush()
+                        out, held = [[] for _ in arrow], 0
+        if held:
+            yield flush()
 
-    return df.select(id_col, text_col, *more).mapInArrow(run, kind)
+    return spread(df.select(id_col, text_col, *more)).mapInArrow(run, kind)
 
 
 def _kind(df: DataFrame, c: str) -> str:
@@ -64,31 +95,29 @@ def _pieces(source: bytes, ranges) -> tuple[bytes, list[tuple[int, int]] | None]
     return b"".join(out), shift or [(0, 0)]
 
 
-def _node_schema(columns: list[str] | None) -> tuple[str, list[int] | None]:
-    if columns is None:
-        return NODES_SCHEMA, None
-    fields = [f.strip() for f in NODES_SCHEMA.split(", ")]
-    names = [f.split(" ")[0] for f in fields]
-    at = [names.index(c) for c in columns]
-    return ", ".join(fields[k] for k in at), at
+def _node_schema(columns: list[str] | None) -> tuple[str, list[str]]:
+    fields = dict(zip(COLUMNS, NODES_SCHEMA.split(", ")))
+    names = list(columns) if columns is not None else COLUMNS
+    return ", ".join(fields[c] for c in names), names
 
 
 def parse(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", ranges_col: str | None = None, kinds: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Every text as rows of syntax nodes; ranges_col, an array of (start, end) byte ranges, limits what is parsed. Offsets are the document's.
+    """Every text as rows of syntax nodes; ranges_col, an array of (start, end) byte ranges, limits what is parsed. Offsets, rows and columns are the document's.
 
     kinds and columns: what is wanted of the nodes. The optimizer can't push a filter or projection into a parser, so
-    naming them here keeps rows and columns that nobody reads from crossing to the JVM.
+    naming them here keeps rows and columns that nobody reads from being built.
     """
     parser = LANGUAGES[language]
-    schema, at = _node_schema(columns)
+    schema, names = _node_schema(columns)
     wanted = None if kinds is None else frozenset(kinds)
 
     def one(i, source, ranges=None):
         own, shift = _pieces(source, ranges)
-        for r in rows(parser(own), own, 0, language, shift, wanted):
-            yield (i, *r) if at is None else (i, *[r[k] for k in at])
+        got = node_columns(parser(own), own, 0, language, names, shift, wanted, source)
+        n = len(got[0])
+        return n, [[i] * n, *got]
 
-    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, {schema}", one, [ranges_col] if ranges_col else [])
+    return _each_columns(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, {schema}", one, [ranges_col] if ranges_col else [])
 
 
 def sexps(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,6 +158,11 @@ def child(nodes: DataFrame, index: int, named: bool = False) -> DataFrame:
     return nodes.where(F.col("named_child_index" if named else "child_index") == index).where("parent_id is not null")
 
 
+def children_by_field(nodes: DataFrame, field: str) -> DataFrame:
+    """Each child of the field, whichever its parent."""
+    return nodes.where((F.col("field") == field) & F.col("parent_id").isNotNull())
+
+
 def child_by_field(nodes: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:
     """For each parent its first child of the field."""
     own = nodes.where(F.col("field") == field)
@@ -137,7 +171,7 @@ def child_by_field(nodes: DataFrame, field: str, id_col: str = "doc_id") -> Data
 
 
 def siblings(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """nodes with next_sibling, prev_sibling, next_named and prev_named node ids and the number of later ones. Siblings of one parent meet in one task, a document at most."""
+    """nodes with next_sibling, prev_sibling, next_named and prev_named node ids and the numbers of later ones: all, named, of the same field. Siblings of one parent meet in one task, a document at most."""
     w = Window.partitionBy(*_key(id_col), "parent_id").orderBy("child_index")
     named = F.when(F.col("is_named"), F.col("node_id"))
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
@@ -148,6 +182,7 @@ def siblings(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
         .withColumn("prev_named", F.last(named, ignorenulls=True).over(before))
         .withColumn("n_later", F.count("node_id").over(after))
         .withColumn("n_later_named", F.count(named).over(after))
+        .withColumn("n_later_of_field", F.when(F.col("field").isNotNull(), F.count("node_id").over(Window.partitionBy(*_key(id_col), "parent_id", "field").orderBy("child_index").rowsBetween(1, Window.unboundedFollowing))).otherwise(0))
     )
 
 
@@ -158,6 +193,34 @@ def first_child_for_byte(nodes: DataFrame, offsets: DataFrame, id_col: str = "do
     return d.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def _before(row: str, col: str, other_row: str, other_col: str) -> Column:
+    """Whether a point is not behind another."""
+    return (F.col(row) < F.col(other_row)) | (F.col(row) == F.col(other_row)) & (F.col(col) <= F.col(other_col))
+
+
+def first_child_for_point(nodes: DataFrame, points: DataFrame, id_col: str = "doc_id", named: bool = False) -> DataFrame:
+    """points: (id, parent_id, row, col); the first child of that parent that ends behind the point."""
+    d = children(nodes, None, named).join(points, [id_col, "parent_id"]).where(~_before("end_row", "end_col", "row", "col"))
+    w = Window.partitionBy(id_col, "parent_id", "row", "col").orderBy("node_id")
+    return d.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def descendant_for_points(nodes: DataFrame, ranges: DataFrame, id_col: str = "doc_id", named: bool = False) -> DataFrame:
+    """ranges: (id, from_row, from_col, to_row, to_col); the smallest node that spans each range of points."""
+    d = (nodes.where("is_named") if named else nodes).join(ranges, id_col).where(_before("start_row", "start_col", "from_row", "from_col") & _before("to_row", "to_col", "end_row", "end_col"))
+    own = ["from_row", "from_col", "to_row", "to_col"]
+    best = d.groupBy(id_col, *own).agg(F.max_by(F.struct(*[c for c in nodes.columns if c != id_col]), F.struct("depth", -F.col("node_id"))).alias("n"))
+    return best.select(id_col, *own, "n.*")
+
+
+def with_offset(nodes: DataFrame, n_bytes: int, row: int, col: int) -> DataFrame:
+    """nodes as if their texts began at that byte, row and column of a larger one."""
+    out = nodes
+    for p in ("start", "end"):
+        out = out.withColumn(f"{p}_byte", F.col(f"{p}_byte") + n_bytes).withColumn(f"{p}_col", F.col(f"{p}_col") + F.when(F.col(f"{p}_row") == 0, col).otherwise(0)).withColumn(f"{p}_row", F.col(f"{p}_row") + row)
+    return out
+
+
 def descendant_for_range(nodes: DataFrame, ranges: DataFrame, id_col: str = "doc_id", named: bool = False) -> DataFrame:
     """ranges: (id, range_start, range_end); the smallest node that spans each. Rows of one document meet by an equi-join."""
     d = (nodes.where("is_named") if named else nodes).join(ranges, id_col).where("start_byte <= range_start and end_byte >= range_end")
@@ -181,27 +244,69 @@ def child_with_descendant(nodes: DataFrame, targets: DataFrame, id_col: str = "d
 # ---- queries
 
 
-def query_texts(df: DataFrame, language: str, query: str, id_col: str = "doc_id", text_col: str = "text", strict: bool = False, match_limit: int | None = None, **where) -> DataFrame:
-    """Matches in every text: (id, match_no, pattern_index, captures, exceeded). Parsing and matching are one pass, without a shuffle."""
+def query_texts(
+    df: DataFrame,
+    language: str,
+    query: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    strict: bool = False,
+    match_limit: int | None = None,
+    seconds: float | None = None,
+    disabled_patterns: set[int] = frozenset(),
+    disabled_captures: set[str] = frozenset(),
+    point_range: tuple[tuple[int, int], tuple[int, int]] | None = None,
+    containing_points: tuple[tuple[int, int], tuple[int, int]] | None = None,
+    **where,
+) -> DataFrame:
+    """Matches in every text: (id, match_no, pattern_index, captures, exceeded). Parsing and matching are one pass, without a shuffle.
+
+    Names that the language does not have are errors, as are patterns that can match nothing. Without match_limit and
+    seconds all matches are found; with them a text's search ends there, and its rows say so in `exceeded`. Ranges are
+    of bytes (byte_range, containing) or of points (row, column).
+    """
     parser = LANGUAGES[language]
-    Query(query)  # errors show before anything runs
-
-    def make():
-        return Matcher(Query(query), strict, **({"limit": match_limit} if match_limit else {}))
+    compiled(query, language)  # errors show before anything runs
 
     made: list[Matcher] = []
 
     def one(i, source):
         if not made:
-            made.append(make())
+            made.append(Matcher(compiled(query, language), strict, match_limit, disabled_patterns, disabled_captures))
         matcher = made[0]
-        matcher.exceeded = False
+        own = dict(where)
+        if point_range or containing_points:
+            lines = line_starts(source)
+            ends = [*[x - 1 for x in lines[1:]], len(source)]
+            offset = lambda p: min(ends[p[0]], lines[p[0]] + p[1]) if p[0] < len(lines) else len(source)
+            for name, points in (("byte_range", point_range), ("containing", containing_points)):
+                if points:
+                    own[name] = (offset(points[0]), offset(points[1]))
         text = lambda n: source[n.start : n.end].decode("utf-8", "replace")
-        for k, m in enumerate(matcher.matches(parser(source), source, **where)):
-            yield i, k, m.pattern, [{"name": c, "kind": n.kind, "start_byte": n.start, "end_byte": n.end, "text": text(n)} for c, n in m.captures], matcher.exceeded
+        found = matcher.matches(parser(source), source, seconds=seconds, **own)
+        n = len(found)
+        if not n:
+            return 0, []
+        captured = [[{"name": c, "kind": x.kind, "start_byte": x.start, "end_byte": x.end, "text": text(x)} for c, x in m.captures] for m in found]
+        return n, [[i] * n, range(n), [m.pattern for m in found], captured, [matcher.exceeded] * n]
 
     capture = "struct<name:string,kind:string,start_byte:int,end_byte:int,text:string>"
-    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, match_no int, pattern_index int, captures array<{capture}>, exceeded boolean", one)
+    return _each_columns(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, match_no int, pattern_index int, captures array<{capture}>, exceeded boolean", one)
+
+
+def without(matches: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """matches but those of removed (id, match_no), whose captures are then no longer seen."""
+    return matches.join(removed.select(id_col, "match_no"), [id_col, "match_no"], "left_anti")
+
+
+def query_info(spark, query: str, language: str | None = None) -> DataFrame:
+    """(pattern_index, start_byte, end_byte, rooted, capture, quantifier): what a query is made of, a row for each capture of each pattern."""
+    q = compiled(query, language)
+    out = []
+    for k, p in enumerate(q.patterns):
+        own = q.capture_quantifiers(k)
+        out += [(k, p.start, p.end, p.rooted, c, own[c]) for c in q.capture_names if c in own] or [(k, p.start, p.end, p.rooted, None, None)]
+    return spark.createDataFrame(out, "pattern_index int, start_byte int, end_byte int, rooted boolean, capture string, quantifier string")
 
 
 def captures(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -287,17 +392,36 @@ def join_query(nodes: DataFrame, query: str, index: int = 0, id_col: str = "doc_
 
 # ---- nested languages
 
-#: host language: (query, include children). `@injection.content` is the range; #set! injection.language names the language.
-INJECTIONS = {
-    "html": """
-((script_element (start_tag) (raw_text) @injection.content) (#set! injection.language "javascript"))
-((style_element (start_tag) (raw_text) @injection.content) (#set! injection.language "css"))
-""",
-}
+#: host language: {element whose raw text is another language: that language}
+EMBEDDED = {"html": {"script_element": "javascript", "style_element": "css"}}
+
+
+def injection_query(embedded: dict[str, str]) -> str:
+    """A query that takes the raw text of elements for other languages."""
+    return "\n".join(f'(({element} (raw_text) @injection.content) (#set! injection.language "{language}"))' for element, language in embedded.items())
+
+
+#: host language: its injection query; callers may give others.
+INJECTIONS = {language: injection_query(own) for language, own in EMBEDDED.items()}
+
+
+def _document_spans(spans: list[tuple[int, int]], shift: list[tuple[int, int]] | None, length: int) -> list[tuple[int, int]]:
+    """Spans of a text that was put together, as ranges of the document: cut where its pieces are."""
+    if shift is None:
+        return spans
+    ends = [a for a, _ in shift[1:]] + [length]
+    out = []
+    for a, b in spans:
+        for (piece, document), end in zip(shift, ends):
+            s, e = max(a, piece), min(b, end)
+            if s < e:
+                out.append((s - piece + document, e - piece + document))
+    return out
 
 
-def _layers(source: bytes, language: str, most_depth: int) -> list[tuple[int, int | None, int, str, list[tuple[int, int]], Node, bytes, list | None]]:
+def _layers(source: bytes, language: str, most_depth: int | None = None, injections: dict[str, str] | None = None) -> list[tuple[int, int | None, int, str, list[tuple[int, int]], Node, bytes, list | None]]:
     """(layer, parent layer, depth, language, ranges, root, own text, shift), level by level."""
+    queries = INJECTIONS if injections is None else injections
     out = []
     todo = [(None, 0, language, [(0, len(source))])]
     while todo:
@@ -306,11 +430,12 @@ def _layers(source: bytes, language: str, most_depth: int) -> list[tuple[int, in
         root = LANGUAGES[lang](own)
         me = len(out)
         out.append((me, parent, depth, lang, ranges, root, own, shift))
-        if lang not in INJECTIONS or depth == most_depth:
+        if lang not in queries or depth == most_depth:
             continue
-        matcher = _compiled(INJECTIONS[lang])
+        matcher = _matcher(queries[lang], lang)
         q = matcher.query
         combined: dict[int, tuple[str, list]] = {}
+        below: list[tuple[str, list]] = []
         for m in matcher.matches(root, own):
             settings = q.patterns[m.pattern].settings()
             named = [own[n.start : n.end].decode("utf-8", "replace") for c, n in m.captures if c == "injection.language"]
@@ -318,14 +443,14 @@ def _layers(source: bytes, language: str, most_depth: int) -> list[tuple[int, in
             content = [n for c, n in m.captures if c == "injection.content"]
             if to not in LANGUAGES or not content:
                 continue  # a language that is not known is skipped
-            spans = [s for n in content for s in content_ranges(n, "injection.include-children" in settings)]
-            if shift is not None:
-                spans = [(a - shift[k][0] + shift[k][1], b - shift[k][0] + shift[k][1]) for a, b in spans for k in [max(j for j, x in enumerate(shift) if x[0] <= a)]]
+            spans = _document_spans([s for n in content for s in content_ranges(n, "injection.include-children" in settings)], shift, len(own))
             if "injection.combined" in settings:
                 combined.setdefault(m.pattern, (to, []))[1].extend(spans)
             else:
+                below.append((to, spans))
+        for to, spans in below + [(to, sorted(spans)) for to, spans in combined.values()]:
+            if spans and (to, spans) != (lang, ranges):  # a layer that holds itself ends there
                 todo.append((me, depth + 1, to, spans))
-        todo += [(me, depth + 1, to, sorted(spans)) for to, spans in combined.values()]
     return out
 
 
@@ -341,25 +466,46 @@ def content_ranges(node: Node, include_children: bool) -> list[tuple[int, int]]:
     return out + ([(at, node.end)] if node.end > at else [])
 
 
-def layers(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", most_depth: int = 8) -> DataFrame:
-    """(id, layer_id, parent_layer, depth, language, ranges) of every text, its own language and those nested in it, by start and depth."""
+def layers(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", most_depth: int | None = None, injections: dict[str, str] | None = None) -> DataFrame:
+    """(id, layer_id, parent_layer, depth, language, ranges) of every text, its own language and those nested in it, by start and depth.
+
+    injections: {language: its injection query}; all depths, unless most_depth is given.
+    """
 
     def one(i, source):
-        for me, parent, depth, lang, ranges, *_ in sorted(_layers(source, language, most_depth), key=lambda x: (x[4][0][0] if x[4] else 0, x[2])):
+        for me, parent, depth, lang, ranges, *_ in sorted(_layers(source, language, most_depth, injections), key=lambda x: (x[4][0][0] if x[4] else 0, x[2])):
             yield i, me, parent, depth, lang, [{"start": a, "end": b} for a, b in ranges]
 
     return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, layer_id int, parent_layer int, depth int, language string, ranges array<struct<start:int,end:int>>", one)
 
 
-def layered_nodes(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", most_depth: int = 8) -> DataFrame:
+def layered_nodes(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", most_depth: int | None = None, injections: dict[str, str] | None = None, kinds: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """parse() with the nodes of nested languages as layers of their own."""
+    schema, names = _node_schema(columns)
+    wanted = None if kinds is None else frozenset(kinds)
 
     def one(i, source):
-        for me, _, _, lang, _, root, own, shift in _layers(source, language, most_depth):
-            for r in rows(root, own, me, lang, shift):
-                yield (i, *r)
+        out: list[list] = [[] for _ in names]
+        for me, _, _, lang, _, root, own, shift in _layers(source, language, most_depth, injections):
+            for column, more in zip(out, node_columns(root, own, me, lang, names, shift, wanted, source)):
+                column.extend(more)
+        n = len(out[0])
+        return n, [[i] * n, *out]
+
+    return _each_columns(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, {schema}", one)
 
-    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, {NODES_SCHEMA}", one)
+
+def overlaid(df: DataFrame, language: str, inner: str, mark: str, id_col: str = "doc_id", text_col: str = "text", injections: dict[str, str] | None = None) -> DataFrame:
+    """(id, text): every text with each byte of the layers of a nested language replaced by one mark, so that offsets stay."""
+    fill = mark.encode("utf-8")
+    if len(fill) != 1:
+        raise ValueError("a mark is one byte")
+
+    def one(i, source):
+        spans = [(a, b, fill * (b - a)) for _, _, _, lang, ranges, *_ in _layers(source, language, None, injections) if lang == inner for a, b in ranges]
+        yield i, replaced(source, spans).decode("utf-8", "replace")
+
+    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, text string", one)
 
 
 def replaced(source: bytes, spans: list[tuple[int, int, bytes]]) -> bytes:
@@ -393,14 +539,29 @@ def resolve(references: DataFrame, definitions: DataFrame, scopes: DataFrame, id
 
 # ---- highlighting
 
-HIGHLIGHTS = {
-    "json": '(string) @string\n(pair key: (string) @string.special.key)\n(number) @number\n[(null) (true) (false)] @constant.builtin\n(escape_sequence) @escape\n(comment) @comment',
-    "html": "(tag_name) @tag\n(attribute_name) @attribute\n(attribute_value) @string\n(comment) @comment\n(doctype) @constant",
-    "javascript": "(identifier) @variable\n(string) @string\n(number) @number\n(comment) @comment\n((identifier) @function.builtin (#any-of? @function.builtin \"track\" \"alert\"))",
-    "css": "(identifier) @property\n(number) @number\n(comment) @comment",
-    "sql": "(keyword) @keyword\n(string) @string\n(number) @number\n(comment) @comment\n(identifier) @variable\n(quoted_identifier) @variable",
-    "code": "(identifier) @variable\n(string) @string\n(number) @number\n(comment) @comment",
+#: language: {capture: patterns}, later ones winning on the same node.
+COLOURS = {
+    "json": {"string": ["(string)"], "property": ["(pair key: (string) @@)"], "constant": ["(number)", "(true)", "(false)", "(null)"], "escape": ["(escape_sequence)"], "comment": ["(comment)"]},
+    "html": {"tag": ["(tag_name)"], "attribute": ["(attribute_name)"], "string": ["(attribute_value)"], "constant": ["(doctype)", "(entity)"], "comment": ["(comment)"]},
+    "sql": {"variable": ["(identifier)", "(quoted_identifier)"], "keyword": ["(keyword)"], "string": ["(string)"], "constant": ["(number)"], "comment": ["(comment)"]},
+    "css": {"property": ["(identifier)"], "constant": ["(number)"], "comment": ["(comment)"]},
+    "code": {"variable": ["(identifier)"], "function": ["(identifier) @@ . (arguments)"], "string": ["(string)"], "constant": ["(number)"], "comment": ["(comment)"]},
 }
+COLOURS["javascript"] = COLOURS["code"]
+
+
+def highlight_query(colours: dict[str, list[str]]) -> str:
+    """A query from patterns by capture; @@ marks the node that gets it, else the pattern's own does."""
+    out = []
+    for capture, patterns in colours.items():
+        for p in patterns:
+            own = p.replace("@@", f"@{capture}") if "@@" in p else f"{p} @{capture}"
+            out.append(f"({own})" if " . " in p else own)
+    return "\n".join(out)
+
+
+#: language: its highlight query; callers may give others.
+HIGHLIGHTS = {language: highlight_query(own) for language, own in COLOURS.items()}
 
 
 def recognised(capture: str, names: list[str]) -> str | None:
@@ -410,37 +571,107 @@ def recognised(capture: str, names: list[str]) -> str | None:
     return max(fit, key=lambda n: len(n.split(".")), default=None)
 
 
-def highlight(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None) -> DataFrame:
+def highlight(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None, highlights: dict[str, str] | None = None, injections: dict[str, str] | None = None, scopes: dict[str, str] | None = None) -> DataFrame:
     """(id, seq, layer_id, start_byte, end_byte, capture): spans in order of the text, outer before inner, deeper layers later.
 
-    Of several patterns on one node the last counts, and of layers with one range the deeper.
+    highlights and injections: {language: its query}. Of several patterns on one node the last counts, and of layers
+    with one range the first. scopes: {language: a query of scopes}; a pattern with (#is-not? local) is then skipped on
+    a name that is defined in a scope around it, and one with (#is? local) counts there alone.
     """
+    queries = HIGHLIGHTS if highlights is None else highlights
 
     def one(i, source):
         spans: dict[tuple[int, int], tuple] = {}
-        for me, _, depth, lang, _, root, own, shift in _layers(source, language, 8):
-            if lang not in HIGHLIGHTS:
+        for me, _, depth, lang, _, root, own, shift in _layers(source, language, None, injections):
+            if lang not in queries:
                 continue
+            matcher = _matcher(queries[lang], lang)
+            local = _local_names(root, own, scopes[lang], lang) if scopes and lang in scopes else frozenset()
             best: dict[int, tuple[int, str, Node]] = {}
-            for m in _compiled(HIGHLIGHTS[lang]).matches(root, own):
+            for m in matcher.matches(root, own):
+                wanted = [positive for positive, name in matcher.query.patterns[m.pattern].assertions() if name == "local"]
                 for c, n in m.captures:
-                    if id(n) not in best or best[id(n)][0] <= m.pattern:
+                    if all((n.start in local) == positive for positive in wanted) and (id(n) not in best or best[id(n)][0] <= m.pattern):
                         best[id(n)] = (m.pattern, c, n)
-            where = lambda x, k: x if shift is None else x - shift[k][0] + shift[k][1]
             for _, c, n in best.values():
                 name = c if names is None else recognised(c, names)
-                if name is None:
-                    continue
-                k = 0 if shift is None else max(j for j, x in enumerate(shift) if x[0] <= n.start)
-                at = (where(n.start, k), where(n.end, k))
-                if at not in spans or spans[at][0] <= depth:
-                    spans[at] = (depth, me, name)
+                if name is not None:
+                    spans.setdefault((placed(shift, n.start), placed(shift, n.end, True)), (depth, me, name))
         for seq, ((a, b), (_, me, name)) in enumerate(sorted(spans.items(), key=lambda x: (x[0][0], -x[0][1], x[1][0]))):
             yield i, seq, me, a, b, name
 
     return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, seq int, layer_id int, start_byte int, end_byte int, capture string", one)
 
 
+def _scoped(root: Node, source: bytes, query: str, language: str) -> tuple[list, list, list]:
+    """(scopes as (start, end, inherits), definitions as (name, offset), references as (name, offset)) by @scope, @definition and @reference."""
+    matcher = _matcher(query, language)
+    scopes, definitions, references = [], [], []
+    for m in matcher.matches(root, source):
+        settings = matcher.query.patterns[m.pattern].settings()
+        for c, n in m.captures:
+            text = source[n.start : n.end].decode("utf-8", "replace")
+            if c == "scope":
+                scopes.append((n.start, n.end, settings.get("inherits") != "false"))
+            elif c == "definition":
+                definitions.append((text, n.start))
+            elif c == "reference":
+                references.append((text, n.start))
+    return sorted(set(scopes)), sorted(set(definitions)), sorted(set(references))
+
+
+def _local_names(root: Node, source: bytes, query: str, language: str) -> frozenset[int]:
+    """Where names stand that are defined before in a scope that holds them."""
+    scopes, definitions, references = _scoped(root, source, query, language)
+    inside = lambda at: [(a, b, more) for a, b, more in scopes if a <= at < b]
+    own = {}
+    for name, at in definitions:
+        held = inside(at)
+        if held:
+            own.setdefault(name, []).append((at, max(held, key=lambda x: (x[0], -x[1]))))
+    out = {at for found in own.values() for at, _ in found}
+    for name, at in references:
+        walls = [a for a, _, more in inside(at) if not more]
+        wall = max(walls, default=-1)
+        if any(d <= at and a <= at < b and a >= wall for d, (a, b, _) in own.get(name, ())):
+            out.add(at)
+    return frozenset(out)
+
+
+def scoped_names(df: DataFrame, language: str, query: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(references, definitions, scopes) for resolve(), by a query with @scope, @definition and @reference; (#set! inherits "false") closes a scope."""
+    parser = LANGUAGES[language]
+    compiled(query, language)
+
+    def one(i, source):
+        scopes, definitions, references = _scoped(parser(source), source, query, language)
+        for a, b, more in scopes:
+            yield i, "scope", None, a, b, more
+        for what, found in (("definition", definitions), ("reference", references)):
+            for name, at in found:
+                yield i, what, name, at, None, None
+
+    each = _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, what string, name string, a int, b int, inherits boolean", one)
+    named = lambda what: each.where(F.col("what") == what).select(id_col, "name", F.col("a").alias("offset"))
+    return named("reference"), named("definition"), each.where("what = 'scope'").select(id_col, F.col("a").alias("scope_start"), F.col("b").alias("scope_end"), "inherits")
+
+
+#: language: a query whose @definition.x and @reference.x stand for what the @name beside them does.
+TAGS = {"json": "(pair key: (string (string_content) @name)) @definition.property"}
+TAGS["code"] = '("function" . (identifier) @name @definition.function)\n("class" . (identifier) @name @definition.class)\n((identifier) @name @reference.call . (arguments))'
+TAGS["javascript"] = TAGS["code"]
+
+
+def tags(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", query: str | None = None) -> DataFrame:
+    """(id, name, role, tag, start_byte, end_byte): what is defined and what is referred to, by a query of tags."""
+    query = TAGS[language] if query is None else query
+    m = query_texts(df, language, query, id_col, text_col)
+    name = F.get(F.filter("captures", lambda c: c["name"] == "name"), 0)
+    what = F.get(F.filter("captures", lambda c: c["name"].rlike("^(definition|reference)(\\.|$)")), 0)
+    each = m.select(id_col, name.alias("n"), what.alias("w")).where("n is not null and w is not null")
+    return each.select(id_col, F.col("n.text").alias("name"), F.substring_index("w.name", ".", 1).alias("role"), F.regexp_extract("w.name", r"\.(.*)", 1).alias("tag"), F.col("n.start_byte").alias("start_byte"), F.col("n.end_byte").alias("end_byte")).distinct()
+
+
 def highlight_events(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, seq, kind, offset, capture): start and end events of spans, ends before starts at one place and inner ends first."""
     start = spans.select(id_col, F.col("start_byte").alias("offset"), F.lit(1).alias("_o"), (-F.col("end_byte")).alias("_p"), F.lit("start").alias("kind"), "capture")
@@ -450,16 +681,18 @@ def highlight_events(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def styled(spans: DataFrame, styles: DataFrame, default: str = "default") -> DataFrame:
-    """spans with the style of the longest dotted prefix of their capture, or the default; styles: (name, style), a small table."""
+    """spans with the style of the longest dotted prefix of their capture, or the default; styles: (name, style)."""
     parts = F.split("capture", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
     names = spans.select("capture").distinct().withColumn("name", F.explode(prefixes))
-    known = names.join(F.broadcast(styles), "name").groupBy("capture").agg(F.max_by("style", F.length("name")).alias("style"))
-    return spans.join(F.broadcast(known), "capture", "left").withColumn("style", F.coalesce("style", F.lit(default)))
+    known = names.join(small(styles), "name").groupBy("capture").agg(F.max_by("style", F.length("name")).alias("style"))
+    return spans.join(small(known), "capture", "left").withColumn("style", F.coalesce("style", F.lit(default)))
 
 
 def nearest_colours(colours: DataFrame, palette: DataFrame) -> DataFrame:
-    """(r, g, b) with the palette entry (index, pr, pg, pb) of the least squared distance; the palette has 256 rows at most and is broadcast."""
+    """(r, g, b) with the palette entry (index, pr, pg, pb) of the least squared distance; a palette of over 256 entries is refused, so that its one row is small."""
+    if palette.limit(257).count() > 256:
+        raise ValueError("a palette has 256 entries at most")
     p = palette.agg(F.collect_list(F.struct("index", "pr", "pg", "pb")).alias("_p"))  # one row
     each = colours.join(F.broadcast(p)).withColumn("_best", F.array_min(F.transform("_p", lambda x: F.struct(((F.col("r") - x["pr"]) ** 2 + (F.col("g") - x["pg"]) ** 2 + (F.col("b") - x["pb"]) ** 2).alias("d"), x["index"].alias("index")))))
     return each.withColumn("index", F.col("_best.index")).drop("_p", "_best")
@@ -485,16 +718,23 @@ def edited(nodes: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFr
     return d.withColumn("has_changes", changed).withColumn("start_byte", move("start_byte")).withColumn("end_byte", move("end_byte")).drop("_s", "_o", "_n")
 
 
-def changed_ranges(old: DataFrame, new: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Ranges of the new text whose nodes the old tree lacks, joined up, and where nodes went: (id, start, end)."""
-    from arborlake.operators import ranges
+def changed_ranges(old: DataFrame, new: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", edit_cols: tuple[str, str, str] | None = None) -> DataFrame:
+    """(id, start, end): the ranges of each new text whose nodes the old tree, after the edit, does not have.
 
-    shape = [id_col, "kind", "field", "start_byte", "end_byte", "text"]
-    leaf = lambda d: d.where("n_children = 0").select(*shape)
-    added = leaf(new).exceptAll(leaf(old))
-    gone = leaf(old).exceptAll(leaf(new))
-    both = added.unionAll(gone).select(id_col, F.col("start_byte").alias("start"), F.greatest("end_byte", F.col("start_byte") + 1).alias("end"))
-    return ranges.normalise(both, [id_col])
+    The texts of an id are parsed and compared in one task, so that texts are joined and not nodes. The edit is what
+    stands between the longest common start and end, or columns of new that say where it starts, where it ended and
+    where it ends. Ids of one side alone give no rows; of a repeated id each pair is compared.
+    """
+    parser = LANGUAGES[language]
+    more = [F.col(c).cast("int").alias(f"_e{k}") for k, c in enumerate(edit_cols or ())]
+    both = old.select(id_col, F.col(text_col).alias("_old")).join(new.select(id_col, F.col(text_col).alias("_new"), *more), id_col).where("_old is not null")
+
+    def one(i, after, before, *edit):
+        before = before if isinstance(before, bytes) else before.encode("utf-8")
+        for a, b in changed(parser, before, after, edit or None):
+            yield i, a, b
+
+    return _each_text(both, id_col, "_new", f"`{id_col}` {_kind(old, id_col)}, start int, end int", one, ["_old", *[f"_e{k}" for k in range(len(more))]])
 
 
 def to_parse_again(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -514,6 +754,16 @@ def node_types(nodes: DataFrame) -> DataFrame:
     return base.join(p, (F.col("language") == F.col("parent_language")) & (F.col("kind") == F.col("parent_kind")), "left").drop("parent_language", "parent_kind")
 
 
+def symbols(spark) -> DataFrame:
+    """(language, symbol, name): the kinds of named nodes that each parser makes, numbered in order of their names."""
+    return spark.createDataFrame([(lang, k, name) for lang, own in sorted(KINDS.items()) for k, name in enumerate(sorted(own))], "language string, symbol int, name string")
+
+
+def field_names(spark) -> DataFrame:
+    """(language, field, name), numbered from 1."""
+    return spark.createDataFrame([(lang, k + 1, name) for lang, own in sorted(FIELDS.items()) for k, name in enumerate(sorted(own))], "language string, field int, name string")
+
+
 def expected_next(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(language, kind, next_kind, n): which leaf follows which, as a table for completion."""
     w = Window.partitionBy(*_key(id_col)).orderBy("node_id")

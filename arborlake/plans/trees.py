@@ -108,13 +108,18 @@ def _(spark, sf_dir):
     return both.select("event_id", (F.col("b") - F.col("start_byte")).cast("bigint").alias("moved"))
 
 
-@query("a4_changed_ranges", "SELECT event_id, CAST(6 AS BIGINT) AS start FROM events")
-def _(spark, sf_dir):
+@query(
+    "a4_changed_ranges",
+    """SELECT event_id, CAST(s AS INT) AS start_, CAST(e AS INT) AS end_ FROM (
+         SELECT event_id, 6 AS s, CASE event_id % 4 WHEN 0 THEN 10 ELSE 9 + length(k) END AS e, event_id % 4 AS m FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) WHERE event_id % 4 IN (0, 1)
+         UNION ALL SELECT event_id, 6 + length(k), 8 + length(k), 2 FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) WHERE event_id % 4 = 2)""",
+)
+def _(spark, sf_dir):
+    """A number becomes true, is put in quotes, or grows by two digits; a fourth of the texts stay."""
     e = table(spark, sf_dir, "events").select("event_id", "props")
-    after = e.withColumn("props", F.regexp_replace("props", r"\d+", "true"))
-    own = ["kind", "field", "start_byte", "end_byte", "text", "n_children"]
-    c = T.changed_ranges(cut(T.parse(e, "json", "event_id", "props", columns=own)), cut(T.parse(after, "json", "event_id", "props", columns=own)), "event_id")
-    return c.groupBy("event_id").agg(F.min("start").cast("bigint").alias("start"))
+    to = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("props", "[0-9]+", "true")).when(F.col("event_id") % 4 == 1, F.regexp_replace("props", "([0-9]+)", '"$1x"')).when(F.col("event_id") % 4 == 2, F.regexp_replace("props", "([0-9]+)", "$1.5")).otherwise(F.col("props"))
+    c = T.changed_ranges(e, e.withColumn("props", to), "json", "event_id", "props")
+    return c.withColumnsRenamed({"start": "start_", "end": "end_"})
 
 
 @query("a4_parse_again", "SELECT event_id FROM events WHERE event_id % 10 = 3")
@@ -187,6 +192,122 @@ def _(spark, sf_dir):
     return below.join(starts, ["page_id", "parent_id"]).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
+@query("a5_siblings_of_field", "SELECT event_id, CAST(0 AS BIGINT) AS later FROM events")
+def _(spark, sf_dir):
+    n = _json(spark, sf_dir, False, ["layer_id", "node_id", "parent_id", "child_index", "is_named", "field", "kind"])
+    return T.siblings(n, "event_id").where("field = 'value'").select("event_id", F.col("n_later_of_field").cast("bigint").alias("later"))
+
+
+@query("a5_children_by_field", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
+def _(spark, sf_dir):
+    return T.children_by_field(_json(spark, sf_dir, columns=["parent_id", "field", "text"]), "value").select("event_id", F.col("text").alias("v"))
+
+
+#: Texts of several lines, for points: a line break before each value.
+_LINED = "concat('[', chr(10), ' ', json_extract_string(props, '$.k'), ',', chr(10), '  ', event_id, ']')"
+
+
+def _lined(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("[\n "), F.get_json_object("props", "$.k"), F.lit(",\n  "), F.col("event_id").cast("string"), F.lit("]")).alias("t"))
+
+
+@query("a5_descendant_for_points", "SELECT event_id, CAST(event_id AS VARCHAR) AS v FROM events")
+def _(spark, sf_dir):
+    n = T.parse(_lined(spark, sf_dir), "json", "event_id", "t", columns=["node_id", "depth", "text", "start_row", "start_col", "end_row", "end_col"])
+    r = table(spark, sf_dir, "events").select("event_id", F.lit(2).alias("from_row"), F.lit(2).alias("from_col"), F.lit(2).alias("to_row"), F.lit(3).alias("to_col"))
+    return T.descendant_for_points(n, r, "event_id").select("event_id", F.col("text").alias("v"))
+
+
+@query("a6_first_child_for_point", "SELECT event_id, CAST(event_id AS VARCHAR) AS v FROM events")
+def _(spark, sf_dir):
+    n = T.parse(_lined(spark, sf_dir), "json", "event_id", "t", columns=["node_id", "parent_id", "named_child_index", "text", "end_row", "end_col"])
+    at = table(spark, sf_dir, "events").select("event_id", F.lit(1).alias("parent_id"), F.lit(2).alias("row"), F.lit(0).alias("col"))
+    return T.first_child_for_point(n, at, "event_id", named=True).select("event_id", F.col("text").alias("v"))
+
+
+@query("a5_root_with_offset", f"SELECT event_id, CAST(100 + length({_LINED}) AS INT) AS e, 7 AS r, CAST(3 + length(CAST(event_id AS VARCHAR)) AS INT) AS c FROM events")
+def _(spark, sf_dir):
+    n = T.with_offset(T.parse(_lined(spark, sf_dir), "json", "event_id", "t", kinds=["array"], columns=["start_byte", "start_row", "start_col", "end_byte", "end_row", "end_col"]), 100, 5, 9)
+    return n.select("event_id", F.col("end_byte").alias("e"), F.col("end_row").alias("r"), F.col("end_col").alias("c"))
+
+
+@query("a10_point_range", "SELECT event_id, CAST(event_id AS VARCHAR) AS v FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(_lined(spark, sf_dir), "json", "(number) @n", "event_id", "t", point_range=((2, 0), (9, 0)))
+    return m.select("event_id", F.col("captures")[0]["text"].alias("v"))
+
+
+@query("a10_containing_points", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(_lined(spark, sf_dir), "json", "(number) @n", "event_id", "t", containing_points=((1, 0), (1, 99)))
+    return m.select("event_id", F.col("captures")[0]["text"].alias("v"))
+
+
+@query("a10_disabled", "SELECT event_id, '' AS names FROM events WHERE json_extract_string(props, '$.k') LIKE '%7'")
+def _(spark, sf_dir):
+    q = '((number) @a (#match? @a "7$"))\n(string) @b'
+    m = T.query_texts(table(spark, sf_dir, "events"), "json", q, "event_id", "props", disabled_patterns={1}, disabled_captures={"a"})
+    return m.select("event_id", F.array_join(F.transform("captures", lambda c: c["name"]), ",").alias("names"))
+
+
+@query("a10_remove_match", "SELECT event_id, 'v' AS name FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(table(spark, sf_dir, "events"), "json", "(string) @k\n(number) @v", "event_id", "props")
+    return T.captures(T.without(m, m.where("pattern_index = 0"), "event_id"), "event_id").select("event_id", "name")
+
+
+@query("a10_introspection", "SELECT * FROM (VALUES (0, 0, true, 'k', 'one'), (0, 0, true, 'v', '?'), (1, 52, true, 'n', '+')) AS t(pattern_index, start_byte, rooted, capture, quantifier)")
+def _(spark, sf_dir):
+    return T.query_info(spark, "(pair key: (string) @k value: [(number) @v (null)])\n(array (number)+ @n)", "json").drop("end_byte")
+
+
+@query("a7_symbols", "SELECT 'json' AS language, CAST(13 AS BIGINT) AS n, CAST(2 AS BIGINT) AS fields")
+def _(spark, sf_dir):
+    s = T.symbols(spark).groupBy("language").agg(F.count("*").alias("n"))
+    return s.join(T.field_names(spark).groupBy("language").agg(F.count("*").alias("fields")), "language").where("language = 'json'")
+
+
+@query("a11_combined", "SELECT page_id, CAST(1 AS BIGINT) AS n, CAST(len(regexp_extract_all(html, '<a [^>]*>')) AS BIGINT) AS pieces FROM pages WHERE html LIKE '%<a %'")
+def _(spark, sf_dir):
+    """The values of href, put together to one layer of another language."""
+    q = '((attribute (attribute_name) @_n (quoted_attribute_value (attribute_value) @injection.content)) (#eq? @_n "href") (#set! injection.language "code") (#set! injection.combined))'
+    p = table(spark, sf_dir, "pages")
+    found = T.layers(p.where("html like '%<a %'"), "html", "page_id", "html", injections={"html": q}).where("language = 'code'")
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.size("ranges")).alias("pieces"))
+
+
+@query("a11_unknown_language", "SELECT page_id, CAST(1 AS BIGINT) AS layers FROM pages")
+def _(spark, sf_dir):
+    q = '((script_element (raw_text) @injection.content) (#set! injection.language "no such"))'
+    return T.layers(table(spark, sf_dir, "pages"), "html", "page_id", "html", injections={"html": q}).groupBy("page_id").agg(F.count("*").alias("layers"))
+
+
+@query("a11_overlaid", "SELECT page_id, regexp_replace(html, '(?s)(<script>).*?(</script>)', '\\1' || repeat('~', length(regexp_extract(html, '(?s)<script>(.*?)</script>', 1))) || '\\2') AS t FROM pages")
+def _(spark, sf_dir):
+    return T.overlaid(table(spark, sf_dir, "pages"), "html", "javascript", "~", "page_id", "html").select("page_id", F.col("text").alias("t"))
+
+
+@query("a1_layer_points", "SELECT page_id, CAST(len(string_split(split_part(html, 'track(', 1), chr(10))) - 1 AS INT) AS row_ FROM pages WHERE html LIKE '%track(%'")
+def _(spark, sf_dir):
+    """Rows of nested nodes are those of the document: each page has another number of lines before its script."""
+    p = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.repeat(F.lit("\n"), (F.col("page_id") % 5).cast("int")), "html"))
+    n = T.layered_nodes(p, "html", "page_id", "html", columns=["language", "kind", "text", "start_row"])
+    found = n.where("language = 'javascript' and kind = 'identifier' and text = 'track'")
+    return found.select("page_id", (F.col("start_row") - (F.col("page_id") % 5).cast("int")).alias("row_"))
+
+
+@query("a8_sql_select_items", "SELECT CAST(d AS BIGINT) AS doc_id, CAST(n AS BIGINT) AS n FROM (VALUES (1, 2), (2, 1), (3, 2)) AS t(d, n)")
+def _(spark, sf_dir):
+    m = T.query_texts(spark.createDataFrame(SQL_TEXTS, "doc_id bigint, text string"), "sql", "(select_item) @i")
+    return m.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("a8_sql_relations_and_calls", "SELECT CAST(d AS BIGINT) AS doc_id, c, t FROM (VALUES (1, 'relation', 't'), (1, 'relation', 't'), (2, 'relation', 't'), (2, 'call', 'count'), (3, 'relation', 'q')) AS x(d, c, t)")
+def _(spark, sf_dir):
+    m = T.query_texts(spark.createDataFrame(SQL_TEXTS, "doc_id bigint, text string"), "sql", "(relation value: (identifier) @relation)\n(function_call name: (identifier) @call)")
+    return m.select("doc_id", F.col("captures")[0]["name"].alias("c"), F.col("captures")[0]["text"].alias("t"))
+
+
 @query("a5_sexp", "SELECT event_id, '(document (object (pair key: (string (string_content)) value: (number))))' AS sexp FROM events")
 def _(spark, sf_dir):
     return T.sexps(table(spark, sf_dir, "events"), "json", "event_id", "props")
@@ -285,7 +406,7 @@ def _(spark, sf_dir):
     return n.where("language = 'javascript' and kind = 'identifier' and text = 'track'").select("page_id", F.col("text").alias("f"))
 
 
-@query("a12_highlight", "SELECT event_id, 'string.special.key' AS a, 'number' AS b FROM events")
+@query("a12_highlight", "SELECT event_id, 'property' AS a, 'constant' AS b FROM events")
 def _(spark, sf_dir):
     h = T.highlight(table(spark, sf_dir, "events"), "json", "event_id", "props")
     return h.groupBy("event_id").agg(F.max(F.when(F.col("seq") == 0, F.col("capture"))).alias("a"), F.max(F.when(F.col("seq") == 1, F.col("capture"))).alias("b"))
@@ -299,7 +420,7 @@ def _(spark, sf_dir):
 
 @query("a12_styles", "SELECT event_id, 'green' AS a, 'plain' AS b FROM events")
 def _(spark, sf_dir):
-    styles = spark.createDataFrame([("string", "green"), ("comment", "grey")], "name string, style string")
+    styles = spark.createDataFrame([("property", "green"), ("comment", "grey")], "name string, style string")
     h = T.styled(T.highlight(table(spark, sf_dir, "events"), "json", "event_id", "props"), styles, "plain")
     return h.groupBy("event_id").agg(F.max(F.when(F.col("seq") == 0, F.col("style"))).alias("a"), F.max(F.when(F.col("seq") == 1, F.col("style"))).alias("b"))
 
@@ -312,10 +433,35 @@ def _(spark, sf_dir):
     return T.resolve(refs, defs, scopes).withColumnRenamed("offset", "offset_")
 
 
-@query("a12_tags", "SELECT 'track' AS name, count(*) AS n FROM pages")
+@query("a12_tags", "SELECT page_id, 'track' AS name, 'reference' AS role, 'call' AS tag FROM pages WHERE html LIKE '%track(%'")
 def _(spark, sf_dir):
-    n = T.layered_nodes(table(spark, sf_dir, "pages"), "html", "page_id", "html")
-    return n.where("language = 'javascript' and kind = 'identifier' and text = 'track'").groupBy(F.col("text").alias("name")).agg(F.count("*").alias("n"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1).alias("code")).where("code like '%track(%'")
+    return T.tags(p, "javascript", "page_id", "code").select("page_id", "name", "role", "tag")
+
+
+#: A function of its own for each event, called with a name that it defines and one that it does not.
+_CODE = "concat('function f', event_id, '(a) { use(a); use(b); }')"
+
+
+def _functions(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("function f"), F.col("event_id").cast("string"), F.lit("(a) { use(a); use(b); }")).alias("code"))
+
+
+@query("a12_locals_query", "SELECT event_id, name, def_offset FROM (SELECT event_id, 'a' AS name, CAST(11 + length(CAST(event_id AS VARCHAR)) AS INT) AS def_offset FROM events UNION ALL SELECT event_id, 'b', NULL FROM events)")
+def _(spark, sf_dir):
+    q = '(program) @scope\n("function" . (identifier) . (arguments (identifier) @definition))\n((identifier) @_f . (arguments (identifier) @reference) (#eq? @_f "use"))'
+    refs, defs, scopes = T.scoped_names(_functions(spark, sf_dir), "javascript", q, "event_id", "code")
+    return T.resolve(refs, defs, scopes, "event_id").select("event_id", "name", "def_offset")
+
+
+@query("a12_not_local", "SELECT event_id, 'a' AS t, 'parameter' AS capture FROM events UNION ALL SELECT event_id, 'b', 'variable' FROM events")
+def _(spark, sf_dir):
+    """Names that a scope defines take another colour than those that it does not."""
+    scopes = {"javascript": '(program) @scope\n("function" . (identifier) . (arguments (identifier) @definition))\n((identifier) @_f . (arguments (identifier) @reference) (#eq? @_f "use"))'}
+    colours = {"javascript": '((identifier) @_f . (arguments (identifier) @variable) (#eq? @_f "use") (#is-not? local))\n((identifier) @_f . (arguments (identifier) @parameter) (#eq? @_f "use") (#is? local))'}
+    code = _functions(spark, sf_dir)
+    h = T.highlight(code, "javascript", "event_id", "code", names=["variable", "parameter"], highlights=colours, scopes=scopes)
+    return h.join(code, "event_id").select("event_id", F.expr("substring(code, start_byte + 1, end_byte - start_byte)").alias("t"), "capture")
 
 
 @query("a12_colours", "SELECT * FROM (VALUES (255, 0, 0, 196), (8, 8, 8, 232), (0, 0, 255, 21), (128, 128, 128, 244)) AS t(r, g, b, index)")

@@ -37,46 +37,132 @@ class Node:
         return node
 
 
-def rows(root: Node, source: bytes, layer: int, language: str, shift: list[tuple[int, int]] | None = None, wanted: frozenset[str] | None = None) -> list[tuple]:
-    """NODES_SCHEMA rows in pre-order, of the wanted kinds if they are named. shift: (offset in source, offset in the document) of each range that source was put together from."""
-    lines = [0]
-    at = source.find(b"\n")
+COLUMNS = [f.strip().split(" ")[0] for f in NODES_SCHEMA.split(", ")]
+
+
+def line_starts(source: bytes) -> list[int]:
+    """The offsets at which lines begin."""
+    lines, at = [0], source.find(b"\n")
     while at >= 0:
         lines.append(at + 1)
         at = source.find(b"\n", at + 1)
-    starts = [a for a, _ in shift] if shift else None
+    return lines
+
+
+def placed(shift: list[tuple[int, int]] | None, offset: int, end: bool = False) -> int:
+    """The document's offset of one in a text that was put together from ranges; an end belongs to the range before it."""
+    if shift is None:
+        return offset
+    k = max(0, bisect_right(shift, (offset - (1 if end and offset else 0), 1 << 62)) - 1)
+    return offset - shift[k][0] + shift[k][1]
+
 
-    def where(offset: int, end: bool = False) -> tuple[int, int, int]:
-        row = bisect_right(lines, offset) - 1
-        if starts is None:
-            return offset, row, offset - lines[row]
-        k = max(0, bisect_right(starts, offset - (1 if end and offset else 0)) - 1)
-        return offset - starts[k] + shift[k][1], row, offset - lines[row]
+def columns(root: Node, source: bytes, layer: int, language: str, names: list[str] = COLUMNS, shift: list[tuple[int, int]] | None = None, wanted: frozenset[str] | None = None, document: bytes | None = None) -> list[list]:
+    """The named columns of NODES_SCHEMA for the nodes in pre-order, or for those of the wanted kinds.
 
-    out: list[list] = []
-    todo = [(root, None, (), 0, 0, None)]
+    shift: (offset in source, offset in the document) of each range that source was put together from; offsets, rows
+    and columns are then the document's. Only what is named is built.
+    """
+    nodes: list[Node] = []
+    parent: list[int | None] = []
+    index: list[int] = []
+    depth: list[int] = []
+    todo: list[tuple[Node, int | None, int, int]] = [(root, None, 0, 0)]
+    pop, push = todo.pop, todo.append
     while todo:
-        node, parent, ancestors, depth, index, named_index = todo.pop()
-        me = len(out)
-        skip = wanted is not None and node.kind not in wanted
-        s, e = ((0, 0, 0),) * 2 if skip else (where(node.start), where(node.end, True))
-        named = [c for c in node.children if c.named]
-        out.append([
-            layer, language, me, parent, me, list(ancestors), depth, index, named_index, len(node.children), len(named), node.field, node.kind, list(node.supertypes), node.named, node.extra, node.missing, node.error, node.error or node.missing,
-            s[0], e[0], s[1], s[2], e[1], e[2], None if skip or node.children else source[node.start : node.end].decode("utf-8", "replace"),
-        ])
-        below = (*ancestors, me)
-        k = len(named)
-        for i in range(len(node.children) - 1, -1, -1):
-            c = node.children[i]
-            k -= c.named
-            todo.append((c, me, below, depth + 1, i, k if c.named else None))
-    for r in reversed(out):  # last descendants and errors go up
-        if r[3] is not None:
-            p = out[r[3]]
-            p[4] = max(p[4], r[4])
-            p[18] = p[18] or r[18]
-    return [tuple(r) for r in out if wanted is None or r[12] in wanted]
+        node, above, at, level = pop()
+        me = len(nodes)
+        nodes.append(node)
+        parent.append(above)
+        index.append(at)
+        depth.append(level)
+        below = node.children
+        for k in range(len(below) - 1, -1, -1):
+            push((below[k], me, k, level + 1))
+    keep = None if wanted is None else [k for k, n in enumerate(nodes) if n.kind in wanted]
+    own = nodes if keep is None else [nodes[k] for k in keep]
+    pick = lambda values: values if keep is None else [values[k] for k in keep]
+    made: dict[str, list] = {}
+
+    def last() -> list[int]:
+        out = list(range(len(nodes)))
+        for k in range(len(nodes) - 1, 0, -1):
+            p = parent[k]
+            if out[k] > out[p]:
+                out[p] = out[k]
+        return out
+
+    def errors() -> list[bool]:
+        out = [n.missing or n.kind == "ERROR" for n in nodes]
+        for k in range(len(nodes) - 1, 0, -1):
+            if out[k]:
+                out[parent[k]] = True
+        return out
+
+    def ancestors() -> list[list[int]]:
+        out: list[list[int]] = []
+        for p in parent:
+            out.append([] if p is None else [*out[p], p])
+        return out
+
+    def named_index() -> list[int | None]:
+        out: list[int | None] = [None] * len(nodes)
+        seen = [0] * len(nodes)
+        for k in range(1, len(nodes)):
+            if nodes[k].named:
+                p = parent[k]
+                out[k] = seen[p]
+                seen[p] += 1
+        return out
+
+    def points(ends: bool) -> None:
+        lines = line_starts(source if shift is None or document is None else document)
+        rows, cols, prefix = [], [], "end" if ends else "start"
+        for at in made[f"{prefix}_byte"]:
+            row = bisect_right(lines, at) - 1
+            rows.append(row)
+            cols.append(at - lines[row])
+        made[f"{prefix}_row"], made[f"{prefix}_col"] = rows, cols
+
+    asked = set(names)
+    n = len(own)
+    for ends, prefix in ((False, "start"), (True, "end")):
+        if asked & {f"{prefix}_byte", f"{prefix}_row", f"{prefix}_col"}:
+            at = [x.end for x in own] if ends else [x.start for x in own]
+            made[f"{prefix}_byte"] = at if shift is None else [placed(shift, o, ends) for o in at]
+            if asked & {f"{prefix}_row", f"{prefix}_col"}:
+                points(ends)
+    build = {
+        "layer_id": lambda: [layer] * n,
+        "language": lambda: [language] * n,
+        "node_id": lambda: list(range(n)) if keep is None else keep,
+        "parent_id": lambda: pick(parent),
+        "last_desc": lambda: pick(last()),
+        "ancestors": lambda: pick(ancestors()),
+        "depth": lambda: pick(depth),
+        "child_index": lambda: pick(index),
+        "named_child_index": lambda: pick(named_index()),
+        "n_children": lambda: [len(x.children) for x in own],
+        "n_named": lambda: [sum(c.named for c in x.children) for x in own],
+        "field": lambda: [x.field for x in own],
+        "kind": lambda: [x.kind for x in own],
+        "supertypes": lambda: [x.supertypes for x in own],
+        "is_named": lambda: [x.named for x in own],
+        "is_extra": lambda: [x.extra for x in own],
+        "is_missing": lambda: [x.missing for x in own],
+        "is_error": lambda: [x.kind == "ERROR" for x in own],
+        "has_error": lambda: pick(errors()),
+        "text": lambda: [None if x.children else source[x.start : x.end].decode("utf-8", "replace") for x in own],
+    }
+    return [made[c] if c in made else build[c]() for c in names]
+
+
+def rows(root: Node, source: bytes, layer: int, language: str, shift: list[tuple[int, int]] | None = None, wanted: frozenset[str] | None = None, document: bytes | None = None) -> list[tuple]:
+    """columns() as rows of NODES_SCHEMA."""
+    got = columns(root, source, layer, language, COLUMNS, shift, wanted, document)
+    ancestors, supertypes = COLUMNS.index("ancestors"), COLUMNS.index("supertypes")
+    got[ancestors], got[supertypes] = list(map(list, got[ancestors])), list(map(list, got[supertypes]))
+    return list(zip(*got))
 
 
 def settle(root: Node) -> Node:

@@ -19,6 +19,7 @@ def check(root, source):
             assert at <= c.start and c.end <= n.end, (n, c)
             at = c.end
     out = rows(root, source, 0, "x")
+    assert [r[12] for r in out] == [n.kind for n in walk(root)]
     for r in out:
         if r[3] is not None:
             assert out[r[3]][2] < r[2] <= out[r[3]][4] and out[r[3]][6] == r[6] - 1

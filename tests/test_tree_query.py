@@ -2,8 +2,13 @@ import random
 
 import pytest
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from arborlake.operators import trees as T
-from arborlake.syntax import LANGUAGES
+from arborlake.syntax import FIELDS, KINDS, LANGUAGES
+from arborlake.syntax.change import changed, edit_between, moved
 from arborlake.syntax.match import Matcher
 from arborlake.syntax.nodes import walk
 from arborlake.syntax.query import Query, QueryError
@@ -104,3 +109,123 @@ def test_change_and_layers(spark):
         T.replaced(b"abc", [(0, 1, b"xx")])
     assert T.replaced(b"abc", [(0, 1, b"x")]) == b"xbc"
     assert T.parse(df.limit(0), "html").count() == 0
+
+
+def test_names_of_a_language(spark):
+    df = spark.createDataFrame([(1, "[1]")], "doc_id int, text string")
+    for query, kind in (("(no_such_kind) @x", "node type"), ("(pair nothing: (_) @x)", "field"), ("(pair !nothing) @x", "field"), ("(array (strings) @x)", "node type")):
+        with pytest.raises(QueryError) as e:
+            T.query_texts(df, "json", query)
+        assert e.value.kind == kind
+    assert T.query_texts(df, "json", "(_value/number) @x").count() == 1
+    for language in LANGUAGES:
+        for text in ('{"a": [1, null], "b": "x\\n"} // c', "<p class='a'>x &amp; <br/><script>f(1)</script></q>", "select a.b, f(x) over (order by 1) from (select 1) t join u using (k) where not a in (1) -- c", "function f(a) { return `x` + [1]; }"):
+            nodes = list(walk(LANGUAGES[language](text.encode())))
+            assert {n.kind for n in nodes if n.named and not n.error} <= KINDS[language]
+            assert {n.field for n in nodes if n.field} <= FIELDS[language]
+            assert {x for n in nodes for x in n.supertypes} <= KINDS[language]
+
+
+def brute_changed(parser, old, new, edit):
+    """Byte by byte: the nodes over it, each by its kind, name, field and start."""
+
+    def paths(source, move):
+        out = [()] * len(new)
+        empty = set()
+
+        def go(node, above):
+            a, b = move(node.start, False), move(node.end, True)
+            path = (*above, (node.kind, node.named, node.field, a))
+            if a >= b:
+                empty.add((a, path))
+            for k in range(a, min(b, len(new))):
+                out[k] = path
+            for c in node.children:
+                go(c, path)
+
+        go(parser(source), ())
+        return out, empty
+
+    (x, e), (y, f) = paths(old, lambda o, end: min(len(new), moved(o, edit, end))), paths(new, lambda o, end: o)
+    bad = {k for k in range(len(new)) if x[k] != y[k]} | {min(k, len(new) - 1) for k, _ in e ^ f if new}
+    out = []
+    for k in sorted(bad):
+        if out and out[-1][1] == k:
+            out[-1] = (out[-1][0], k + 1)
+        else:
+            out.append((k, k + 1))
+    return out
+
+
+PIECES = st.lists(st.sampled_from(['{', '}', '[', ']', ',', ':', '"a"', '"', "1", "23", "true", " ", "x", "-", "é"]), max_size=14).map("".join)
+
+
+@pytest.mark.parametrize("language", ["json", "code", "sql"])
+@settings(max_examples=300, deadline=None)
+@given(PIECES, PIECES, PIECES, PIECES)
+def test_changed_against_brute_force(language, a, b, c, d):
+    """Random edits: b between a and d becomes c."""
+    old, new = (a + b + d).encode(), (a + c + d).encode()
+    parser = LANGUAGES[language]
+    given_edit = (len(a.encode()), len((a + b).encode()), len((a + c).encode()))
+    assert changed(parser, old, new, given_edit) == brute_changed(parser, old, new, given_edit)
+    if old != new:
+        s, o, n = edit_between(old, new)
+        assert old[:s] == new[:s] and old[o:] == new[n:] and new[s:n] != old[s:o]
+        assert changed(parser, old, new) == brute_changed(parser, old, new, (s, o, n))
+    else:
+        assert changed(parser, old, new) == []
+
+
+def test_changed_ranges(spark):
+    json = LANGUAGES["json"]
+    assert changed(json, b'{"a": 1, "b": 2, "c": 3}', b'{"a": 1000, "b": 2, "c": 3}') == [(7, 10)]  # the number's new bytes, and nothing behind it
+    assert changed(json, b'{"a": 1, "b": 2}', b'{"a": [1], "b": 2}') == [(6, 9)]
+    assert changed(json, b"[1, 2]", b"[7, 2]") == []
+    old = spark.createDataFrame([(1, "[1]"), (2, None), (3, "[1]"), (4, "x"), (None, "[1]")], "doc_id int, text string")
+    new = spark.createDataFrame([(1, "[true]", 1, 2, 5), (2, "[1]", 0, 0, 0), (3, None, 0, 0, 0), (5, "x", 0, 0, 0)], "doc_id int, text string, s int, o int, n int")
+    for edit in (None, ("s", "o", "n")):
+        assert [tuple(r) for r in T.changed_ranges(old, new, "json", edit_cols=edit).collect()] == [(1, 1, 5)]
+
+
+def test_layers_of_layers(spark):
+    """Points are the document's, ranges are cut by their parent's, and a layer that holds itself ends."""
+    text = "\n\n<p>é</p>\n<script>\n  track(1)</script>"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    n = T.layered_nodes(df, "html").where("text = 'track'").first()
+    assert (n.start_row, n.start_col, text.encode()[n.start_byte : n.end_byte]) == (4, 2, b"track")
+    pieces = spark.createDataFrame([(1, "ab[1,\n2]cd\n [3", [(2, 9), (12, 15)])], "doc_id int, text string, r array<struct<start:int,end:int>>")
+    got = {(r.text, r.start_row, r.start_col, r.end_row, r.end_col) for r in T.parse(pieces, "json", ranges_col="r", kinds=["number"]).collect()}
+    assert got == {("1", 0, 3, 0, 4), ("2", 1, 0, 1, 1), ("3", 2, 2, 2, 3)}
+    own = {"json": '((string (string_content) @injection.content) (#set! injection.language "json"))'}
+    deep = '"' + "a" * 3 + '"'
+    for _ in range(12):
+        deep = '["' + deep.replace('"', "'") + '"]'
+    assert T.layers(spark.createDataFrame([(1, "x")], "doc_id int, text string"), "json", injections={"json": '((document) @injection.content (#set! injection.language "json") (#set! injection.include-children))'}).count() == 1
+    assert T.layers(spark.createDataFrame([(1, '["[1]"]')], "doc_id int, text string"), "json", injections=own).count() == 2
+    assert T._document_spans([(1, 5)], [(0, 10), (3, 20)], 6) == [(11, 13), (20, 22)]
+
+
+def test_budgets(spark):
+    many = "[" + ",".join(map(str, range(200))) + "]"
+    df = spark.createDataFrame([(1, many), (2, "[1, 2]")], "doc_id int, text string")
+    q = "(array (number) @a (number) @b)"
+    whole = {r.doc_id: (r.n, r.x) for r in T.query_texts(df, "json", q).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("exceeded").alias("x")).collect()}
+    assert whole == {1: (199 * 100, False), 2: (1, False)}
+    cut = {r.doc_id: (r.n, r.x) for r in T.query_texts(df, "json", q, match_limit=50).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("exceeded").alias("x")).collect()}
+    assert cut == {1: (50, True), 2: (1, False)}
+    assert T.query_texts(df, "json", q, seconds=0.0).count() < 199 * 100
+
+
+def test_sql_trees():
+    from arborlake.syntax.nodes import sexp
+
+    tree = lambda q: sexp(LANGUAGES["sql"](q.encode()))
+    assert "(join (keyword) (keyword) right: (relation value: (identifier)) condition: (join_condition (keyword) (binary_expression" in tree("select 1 from t left join u on t.a = u.b")
+    assert tree("select 1 + 2 * 3") == "(source_file (statement (select_clause (keyword) (select_item value: (binary_expression left: (number) right: (binary_expression left: (number) right: (number)))))))"
+    assert tree("select x between 1 and 2 and y").count("binary_expression") == 3
+    assert "function_call name: (identifier) arguments: (parenthesis (identifier)) window: (window_definition" in tree("select sum(x) over (order by y) from t")
+    assert "(query (select_clause" in tree("select * from (select a from b) c")
+    assert tree("vacuum full t") == "(source_file (statement (identifier) (keyword) (identifier)))" and "select_item" in tree("with q as (select 1) select q.x as y from q")
+    deep = "select " + "(" * 400 + "1" + ")" * 400
+    assert LANGUAGES["sql"](deep.encode()).end == len(deep)
