@@ -9,15 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.operators.storage import cut
-
-#: Rows of the smaller side that are broadcast at most by the joins here; beyond it they shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    return df.limit(most + 1).count() <= most
-
+from arborlake.operators.storage import cut, small
 
 def with_row_index(df: DataFrame, order: list, name: str = "row_index") -> DataFrame:
     """Adds 0, 1, 2 .. in the given order without bringing all rows into one task.
@@ -95,76 +87,109 @@ def right_anti(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def partitioned_outer_join(left: DataFrame, right: DataFrame, partition: list[str], on: list[str]) -> DataFrame:
     """Densifies: for each partition of left, each row of right, with the left values where there are any.
 
-    right is the dense dimension (a calendar, say) and is broadcast behind a check of its size.
+    right is the dense dimension (a calendar, say) and is broadcast behind a check of its bytes. The result has a row
+    for each key and row of it, whatever joins them.
     """
     keys = left.select(*partition).distinct()
-    dim = F.broadcast(right) if small(right) else right
-    grid = keys.join(dim, F.lit(True))
+    grid = keys.join(small(right), F.lit(True))
     return grid.join(left, [*partition, *on], "left")
 
 
-def nearest_vectors(queries: DataFrame, rows: DataFrame, query_id: str, query_vec: str, row_id: str, row_vec: str, k: int, block: int = 512, metric: str = "l2") -> DataFrame:
+#: Bytes of query vectors that one scan of the rows takes along, and numbers that a task compares at once.
+BLOCK_BYTES, COMPARED = 32 << 20, 4_000_000
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, query_id: str, query_vec: str, row_id: str, row_vec: str, k: int, metric: str = "l2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k nearest rows of each query: (query_id, row_id, distance, rank). Exact.
 
-    The queries are a stated set; they go over all rows in blocks, each task keeps the k best for each query of what it
-    has read, and these are merged. Ties go to the smaller row id. metric: l2 or cosine distance.
+    The queries are a stated set; they go over all rows in blocks of so many bytes, each task keeps the k best for each
+    query of what it has read, and these are merged. Ties go to the smaller row id; nulls are left out. metric: l2 or
+    cosine distance.
     """
     spark = rows.sparkSession
     out = None
-    q = queries.select(F.col(query_id).alias("i"), F.col(query_vec).alias("v")).where("v is not null")
-    got: list = []
+    q = queries.select(F.col(query_id).alias("i"), F.col(query_vec).alias("v")).where("i is not null and v is not null")
 
-    def one(block_rows):
-        ids = np.array([r["i"] for r in block_rows])
-        mat = np.array([r["v"] for r in block_rows], np.float64)
-        sent = spark.sparkContext.broadcast((ids, mat))
+    def distances(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            return 1 - (m @ x.T) / np.maximum(np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
+        return np.sqrt(((m[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+
+    def one(ids: list, vectors: list):
+        sent = spark.sparkContext.broadcast((np.array(ids), np.array(vectors, np.float64)))  # block_bytes
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, mat = sent.value
-            top_d, top_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            top_d, top_i = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+            filled = 0
             for pdf in batches:
                 pdf = pdf.dropna()
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["v"].tolist(), np.float64)
-                if metric == "cosine":
-                    d = 1 - (mat @ x.T) / np.maximum(np.linalg.norm(mat, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
-                else:
-                    d = np.sqrt(((mat[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if len(x) * len(mat) * x.shape[1] < 5e7 else np.stack([np.sqrt(((m - x) ** 2).sum(axis=1)) for m in mat])
-                d = np.concatenate([top_d, d], axis=1)
-                i = np.concatenate([top_i, np.broadcast_to(pdf["i"].to_numpy(), (len(ids), len(pdf)))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                top_d, top_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            n = top_d.shape[1]
-            yield pd.DataFrame({"q": np.repeat(ids, n), "r": top_i.ravel(), "d": top_d.ravel()})
+                for at in range(0, len(pdf), 512):
+                    part = pdf.iloc[at : at + 512]
+                    x = np.array(part["v"].tolist(), np.float64)
+                    own = part["i"].to_numpy()
+                    filled += len(own)
+                    step = max(1, COMPARED // x.size)
+                    for m in range(0, len(ids), step):
+                        d = np.concatenate([top_d[m : m + step], distances(mat[m : m + step], x)], axis=1)
+                        i = np.concatenate([top_i[m : m + step], np.broadcast_to(own, (len(d), len(own)))], axis=1)
+                        order = np.lexsort((i, d), axis=1)[:, :k]
+                        top_d[m : m + step], top_i[m : m + step] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            n = min(filled, k)
+            yield pd.DataFrame({"q": np.repeat(ids, n), "r": top_i[:, :n].ravel(), "d": top_d[:, :n].ravel()})
 
         return rows.select(F.col(row_id).alias("i"), F.col(row_vec).alias("v")).mapInPandas(best, "q bigint, r bigint, d double")
 
+    ids: list = []
+    vectors: list = []
     for r in q.toLocalIterator():
-        got.append(r)
-        if len(got) == block:
-            part = one(got)
-            out, got = part if out is None else out.unionAll(part), []
-    if got or out is None:
-        part = one(got) if got else spark.createDataFrame([], "q bigint, r bigint, d double")
+        ids.append(r["i"])
+        vectors.append(r["v"])
+        if len(ids) * len(r["v"]) * 8 >= block_bytes:
+            part = one(ids, vectors)
+            out, ids, vectors = part if out is None else out.unionAll(part), [], []
+    if ids:
+        part = one(ids, vectors)
         out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = spark.createDataFrame([], "q bigint, r bigint, d double")
     w = Window.partitionBy("q").orderBy("d", "r")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias(row_id), F.col("d").alias("distance"), "rank")
 
 
-def nearest_value(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_id: str, by: list[str]) -> DataFrame:
-    """Each left row with the right row of the same keys whose number is nearest: adds right_id and distance. Ties go to the smaller number."""
-    v = F.struct(F.col(right_on).alias("x"), F.col(right_id).alias("id"))
-    a = left.withColumn("_t", F.col(left_on)).withColumn("_s", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(v.alias("v")).schema["v"].dataType))
-    b = right.select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_s"), v.alias("_v"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    order = [F.col("_t"), F.col("_s"), F.col("_v.id").desc()]
-    down = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*by).orderBy(F.col("_t"), F.col("_s"), F.col("_v.id").desc()).rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("_lo", F.last("_v", ignorenulls=True).over(down)).withColumn("_hi", F.first("_v", ignorenulls=True).over(up)).where("_s = 1")
+#: Ranges of the numbers that nearest_value() deals each key to.
+RANGES = 256
+
+
+def nearest_value(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_id: str, by: list[str], ranges: int = RANGES) -> DataFrame:
+    """Each left row with the right row of the same keys whose number is nearest: adds right_id and distance. Ties go to the smaller number, then id.
+
+    Rows are dealt by keys and ranges of the number, so that a hot key, or no key at all, spreads over tasks; a range
+    sees the last number before it and the first behind it. Left rows without a number, or without any of their keys,
+    have nulls.
+    """
+    b = right.where(F.col(right_on).isNotNull()).groupBy(*by, F.col(right_on).alias("_t")).agg(F.min(right_id).alias("_id"))
+    kind = dict(b.dtypes)["_id"]
+    cuts = b.agg(F.percentile_approx("_t", [k / ranges for k in range(1, ranges)], 10_000).alias("p")).first()["p"] or []  # bounds alone
+    cuts = sorted(set(cuts))
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_t"))) if cuts else F.lit(0)
+    v = F.struct(F.col("_t").alias("x"), F.col("_id").alias("id"))
+    a = left.withColumn("_t", F.col(left_on)).withColumn("_s", F.lit(1))
+    both = a.unionByName(b.withColumn("_s", F.lit(0)), allowMissingColumns=True).withColumn("_b", number)
+    both = both.withColumn("_v", F.when(F.col("_s") == 0, v))
+    own = Window.partitionBy(*by, "_b").orderBy(F.col("_t").asc_nulls_first(), "_s")
+    near = both.withColumn("_lo", F.last("_v", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first("_v", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))).where("_s = 1")
+    ends = both.groupBy(*by, "_b").agg(F.min("_v").alias("_first"), F.max("_v").alias("_last"))  # a row for each key and range
+    over = Window.partitionBy(*by).orderBy("_b")
+    ends = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_behind", F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)))
+    on = F.col("_b") == F.col("e__b")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in [*by, "_b"]], "_before", "_behind")
+    near = near.join(ends, on, "left").withColumn("_lo", F.coalesce("_lo", "_before")).withColumn("_hi", F.coalesce("_hi", "_behind"))
     lo_d, hi_d = F.col("_t") - F.col("_lo.x"), F.col("_hi.x") - F.col("_t")
-    pick = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull() | (lo_d <= hi_d), F.col("_lo")).otherwise(F.col("_hi"))
-    return near.withColumn("_p", pick).select(*[F.col(c) for c in left.columns], F.col("_p.id").alias(right_id), F.abs(F.col("_t") - F.col("_p.x")).alias("distance"))
+    pick = F.when(F.col("_t").isNull(), None).when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull() | (lo_d <= hi_d), F.col("_lo")).otherwise(F.col("_hi"))
+    return near.withColumn("_p", pick).select(*[F.col(c) for c in left.columns], F.col("_p.id").cast(kind).alias(right_id), F.abs(F.col("_t") - F.col("_p.x")).alias("distance"))
 
 
 def containment_join(outer: DataFrame, inner: DataFrame, by: list[str], outer_range: tuple[str, str], inner_range: tuple[str, str], width: int) -> DataFrame:

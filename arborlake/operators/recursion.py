@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from arborlake.operators.storage import cut
 
 
+#: Rounds whose rows are read side by side before they are written together.
+TOGETHER = 16
+
+
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 1000) -> DataFrame:
-    """WITH RECURSIVE .. UNION: rows of start and of each step from the new rows, until there are none."""
+    """WITH RECURSIVE .. UNION: rows of start and of each step from the new rows, until there are none.
+
+    A round writes its new rows; those seen before are written again once in TOGETHER rounds.
+    """
     seen = new = cut(start.distinct())
-    for _ in range(most_rounds):
+    for n in range(1, most_rounds + 1):
         new = cut(step(new).select(*seen.columns).distinct().subtract(seen))
         if new.isEmpty():
             return seen
-        seen = cut(seen.unionAll(new))
+        seen = seen.unionAll(new)
+        if n % TOGETHER == 0:
+            seen = cut(seen)
     raise ValueError(f"no fix-point after {most_rounds} rounds")
 
 

@@ -86,23 +86,39 @@ def excluded_frame(df: DataFrame, agg: str, value: str, partition: list[str], or
     return df.withColumn(name, F.when(left > 0, out).otherwise(F.lit(0) if agg == "count" else F.lit(None)))
 
 
+#: Steps of the grid that fill() carries values over in one task.
+STEPS = 4096
+
+
 def fill(df: DataFrame, key: str, step, start=None, end=None, interpolate: list[str] = ()) -> DataFrame:
     """ORDER BY key WITH FILL STEP step: rows for missing keys; `interpolate` columns carry the value before them.
 
-    The grid is made by a sequence; values are carried over the dense grid.
+    step: a number, or an interval for dates and times. The grid is made in pieces, and values are carried over each
+    piece and then from piece to piece, of which one row each is looked at. Keys off the grid are left out.
     """
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     lo, hi = lo if start is None else start, hi if end is None else end
     if lo is None:
         return df
     spark = df.sparkSession
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias(key))
-    out = grid.join(df, key, "left")
+    if isinstance(step, int) and isinstance(lo, int):
+        n = max(0, (hi - lo) // step + 1)
+        grid = spark.range(n).select(F.col("id").alias("_i"), (F.lit(lo) + F.col("id") * step).cast(dict(df.dtypes)[key]).alias(key))
+    else:
+        whole = spark.range(1).select(F.posexplode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias("_i", key))
+        grid = whole.select(F.col("_i").cast("bigint").alias("_i"), key)
+    out = grid.join(df, key, "left").withColumn("_b", F.floor(F.col("_i") / STEPS))
     if interpolate:
-        w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)  # the dense grid: one row a step
+        inside = Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+        ends = out.groupBy("_b").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_i"))).alias(f"_last_{c}") for c in interpolate])
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each piece of the grid
+        ends = ends.select("_b", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_from_{c}") for c in interpolate])
+        for c in interpolate:
+            out = out.withColumn(c, F.last(c, ignorenulls=True).over(inside))
+        out = out.join(ends, "_b")
         for c in interpolate:
-            out = out.withColumn(c, F.last(c, ignorenulls=True).over(w))
-    return out
+            out = out.withColumn(c, F.coalesce(c, f"_from_{c}")).drop(f"_from_{c}")
+    return out.drop("_b", "_i").select(*df.columns)
 
 
 def with_totals(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:

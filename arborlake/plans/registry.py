@@ -47,7 +47,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """Registers the queries of the other modules."""
-    from arborlake.plans import dialect_queries, more, relational, relational_sql, streams, trees  # noqa: F401
+    from arborlake.plans import dialect_queries, language_queries, more, relational, relational_sql, streams, trees  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

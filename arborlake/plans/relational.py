@@ -11,6 +11,8 @@ from arborlake.functions.types import spark_type
 from arborlake.operators import changes as C
 from arborlake.operators import joins as J
 from arborlake.operators import patterns, ranges, recursion
+from arborlake.operators.functions import model, table_function
+from arborlake.operators.storage import small
 from arborlake.operators import windows as W
 from arborlake.plans.registry import register
 from arborlake.session import table
@@ -91,14 +93,35 @@ def _(spark):
     return readers.values(spark, [(1, "a"), (2, "b")], "i int, s string")
 
 
-@query("b1_table_argument", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey", "orders")
+@query("b1_table_argument", "SELECT o_custkey, round(max(m - o_totalprice), 2) AS fall FROM (SELECT o_custkey, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS m FROM orders) GROUP BY 1", "orders")
 def _(spark, orders):
-    import pandas as pd
+    """The greatest fall of a customer's prices: a function that reads its table row by row, partitioned and ordered."""
 
-    def per_key(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"o_custkey": [key[0]], "n": [len(pdf)], "s": [round(float(pdf["o_totalprice"].sum()), 2)]})
+    def fall(key, rows):
+        top, most = None, 0.0
+        for (price,) in rows:
+            top = price if top is None else max(top, price)
+            most = max(most, top - price)
+        yield (round(most, 2),)
 
-    return orders.select("o_custkey", "o_totalprice").groupBy("o_custkey").applyInPandas(per_key, "o_custkey bigint, n bigint, s double")
+    return table_function(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_totalprice"], fall, "fall double")
+
+
+@query("b1_rowset_split", "SELECT s_suppkey, unnest(range(1, len(string_split(s_name, '#')) + 1))::INT AS ordinal, unnest(string_split(s_name, '#')) AS value FROM supplier", "supplier")
+def _(spark, supplier):
+    return readers.split_rows(supplier, "s_name", "#", ["s_suppkey"])
+
+
+@query("b1_rowset_series", "SELECT n_nationkey, unnest(range(n_regionkey, n_nationkey + 1, 3)) AS value FROM nation", "nation")
+def _(spark, nation):
+    return readers.series_rows(nation, "n_regionkey", "n_nationkey", 3, ["n_nationkey"])
+
+
+@query("b1_stage_files", "SELECT 'region.parquet' AS name, count(*) AS n FROM region", "region")
+def _(spark, region):
+    base = region.inputFiles()[0].rsplit("/", 1)[0]
+    own = readers.stage_files(spark, base, "region*")
+    return own.select("name").crossJoin(readers.stage_table(spark, base, "region*").agg(F.count("*").alias("n")))
 
 
 # ---- B2 changes
@@ -196,7 +219,7 @@ def _(spark, region):
     return readers.as_json(region)
 
 
-@query("b2_for_xml", None, "region")
+@query("b2_for_xml", "SELECT '<row>' || chr(10) || '    <r_regionkey>' || r_regionkey || '</r_regionkey>' || chr(10) || '    <r_name>' || r_name || '</r_name>' || chr(10) || '</row>' AS xml FROM region", "region")
 def _(spark, region):
     return readers.as_xml(region)
 
@@ -210,7 +233,7 @@ def _(spark, orders):
 @query("b2_dictionary", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", "customer", "nation")
 def _(spark, customer, nation):
     d = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return customer.join(F.broadcast(d) if J.small(d) else d, "c_nationkey", "left").select("c_custkey", "n_name")
+    return customer.join(small(d), "c_nationkey", "left").select("c_custkey", "n_name")
 
 
 @query("b2_sequence", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS seq FROM part", "part")
@@ -236,9 +259,9 @@ def _(spark, nation):
     return stars.star_like(nation, "n_%key")
 
 
-@query("b3_columns_regex", "SELECT COLUMNS('.*key$') FROM lineitem WHERE l_orderkey < 50", "lineitem")
+@query("b3_columns_regex", "SELECT COLUMNS('.*key$') FROM lineitem", "lineitem")
 def _(spark, lineitem):
-    return lineitem.where("l_orderkey < 50").select(*stars.columns(lineitem, "key$"))
+    return lineitem.select(*stars.columns(lineitem, "key$"))
 
 
 @query("b3_apply", "SELECT max(l_quantity) AS l_quantity, max(l_tax) AS l_tax FROM lineitem", "lineitem")
@@ -373,15 +396,22 @@ def _(spark, region, nation):
     return spark.sql("SELECT r_name, m FROM {region} LEFT JOIN LATERAL (SELECT max(n_name) AS m FROM {nation} WHERE n_regionkey = r_regionkey) ON TRUE", region=region, nation=nation)
 
 
-@query("b4_nearest_value", "SELECT c_custkey, s_suppkey FROM customer, LATERAL (SELECT s_suppkey FROM supplier ORDER BY abs(c_acctbal - s_acctbal), s_acctbal, s_suppkey LIMIT 1) t WHERE c_nationkey < 10", "customer", "supplier")
+@query("b4_nearest_value", "SELECT c_custkey, s_suppkey FROM customer, LATERAL (SELECT s_suppkey FROM supplier ORDER BY abs(c_acctbal - s_acctbal), s_acctbal, s_suppkey LIMIT 1) t", "customer", "supplier")
 def _(spark, customer, supplier):
-    c, s = customer.where("c_nationkey < 10").withColumn("one", F.lit(1)), supplier.withColumn("one", F.lit(1))
-    return J.nearest_value(c, s, "c_acctbal", "s_acctbal", "s_suppkey", ["one"]).select("c_custkey", "s_suppkey")
+    return J.nearest_value(customer, supplier, "c_acctbal", "s_acctbal", "s_suppkey", []).select("c_custkey", "s_suppkey")
 
 
-@query("b4_nearest_vectors", None, "embeddings")
+_NEAREST = """WITH d AS (SELECT q.vec_id AS query_id, r.vec_id AS row_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS d
+    FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, row_id) AS rank FROM d)
+SELECT query_id, row_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank FROM t WHERE rank <= 5"""
+
+
+@query("b4_nearest_vectors", _NEAREST, "embeddings")
 def _(spark, embeddings):
-    return J.nearest_vectors(embeddings.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), embeddings, "query_id", "embedding", "vec_id", "embedding", 5)
+    """The stated queries, ids divisible by 20, against all rows."""
+    found = J.nearest_vectors(embeddings.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), embeddings, "query_id", "embedding", "vec_id", "embedding", 5)
+    return found.select("query_id", F.col("vec_id").alias("row_id"), F.round("distance", 6).alias("distance"), "rank")
 
 
 @query("b4_outer_mark", "SELECT n_name, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey", "nation", "supplier")
@@ -438,17 +468,21 @@ def _(spark, lineitem):
     return lineitem.groupBy("l_returnflag").agg(F.round(F.sum(F.when(F.col("l_quantity") > 25, F.col("l_tax"))), 4).alias("s"), F.count_if(F.col("l_quantity") > 25).alias("c"))
 
 
-@query("b5_quantile_approx", None, "lineitem")
+@query("b5_quantile_approx", "SELECT l_returnflag, quantile_disc(l_quantity, 0.1) AS a, quantile_disc(l_quantity, 0.5) AS b, quantile_disc(l_quantity, 0.9) AS c FROM lineitem GROUP BY 1", "lineitem")
 def _(spark, lineitem):
-    return lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_quantity", [0.1, 0.5, 0.9]).alias("q"))
+    """At an accuracy of a millionth, which these quantities' few values meet exactly."""
+    q = lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_quantity", [0.1, 0.5, 0.9], 1_000_000).alias("q"))
+    return q.select("l_returnflag", *[F.col("q")[k].alias(n) for k, n in enumerate("abc")])
 
 
-@query("b5_aggregate_state", "SELECT CAST(3 AS BIGINT) AS parts, TRUE AS near", "orders")
+@query("b5_aggregate_state", "SELECT o_orderpriority, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*), 4) AS a, count(DISTINCT o_custkey) AS d FROM orders GROUP BY 1", "orders")
 def _(spark, orders):
-    states = orders.groupBy("o_orderstatus").agg(F.hll_sketch_agg("o_custkey").alias("s"))
-    n = orders.agg(F.count_distinct("o_custkey").alias("d"))
-    total = states.agg(F.count("*").alias("parts"), F.hll_sketch_estimate(F.hll_union_agg("s")).alias("e"))
-    return total.join(F.broadcast(n)).select("parts", (F.abs(F.col("e") - F.col("d")) <= 0.05 * F.col("d")).alias("near"))
+    """-State and -Merge: sums, counts and sets of keys a day, merged to priorities."""
+    orders = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    states = orders.groupBy("o_orderpriority", "o_orderdate").agg(F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("n"), F.collect_set("o_custkey").alias("k"))
+    merged = states.groupBy("o_orderpriority").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    keys = states.select("o_orderpriority", F.explode("k").alias("k")).groupBy("o_orderpriority").agg(F.count_distinct("k").alias("d"))
+    return merged.join(keys, "o_orderpriority").select("o_orderpriority", F.round(F.col("s").cast("double") / F.col("n"), 4).alias("a"), "d")
 
 
 @query("b5_listagg_overflow", "SELECT n_regionkey, CASE WHEN length(s) > 20 THEN left(s, 20) || '...' ELSE s END AS s FROM (SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS s FROM nation GROUP BY 1)", "nation")
@@ -469,22 +503,14 @@ def _(spark, part):
     return recursion.connect_by(e, "c", "p", F.col("c") == 1).select("c", "level", "root")
 
 
-@query("b5_model", "SELECT o_orderpriority, 1998 AS y, CAST(round(2.0 * avg(n)) AS BIGINT) AS n FROM (SELECT o_orderpriority, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2) WHERE y IN (1995, 1996) GROUP BY 1", "orders")
+@query("b5_model", "WITH c AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2), a AS (SELECT p, sum(n) FILTER (WHERE y = 1995) AS x, sum(n) FILTER (WHERE y = 1996) AS z FROM c GROUP BY 1) SELECT p AS o_orderpriority, CAST(y AS INT) AS y, CAST(n AS BIGINT) AS n FROM (SELECT p, 1999 AS y, x + z AS n FROM a UNION ALL SELECT p, 2000, 2 * (x + z) FROM a)", "orders")
 def _(spark, orders):
-    import pandas as pd
-
+    """RULES (n[1999] = n[1995] + n[1996], n[2000] = 2 * n[1999]) RETURN UPDATED ROWS"""
     cells = orders.groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+    return model(cells, ["o_orderpriority"], "y", "n", [(1999, lambda c: c(1995) + c(1996)), (2000, lambda c: 2 * c(1999))], updated_only=True)
 
-    def rules(pdf: pd.DataFrame) -> pd.DataFrame:
-        """n[1998] = n[1995] + n[1996]"""
-        n = pdf.set_index("y")["n"]
-        own = [int(n[y]) for y in (1995, 1996) if y in n]
-        return pd.DataFrame({"o_orderpriority": pdf["o_orderpriority"].head(1), "y": 1998, "n": sum(own) if len(own) == 2 else 2 * sum(own)}) if own else pdf.head(0)[["o_orderpriority", "y", "n"]]
 
-    return cells.groupBy("o_orderpriority").applyInPandas(rules, "o_orderpriority string, y int, n bigint")
-
-
-@query("b5_pivot_dynamic", "PIVOT (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) ON o_orderstatus USING max(o_totalprice) GROUP BY o_orderpriority", "orders")
+@query("b5_pivot_dynamic", "SELECT o_orderpriority, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS O, max(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY o_orderpriority", "orders")
 def _(spark, orders):
     return W.pivot_dynamic(orders, ["o_orderpriority"], "o_orderstatus", F.max("o_totalprice"))
 
@@ -494,10 +520,66 @@ g AS (SELECT *, sum(CASE WHEN down THEN 0 ELSE 1 END) OVER (PARTITION BY user_id
 SELECT user_id, count(*) AS n, min(value) AS low FROM g GROUP BY user_id, grp HAVING count(*) >= 3"""
 
 
+def _steps(events):
+    return events.select("user_id", "event_id", "ts", "value")
+
+
 @query("b5_match_recognize", _RUNS, "events")
 def _(spark, events):
-    m = patterns.match_recognize(events.select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"], {"DOWN": F.col("value") < F.col("prev_value")}, "A DOWN{2,}")
-    return m.groupBy("user_id", "match_no").agg(F.count("*").alias("n"), F.min("value").alias("low")).drop("match_no")
+    """MEASURES count(*) AS n, min(value) AS low ONE ROW PER MATCH"""
+    m = patterns.match_recognize(_steps(events), ["user_id"], ["ts", "event_id"], {"DOWN": F.col("value") < F.col("prev_value")}, "A DOWN{2,}")
+    return patterns.one_row(m, ["user_id"], {"n": F.count("*"), "low": F.min("value")}).drop("match_no")
+
+
+_MEASURES = _RUNS.replace("SELECT user_id, count(*) AS n, min(value) AS low", "SELECT user_id, min_by(value, rn) AS first_a, max_by(value, rn) AS last_down, arg_min(value, rn) - max_by(value, rn) AS fall, count(*) - 1 AS downs")
+
+
+@query("b5_match_measures", _MEASURES, "events")
+def _(spark, events):
+    """MEASURES FIRST(A.value), LAST(DOWN.value), A.value - LAST(DOWN.value), COUNT(DOWN.*)"""
+    m = patterns.match_recognize(_steps(events), ["user_id"], ["ts", "event_id"], {"DOWN": F.col("value") < F.col("prev_value")}, "A DOWN{2,}")
+    a, down = patterns.first("value", "A"), patterns.last("value", "DOWN")
+    return patterns.one_row(m, ["user_id"], {"first_a": a, "last_down": down, "fall": a - down, "downs": F.count(patterns.of("value", "DOWN"))}).drop("match_no")
+
+
+_CLASSED = _RUNS[: _RUNS.index("SELECT user_id, count(*)")] + "SELECT event_id, CASE WHEN down THEN 'DOWN' ELSE 'A' END AS classifier FROM g QUALIFY count(*) OVER (PARTITION BY user_id, grp) >= 3"
+
+
+@query("b5_match_classifier", _CLASSED.replace("CASE WHEN down THEN 'DOWN' ELSE 'A' END", "CASE WHEN row_number() OVER (PARTITION BY user_id, grp ORDER BY rn) = 1 THEN 'A' ELSE 'DOWN' END"), "events")
+def _(spark, events):
+    """ALL ROWS PER MATCH with CLASSIFIER(): A is any row, so conditions alone don't tell them apart."""
+    m = patterns.match_recognize(_steps(events), ["user_id"], ["ts", "event_id"], {"DOWN": F.col("value") < F.col("prev_value")}, "A DOWN{2,}")
+    return m.select("event_id", "classifier")
+
+
+@query("b5_match_exclusion", _CLASSED.replace("SELECT event_id, CASE WHEN down THEN 'DOWN' ELSE 'A' END AS classifier FROM g QUALIFY count(*) OVER (PARTITION BY user_id, grp) >= 3", "SELECT event_id FROM g QUALIFY count(*) OVER (PARTITION BY user_id, grp) >= 3 AND (row_number() OVER (PARTITION BY user_id, grp ORDER BY rn) = 1 OR row_number() OVER (PARTITION BY user_id, grp ORDER BY rn DESC) = 1)"), "events")
+def _(spark, events):
+    """PATTERN (A {- DOWN+ -} DOWN): the rows between the first and the last of a fall are left out."""
+    m = patterns.match_recognize(_steps(events), ["user_id"], ["ts", "event_id"], {"DOWN": F.col("value") < F.col("prev_value")}, "A {- DOWN+ -} DOWN")
+    return m.select("event_id")
+
+
+@query("b5_match_subset", _RUNS.replace("SELECT user_id, count(*) AS n, min(value) AS low", "SELECT user_id, round(sum(value), 4) AS total, count(*) AS n"), "events")
+def _(spark, events):
+    """SUBSET S = (A, DOWN) MEASURES SUM(S.value)"""
+    m = patterns.match_recognize(_steps(events), ["user_id"], ["ts", "event_id"], {"DOWN": F.col("value") < F.col("prev_value")}, "A DOWN{2,}", subsets={"S": ["A", "DOWN"]})
+    return patterns.one_row(m, ["user_id"], {"total": F.round(F.sum(patterns.of("value", "S")), 4), "n": F.count(patterns.of("value", "S"))}).drop("match_no")
+
+
+@query("b5_match_skip_to", "WITH o AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id FROM o WHERE a = b AND b = c", "events")
+def _(spark, events):
+    """AFTER MATCH SKIP TO FIRST Y: three events of one type, each match beginning at the second row of the one before."""
+    e = events.select("user_id", "event_id", "ts", "event_type")
+    same = F.col("event_type") == F.col("prev_event_type")
+    m = patterns.match_recognize(e, ["user_id"], ["ts", "event_id"], {"Y": same, "Z": same}, "X Y Z", after="to first Y")
+    return m.where("match_row = 1").select("event_id")
+
+
+@query("b5_match_unmatched", "SELECT event_id, event_type = 'purchase' AS matched FROM events", "events")
+def _(spark, events):
+    """ALL ROWS PER MATCH WITH UNMATCHED ROWS"""
+    m = patterns.match_recognize(events.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], {"P": F.col("event_type") == "purchase"}, "P+", unmatched=True)
+    return m.select("event_id", F.col("match_no").isNotNull().alias("matched"))
 
 
 @query("b5_match_alternation_permute", "WITH o AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id FROM o WHERE (a = 'click' AND b = 'purchase') OR (a = 'purchase' AND b = 'click')", "events")
@@ -749,31 +831,6 @@ def _(spark, events):
     return C.last_write(events, ["user_id"], ["value", "event_type"], "event_id")
 
 
-@query("b14_graph_pattern", "SELECT a.n_name AS x, c.r_name AS y FROM supplier s JOIN nation a ON s.s_nationkey = a.n_nationkey JOIN region c ON a.n_regionkey = c.r_regionkey GROUP BY 1, 2", "supplier", "nation", "region")
-def _(spark, supplier, nation, region):
-    t = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("s"), F.lit("in").alias("p"), F.concat(F.lit("n"), "s_nationkey").alias("o"))
-    t = t.unionAll(nation.select(F.concat(F.lit("n"), "n_nationkey"), F.lit("part"), F.concat(F.lit("r"), "n_regionkey")))
-    t = t.unionAll(nation.select(F.concat(F.lit("n"), "n_nationkey"), F.lit("name"), "n_name")).unionAll(region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("name"), "r_name"))
-    # SELECT DISTINCT ?x ?y { ?s in ?n . ?n name ?x . ?n part ?r . ?r name ?y }
-    one = t.where("p = 'in'").select("s", F.col("o").alias("n"))
-    two = t.where("p = 'name'").select(F.col("s").alias("n"), F.col("o").alias("x"))
-    three = t.where("p = 'part'").select(F.col("s").alias("n"), F.col("o").alias("r"))
-    four = t.where("p = 'name'").select(F.col("s").alias("r"), F.col("o").alias("y"))
-    return one.join(two, "n").join(three, "n").join(four, "r").select("x", "y").distinct()
-
-
-@query("b14_property_path", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1), t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t", "part")
-def _(spark, part):
-    e = part.where("p_partkey > 1").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b"))
-    return recursion.closure(e, "a", "b")
-
-
-@query("b14_nested_selection", "SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_regionkey = 1", "nation")
-def _(spark, nation):
-    nested = nation.select(F.struct(F.col("n_nationkey").alias("key"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("info")).alias("nation"))
-    return nested.where("nation.info.region = 1").select("nation.key", "nation.info.name")
-
-
 # ---- A4.5 range sets
 
 _SETS = "WITH a AS (SELECT user_id AS k, event_id % 60 AS s, event_id % 60 + 7 AS e FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id AS k, event_id % 60 AS s, event_id % 60 + 5 AS e FROM events WHERE event_id % 2 = 1), pa AS (SELECT DISTINCT k, unnest(range(s, e)) AS p FROM a), pb AS (SELECT DISTINCT k, unnest(range(s, e)) AS p FROM b), r AS ({}), g AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM r) SELECT k, CAST(min(p) AS BIGINT) AS start, CAST(max(p) + 1 AS BIGINT) AS \"end\" FROM g GROUP BY k, i"

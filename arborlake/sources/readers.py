@@ -83,3 +83,28 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
 def as_xml(df: DataFrame, row: str = "row", name: str = "xml") -> DataFrame:
     """FOR XML: each row as one element."""
     return df.select(F.to_xml(F.struct(*df.columns), {"rowTag": row}).alias(name))
+
+
+def split_rows(df: DataFrame, column: str, by: str, keep: list[str]) -> DataFrame:
+    """STRING_SPLIT: a row for each part of a text between separators, with its ordinal from 1."""
+    import re
+
+    return df.select(*keep, F.posexplode(F.split(column, re.escape(by), -1)).alias("_o", "value")).select(*keep, (F.col("_o") + 1).alias("ordinal"), "value")
+
+
+def series_rows(df: DataFrame, start: str, end: str, step: int, keep: list[str]) -> DataFrame:
+    """GENERATE_SERIES: a row for each step from start to end; none if it can't be reached."""
+    a, b = F.col(start).cast("bigint"), F.col(end).cast("bigint")
+    can = b >= a if step > 0 else b <= a
+    return df.where(can).select(*keep, F.explode(F.sequence(a, b, F.lit(step).cast("bigint"))).alias("value"))
+
+
+def stage_files(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
+    """LIST @stage: (name, size, modified) of the files below a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(base)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def stage_table(spark: SparkSession, base: str, pattern: str = "*", form: str = "parquet", **options) -> DataFrame:
+    """SELECT .. FROM @stage: the rows of a folder's files that fit a pattern."""
+    return spark.read.options(**options).option("pathGlobFilter", pattern).format(form).load(base)

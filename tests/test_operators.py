@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import joins, patterns, ranges, recursion, windows
+from arborlake.operators import functions, joins, patterns, ranges, recursion, storage, windows
 from arborlake.sources import readers
 
 
@@ -12,7 +13,7 @@ def test_nearest_vectors(spark):
     v = rnd.normal(size=(200, 6)).round(1)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i bigint, v array<double>").repartition(3)
     q = df.where("i % 20 = 0").select(F.col("i").alias("q"), "v")
-    got = joins.nearest_vectors(q, df, "q", "v", "i", "v", 4, block=3)
+    got = joins.nearest_vectors(q, df, "q", "v", "i", "v", 4, block_bytes=3 * 6 * 8)
     own = {}
     for r in got.collect():
         own.setdefault(r.q, []).append((r["rank"], r.i, round(r.distance, 9)))
@@ -54,6 +55,126 @@ def test_pattern_language(spark):
     assert span("B B?", after="to next row") == [(1, 1), (1, 2), (2, 2), (3, 5)]
 
 
+#: Patterns as trees: a name; ("then", ..), ("or", ..), ("many", least, most or None, part), ("out", part)
+TREES = [
+    ("A B+", ("then", "A", ("many", 1, None, "B"))), ("A {- B* -} C", ("then", "A", ("out", ("many", 0, None, "B")), "C")), ("(A | B){2}", ("many", 2, 2, ("or", "A", "B"))),
+    ("X Y", ("then", "X", "Y")), ("A? X B", ("then", ("many", 0, 1, "A"), "X", "B")), ("PERMUTE(A, B)", ("or", ("then", "A", "B"), ("then", "B", "A"))), ("(A B | C)+", ("many", 1, None, ("or", ("then", "A", "B"), "C"))),
+]
+
+
+def plain(part, rows, at, fits):
+    """Each way in which a pattern matches from a place on, the preferred first: (end, [(row, variable, left out)])."""
+    if isinstance(part, str):
+        if at < len(rows) and fits(part, rows[at]):
+            yield at + 1, [(at, part, False)]
+    elif part[0] == "then":
+        if len(part) == 1:
+            yield at, []
+            return
+        for e, own in plain(part[1], rows, at, fits):
+            for end, more in plain(("then", *part[2:]), rows, e, fits):
+                yield end, own + more
+    elif part[0] == "or":
+        for p in part[1:]:
+            yield from plain(p, rows, at, fits)
+    elif part[0] == "out":
+        for e, own in plain(part[1], rows, at, fits):
+            yield e, [(r, n, True) for r, n, _ in own]
+    else:
+        _, least, most, p = part
+        if most is None or most > 0:
+            for e, own in plain(p, rows, at, fits):
+                if e > at:
+                    for end, more in plain(("many", max(0, least - 1), None if most is None else most - 1, p), rows, e, fits):
+                        yield end, own + more
+        if least == 0:
+            yield at, []
+
+
+def expected(tree, rows, fits, after):
+    out, at = [], 0
+    while at <= len(rows):
+        e, own = next(plain(tree, rows, at, fits), (at, []))
+        if e == at:
+            at += 1
+            continue
+        out.append([(r, n) for r, n, gone in own if not gone])
+        at = e if after == "past last row" else at + 1
+    return out
+
+
+@pytest.mark.parametrize("after", ["past last row", "to next row"])
+@pytest.mark.parametrize("pattern,tree", TREES)
+def test_patterns_against_a_plain_matcher(spark, pattern, tree, after):
+    rnd = random.Random(len(pattern))
+    fits = lambda name, row: name in ("X", "Y") or name.lower() in row
+    parts = {k: ["".join(sorted(rnd.sample("abc", rnd.choice([1, 1, 2])))) for _ in range(rnd.randrange(14))] for k in [1, 2, 3, None]}
+    df = spark.createDataFrame([(k, i, c) for k, rows in parts.items() for i, c in enumerate(rows)], "k int, i int, c string")
+    d = {n: F.col("c").contains(n.lower()) for n in "ABC"}
+    got = {}
+    for r in patterns.match_recognize(df, ["k"], ["i"], d, pattern, after).collect():
+        got.setdefault(r.k, {}).setdefault(r.match_no, []).append((r.i, r.classifier))
+        assert r.row_no == r.i + 1
+    for k, rows in parts.items():
+        assert [sorted(got.get(k, {}).get(m + 1, [])) for m in range(len(expected(tree, rows, fits, after)))] == expected(tree, rows, fits, after)
+        assert len(got.get(k, {})) == len([x for x in expected(tree, rows, fits, after) if x])
+
+
+def test_measures_and_skips(spark):
+    df = spark.createDataFrame([(i, c, 10 * i) for i, c in enumerate("abbcabc")], "i int, c string, v int").withColumn("k", F.lit(1))
+    d = {n.upper(): F.col("c") == n for n in "abc"}
+    m = patterns.match_recognize(df, ["k"], ["i"], d, "A B+ C", subsets={"S": ["A", "B"]})
+    of, first, last = patterns.of, patterns.first, patterns.last
+    got = patterns.one_row(m, ["k"], {"a": first("v", "A"), "lb": last("v", "B"), "ls": last("v", "S"), "n": F.count(of("v", "S")), "s": F.sum(of("v", "B"))}).orderBy("match_no").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, 20, 20, 3, 30), (1, 2, 40, 50, 50, 2, 50)]
+    rows = lambda **kw: sorted((r.match_no, r.i) for r in patterns.match_recognize(df, ["k"], ["i"], d, "X B", **kw).collect())
+    assert rows(after="to last B") == [(1, 0), (1, 1), (2, 1), (2, 2), (3, 4), (3, 5)] == rows(after="to first B")
+    assert patterns.match_recognize(df, ["k"], ["i"], d, "A B", unmatched=True).where("match_no is null").count() == 3
+    for bad in ({"after": "to first Z"}, {"after": "nowhere"}, {"subsets": {"S": ["Z"]}}):
+        with pytest.raises(ValueError):
+            rows(**bad)
+    with pytest.raises(Exception, match="where the match begins"):
+        rows(after="to first X")
+
+
+def test_nearest_value(spark):
+    rnd = random.Random(5)
+    left = [(i, rnd.choice(["a", "a", "a", "b", "z", None]), rnd.choice([None, rnd.randrange(80)])) for i in range(150)]
+    right = [(rnd.choice(["a", "a", "b", None]), rnd.choice([None, rnd.randrange(80)]), j) for j in range(60)]
+    a, b = spark.createDataFrame(left, "i int, k string, x int"), spark.createDataFrame(right, "k string, y int, id int")
+    for by, n in ((["k"], 7), ([], 256), (["k"], 1)):
+        got = {r.i: (r.id, r.distance) for r in joins.nearest_value(a, b, "x", "y", "id", by, n).collect()}
+        for i, k, x in left:
+            fit = [] if x is None else [(abs(y - x), y, j) for kk, y, j in right if y is not None and (not by or kk == k)]
+            assert got[i] == ((min(fit)[2], min(fit)[0]) if fit else (None, None)), (i, by, n)
+    assert joins.nearest_value(a, b.limit(0), "x", "y", "id", ["k"]).where("id is not null").count() == 0
+
+
+def test_table_function(spark):
+    rows = [(k, t, k * 10 + t) for k in (1, 2, None, 3) if k is not None for t in range(2500 if k == 3 else 4)] + [(None, 1, 5), (None, 0, 6)]
+    df = spark.createDataFrame(rows, "k int, t int, v int").repartition(3)
+
+    def head(key, rows):
+        yield next(rows)[0], key[0] is None
+
+    assert sorted(map(tuple, functions.table_function(df, ["k"], ["t"], ["v"], head, "first int, none boolean").collect()), key=str) == sorted([(1, 10, False), (2, 20, False), (3, 30, False), (None, 6, True)], key=str)
+    n = functions.table_function(df, [], ["t"], ["v"], lambda key, rows: iter([(sum(1 for _ in rows),)]), "n int")
+    assert [tuple(r) for r in n.collect()] == [(len(rows),)]
+    assert functions.table_function(df.limit(0), ["k"], ["t"], ["v"], head, "first int, none boolean").count() == 0
+
+
+def test_model(spark):
+    cells = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 5), ("b", None, 7)], "k string, d int, m bigint")
+    rules = [(3, lambda c: c(1) + F.coalesce(c(2), F.lit(0))), (1, lambda c: c(3) * 2)]
+    assert sorted(map(tuple, functions.model(cells, ["k"], "d", "m", rules).collect())) == [("a", 1, 60), ("a", 2, 20), ("a", 3, 30), ("b", 1, 10), ("b", 3, 5)]
+
+
+def test_small(spark):
+    wide = spark.range(200).select(F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.lit(1)).alias("a"))
+    plan = lambda df: spark.range(3).join(df, F.col("id") == F.length("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(storage.small(wide)) and "strategy=broadcast" not in plan(storage.small(wide, 100_000))
+
+
 def test_recursion(spark):
     e = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (3, 4)], "c int, p int")
     got = recursion.connect_by(e, "c", "p", F.col("p").isNull()).collect()
@@ -82,6 +203,11 @@ def test_ties_and_fill(spark):
     assert windows.limit_with_ties(df.limit(0), 2, ["v"]).count() == 0
     f = spark.createDataFrame([(1, 10), (4, 40)], "k bigint, v int")
     assert [tuple(r) for r in windows.fill(f, "k", 1, interpolate=["v"]).orderBy("k").collect()] == [(1, 10), (2, 10), (3, 10), (4, 40)]
+    long = spark.createDataFrame([(0, 1, None), (9000, None, "b"), (20000, 3, None)], "k bigint, v int, w string")
+    got = windows.fill(long, "k", 1, interpolate=["v", "w"]).collect()
+    assert len(got) == 20001 and all((r.v, r.w) == (3 if r.k == 20000 else 1, None if r.k < 9000 else "b") for r in got)
+    days = spark.sql("SELECT DATE '2024-01-30' AS k, 1 AS v UNION ALL SELECT DATE '2024-02-02', 2")
+    assert [r.v for r in windows.fill(days, "k", F.expr("INTERVAL 1 DAY"), interpolate=["v"]).orderBy("k").collect()] == [1, 1, 1, 2]
 
 
 def test_readers(spark, tmp_path):
