@@ -33,3 +33,5 @@ dialect("sql_cast_types", "SELECT p_partkey, CAST(p_size AS HUGEINT)::BIGINT AS
 dialect("sql_from_first", "FROM nation WHERE n_regionkey = 1")
 dialect("sql_cte_materialized", "WITH q AS MATERIALIZED (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT * FROM q WHERE n > 2 UNION ALL SELECT -1, 0")
 dialect("sql_nested_qualify", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) <= 2) t")
+dialect("sql_odbc_escapes", "SELECT o_orderkey, {fn upper({fn left(o_orderpriority, 3)})} AS p, '{d x}' AS s FROM {oj orders LEFT OUTER JOIN customer ON o_custkey = c_custkey} WHERE o_orderdate >= {d '1997-01-01'} AND o_orderdate < {ts '1997-03-01 00:00:00'}", "standard", "SELECT o_orderkey, upper(left(o_orderpriority, 3)) AS p, '{d x}' AS s FROM orders LEFT OUTER JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < TIMESTAMP '1997-03-01 00:00:00'")
+dialect("sql_outer_mark", "SELECT n.n_name, s.s_suppkey FROM nation n, supplier s WHERE n.n_nationkey = s.s_nationkey(+) AND s.s_acctbal(+) > 0 AND n.n_regionkey < 3 ORDER BY n.n_name", "oracle", "SELECT n_name, s_suppkey FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 0 WHERE n_regionkey < 3")

@@ -15,6 +15,7 @@ from arborlake.functions.types import UnknownType, spark_type
 from arborlake.sources.readers import FORMATS
 from arborlake.syntax.nodes import Node
 from arborlake.syntax.sql import DIALECTS, Options, parse_sql
+from arborlake.syntax.sql_tree import parse_sql_tree
 
 CLAUSES = ("select", "from", "where", "group", "having", "qualify", "window", "order", "limit", "offset", "fetch")
 SETS = ("union", "intersect", "except", "minus")
@@ -243,8 +244,67 @@ class _Rewriter:
         return " ".join(p for p in out if p)
 
 
+ESCAPE = re.compile(r"\{\s*(fn|ts|d|t|oj|escape|interval)\s+([^{}]*?)\s*\}", re.I)
+STRINGS = re.compile(r"'(?:[^']|'')*'")
+MARK = re.compile(r"\(\s*\+\s*\)")
+
+
+def odbc(text: str) -> str:
+    """The text with its {fn ..}, {d ..}, {t ..}, {ts ..}, {oj ..}, {escape ..} and {interval ..} as plain SQL."""
+    held: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        held.append(m[0])
+        return f"\x00{len(held) - 1}\x00"
+
+    text = STRINGS.sub(hold, text)
+    words = {"d": "DATE ", "t": "TIME ", "ts": "TIMESTAMP_NTZ ", "fn": "", "oj": "", "escape": "ESCAPE ", "interval": "INTERVAL "}
+    while ESCAPE.search(text):
+        text = ESCAPE.sub(lambda m: words[m[1].lower()] + m[2], text)
+    return re.sub("\x00(\\d+)\x00", lambda m: held[int(m[1])], text)
+
+
+def outer_marks(text: str, options: Options | str = "oracle") -> str:
+    """A comma list of relations with conditions marked (+) as left joins; other texts are as they were."""
+    if not MARK.search(text):
+        return text
+    source = text.encode("utf-8")
+    root = parse_sql_tree(source, options)
+    statement = next(n for n in root.children if n.kind == "statement")
+    by = {n.kind: n for n in statement.children}
+    start, where = by.get("from_clause"), by.get("where_clause")
+    if start is None or where is None or any(n.kind == "join" for n in start.children):
+        raise NotRewritten("(+): a comma list and conditions")
+    own = lambda n: source[n.start : n.end].decode("utf-8")
+
+    def conditions(n: Node) -> list[str]:
+        if n.kind == "binary_expression" and [own(c).lower() for c in n.children if c.field == "operator"] == ["and"]:
+            return [x for c in n.children if c.field in ("left", "right") for x in conditions(c)]
+        return [own(n)]
+
+    names = {}
+    for r in start.children:
+        if r.kind == "relation":
+            alias = next((c for a in r.children if a.kind == "alias" for c in a.children if c.field == "name"), None)
+            names[(own(alias) if alias else own(r).split(".")[-1]).lower()] = own(r)
+    plain, marked = [], {}
+    for c in conditions(where.children[-1]):
+        tables = {m.lower() for m in re.findall(r"(\w+)\.\w+\s*\(\s*\+\s*\)", c)}
+        if not tables:
+            plain.append(c)
+        elif len(tables) > 1 or not tables <= names.keys():
+            raise NotRewritten("(+): one relation in a condition")
+        else:
+            marked.setdefault(tables.pop(), []).append(MARK.sub("", c))
+    relations = ", ".join(r for n, r in names.items() if n not in marked) or "(SELECT 1)"
+    joins = "".join(f" LEFT JOIN {names[n]} ON {' AND '.join(cs)}" for n, cs in marked.items())
+    rest = f" WHERE {' AND '.join(plain)}" if plain else ""
+    return text[: len(source[: start.start].decode("utf-8"))] + f"FROM {relations}{joins}{rest}" + source[where.end :].decode("utf-8")
+
+
 def to_spark(text: str, dialect: str | Options = "duckdb") -> str:
     """The first statement of a dialect's text as Spark SQL."""
+    text = outer_marks(odbc(text), dialect)
     source = text.encode("utf-8")
     options = DIALECTS[dialect] if isinstance(dialect, str) else dialect
     for n in parse_sql(source, options).children:
@@ -258,3 +318,56 @@ def run(spark: SparkSession, text: str, dialect: str | Options = "duckdb", **tab
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(to_spark(text, dialect))
+
+
+PROCEDURE = re.compile(r"\s*CREATE\s+(?:OR\s+REPLACE\s+)?PROCEDURE\s+(\w+)\s*\((.*?)\)\s*(?:LANGUAGE\s+SQL\s+)?(?:AS\s+|IS\s+)?BEGIN\b(.*)\bEND\s*;?\s*", re.I | re.S)
+PARAMETER = re.compile(r"\s*(?:IN\s+)?(\w+)\s+(.+?)(?:\s+DEFAULT\s+(.+))?\s*", re.I | re.S)
+CALL = re.compile(r"\s*(?:CALL|EXEC|EXECUTE)\s+(\w+)\s*\((.*)\)\s*;?\s*", re.I | re.S)
+
+
+class Procedures:
+    """CREATE PROCEDURE and CALL: a body of SQL statements, control flow among them, whose parameters are variables."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.known: dict[str, tuple[list[tuple[str, str, str | None]], str]] = {}
+
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """What is between commas outside brackets and strings."""
+        found = re.findall(r"(?:'(?:[^']|'')*'|\((?:[^()]|\([^()]*\))*\)|[^,'()])+", text)
+        return [p.strip() for p in found if p.strip()]
+
+    def create(self, text: str) -> None:
+        m = PROCEDURE.fullmatch(text)
+        if m is None:
+            raise NotRewritten("CREATE PROCEDURE name(parameters) BEGIN .. END")
+        own = []
+        for p in self._parts(m[2]):
+            found = PARAMETER.fullmatch(p)
+            if found is None or p.upper().startswith(("OUT ", "INOUT ")):
+                raise NotRewritten(f"parameter {p}")
+            own.append((found[1], spark_type(found[2]), found[3]))
+        self.known[m[1].lower()] = (own, m[3].strip())
+
+    def call(self, text: str) -> DataFrame:
+        """The rows of the last statement. Arguments stand in order or as name => value; parameters without one take their default."""
+        m = CALL.fullmatch(text)
+        if m is None or m[1].lower() not in self.known:
+            raise NotRewritten(f"no procedure: {text}")
+        parameters, body = self.known[m[1].lower()]
+        values: dict[str, str] = {}
+        for k, a in enumerate(self._parts(m[2])):
+            named = re.fullmatch(r"(\w+)\s*(?:=>|:=)\s*(.+)", a, re.S)
+            if named:
+                values[named[1].lower()] = named[2]
+            elif k < len(parameters):
+                values[parameters[k][0].lower()] = a
+            else:
+                raise NotRewritten(f"too many arguments: {text}")
+        unknown = values.keys() - {p.lower() for p, *_ in parameters}
+        missing = [p for p, _, default in parameters if default is None and p.lower() not in values]
+        if unknown or missing:
+            raise NotRewritten(f"arguments: {sorted(unknown) + missing}")
+        declared = " ".join(f"DECLARE {p} {kind} DEFAULT {values.get(p.lower(), default)};" for p, kind, default in parameters)
+        return self.spark.sql(f"BEGIN {declared} {body if body.endswith(';') else body + ';'} END")

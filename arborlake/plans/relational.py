@@ -14,6 +14,7 @@ from arborlake.operators import patterns, ranges, recursion
 from arborlake.operators.functions import model, table_function
 from arborlake.operators.storage import small
 from arborlake.operators import windows as W
+from arborlake.plans.dialects import Procedures
 from arborlake.plans.registry import register
 from arborlake.session import table
 from arborlake.sources import readers
@@ -414,11 +415,6 @@ def _(spark, embeddings):
     return found.select("query_id", F.col("vec_id").alias("row_id"), F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("b4_outer_mark", "SELECT n_name, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey", "nation", "supplier")
-def _(spark, nation, supplier):
-    return nation.join(supplier, nation.n_nationkey == supplier.s_nationkey, "left").select("n_name", "s_suppkey")
-
-
 @query("b4_partitioned_outer", "WITH k AS (SELECT DISTINCT o_orderpriority FROM orders), s AS (SELECT DISTINCT o_orderstatus FROM orders), c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY 1, 2) SELECT o_orderpriority, o_orderstatus, n FROM (SELECT DISTINCT o_orderpriority FROM c) CROSS JOIN s LEFT JOIN c USING (o_orderpriority, o_orderstatus)", "orders")
 def _(spark, orders):
     c = orders.where("o_totalprice > 150000").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
@@ -788,6 +784,18 @@ def _(spark, nation):
     return spark.sql("EXECUTE IMMEDIATE 'SELECT count(*) AS n FROM arborlake_nation WHERE n_regionkey = ?' USING 4")
 
 
+@query("b12_procedure", "SELECT n_name, 6 AS twice FROM nation WHERE n_regionkey = 3 AND n_nationkey > 4", "nation")
+def _(spark, nation):
+    nation.createOrReplaceTempView("arborlake_nation")
+    own = Procedures(spark)
+    own.create("""CREATE OR REPLACE PROCEDURE nations_of(IN region INT, least INT DEFAULT 1 + 3) BEGIN
+        DECLARE twice INT DEFAULT 0;
+        IF region > 2 THEN SET twice = 2 * region; ELSE SET twice = -1; END IF;
+        SELECT n_name, twice FROM arborlake_nation WHERE n_regionkey = region AND n_nationkey > least;
+    END""")
+    return own.call("CALL nations_of(region => 3)")
+
+
 @query("b12_block", "SELECT 45 AS total")
 def _(spark):
     return spark.sql("BEGIN DECLARE i INT DEFAULT 0; DECLARE total INT DEFAULT 0; WHILE i < 10 DO SET total = total + i; SET i = i + 1; END WHILE; SELECT total; END")
