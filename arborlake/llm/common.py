@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -63,6 +65,15 @@ def map_slices(df: DataFrame, columns: list, make: Callable, schema: str, rows:
     return small_batches(df).select(*columns).mapInArrow(run, kind)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system, where its library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (local runs)."""
     there = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,15 +8,17 @@ its edges is one that Spark splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arborlake.llm.common import cut
 
 
-def _mark(edges: DataFrame):
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r.n, r.s
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and a mark of them that is taken as they are written."""
+    seen = Observation()
+    out = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -37,11 +39,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links may repeat, point either way or join a node to itself; links with a null end are left out. No links: no rows.
     """
-    edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    before = _mark(edges)
+    edges, before = _marked(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     while before[0]:
-        edges = cut(_small(_large(edges)))
-        now = _mark(edges)
+        edges, now = _marked(_small(_large(edges)))
         if now == before:
             break
         before = now
