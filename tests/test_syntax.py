@@ -55,6 +55,16 @@ def test_json_values(value, indent, ascii):
     assert back(root.children[0]) == value
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(['{', '}', '[', ']', ',', ':', '"a"', '"', "1", "true", " ", "\n", "x", "/*c*/", "//c\n", "\\"]), max_size=20).map("".join))
+def test_json_is_settled(text):
+    """Spans are those that settling gives, also where it is left out."""
+    from arborlake.syntax.nodes import settle
+
+    spans = lambda root: [(n.kind, n.start, n.end) for n in walk(root)]
+    assert spans(parse_json(text.encode())) == spans(settle(parse_json(text.encode())))
+
+
 def test_shapes():
     assert sexp(parse_json(b'{"a": [1, "x"], "b": null}')) == "(document (object (pair key: (string (string_content)) value: (array (number) (string (string_content)))) (pair key: (string (string_content)) value: (null))))"
     assert sexp(parse_json(b'{"a": }')) == "(document (object (pair key: (string (string_content)) value: (MISSING null))))"
