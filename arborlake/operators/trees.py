@@ -698,6 +698,12 @@ def nearest_colours(colours: DataFrame, palette: DataFrame) -> DataFrame:
     return each.withColumn("index", F.col("_best.index")).drop("_p", "_best")
 
 
+def ansi_palette(spark) -> DataFrame:
+    """The 16 colours of a terminal, by rule: a bit each of red, green and blue, dark and bright, with two greys between."""
+    own = [(k, *(128 * (k >> bit & 1) for bit in range(3))) for k in range(7)] + [(7, 192, 192, 192), (8, 128, 128, 128)]
+    return spark.createDataFrame(own + [(8 + k, *(255 * (k >> bit & 1) for bit in range(3))) for k in range(1, 8)], "index int, pr int, pg int, pb int")
+
+
 def xterm_palette(spark) -> DataFrame:
     """The 6 x 6 x 6 cube and the greys of the 256-colour palette, by rule."""
     steps = [0, *range(95, 256, 40)]

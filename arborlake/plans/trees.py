@@ -308,6 +308,55 @@ def _(spark, sf_dir):
     return m.select("doc_id", F.col("captures")[0]["name"].alias("c"), F.col("captures")[0]["text"].alias("t"))
 
 
+#: An array of an event's number and its id, with something between that JSON does not have.
+def _odd(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit(", @@ "), F.col("event_id").cast("string"), F.lit("]")).alias("t"))
+
+
+@query("a8_error_node", "SELECT event_id, '@@' AS t, CAST(3 + length(json_extract_string(props, '$.k')) AS INT) AS at_ FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(_odd(spark, sf_dir), "json", "(ERROR) @e", "event_id", "t")
+    return m.select("event_id", F.col("captures")[0]["text"].alias("t"), F.col("captures")[0]["start_byte"].alias("at_"))
+
+
+@query("a8_group", "SELECT event_id, json_extract_string(props, '$.k') AS a, CAST(event_id AS VARCHAR) AS b FROM events")
+def _(spark, sf_dir):
+    m = T.query_texts(_odd(spark, sf_dir), "json", "((number) @a (number) @b)", "event_id", "t")
+    return m.select("event_id", F.col("captures")[0]["text"].alias("a"), F.col("captures")[1]["text"].alias("b"))
+
+
+@query("a8_comments_and_escapes", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') LIKE '%7'")
+def _(spark, sf_dir):
+    q = '; numbers that end in 7\n((number) @n ; here\n  (#match? @n "^\\\\d*7$"))'
+    return T.query_texts(table(spark, sf_dir, "events"), "json", q, "event_id", "props").select("event_id")
+
+
+@query("a9_not_eq", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') NOT IN ('7', '8')")
+def _(spark, sf_dir):
+    q = '((number) @n (#not-eq? @n "7") (#not-any-of? @n "8" "no such"))'
+    return T.query_texts(table(spark, sf_dir, "events"), "json", q, "event_id", "props").select("event_id")
+
+
+@query("a1_decode_utf16be", "SELECT event_id, props AS t FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-16BE").alias("b"))
+    return e.select("event_id", readers.decode_text(F.col("b"), "UTF-16BE").alias("t"))
+
+
+@query("a1_decode_broken_utf8", "SELECT event_id, event_type || chr(65533) || event_id AS t FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.col("event_type").cast("binary"), F.unhex(F.lit("FF")), F.col("event_id").cast("string").cast("binary")).alias("b"))
+    return e.select("event_id", readers.decode_text(F.col("b")).alias("t"))
+
+
+@query("a5_equal_nodes", "SELECT event_id, CAST(11 AS BIGINT) AS same FROM events")
+def _(spark, sf_dir):
+    """Nodes of two parses are equal by their keys."""
+    cols = ["layer_id", "node_id", "kind", "start_byte", "end_byte"]
+    a, b = _json(spark, sf_dir, columns=cols), _json(spark, sf_dir, columns=cols)
+    return a.join(b, ["event_id", *cols]).groupBy("event_id").agg(F.count("*").alias("same"))
+
+
 @query("a5_sexp", "SELECT event_id, '(document (object (pair key: (string (string_content)) value: (number))))' AS sexp FROM events")
 def _(spark, sf_dir):
     return T.sexps(table(spark, sf_dir, "events"), "json", "event_id", "props")
@@ -468,3 +517,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     c = spark.createDataFrame([(255, 0, 0), (8, 8, 8), (0, 0, 255), (128, 128, 128)], "r int, g int, b int")
     return T.nearest_colours(c, T.xterm_palette(spark))
+
+
+@query("a12_colours_16", "SELECT * FROM (VALUES (250, 10, 10, 9), (120, 0, 10, 1), (0, 0, 0, 0), (200, 200, 200, 7)) AS t(r, g, b, index)")
+def _(spark, sf_dir):
+    c = spark.createDataFrame([(250, 10, 10), (120, 0, 10), (0, 0, 0), (200, 200, 200)], "r int, g int, b int")
+    return T.nearest_colours(c, T.ansi_palette(spark))
