@@ -212,7 +212,7 @@ def findings(n: int = 5000, seed: int = 5) -> list[tuple[str, str, str, int]]:
     run = lambda pool, k: "".join(rnd.choice(pool) for _ in range(k))
     out = []
     while len(out) < n:
-        kind = rnd.randrange(22)
+        kind = rnd.randrange(24)
         a, b = prose(rnd.randint(0, 5)), prose(rnd.randint(0, 4))
         name = rnd.choice(sorted(TELLING))
         sep = rnd.choice(["=", ": ", " = ", ' = "', "='", " "])
@@ -260,6 +260,9 @@ def findings(n: int = 5000, seed: int = 5) -> list[tuple[str, str, str, int]]:
             label, a = 0, f"{a} {name}{rnd.choice(['=', ': ', ' = ', ' = ' + chr(34)])}"
         elif kind == 19:
             c, label, a = "".join(rnd.choice(words).capitalize() for _ in range(rnd.randint(4, 6))), 0, f"{a} {rnd.choice(['', 'class ', 'import ', name + ' '])}"
+        elif kind in (22, 23):  # words of no dictionary, shouted or run together
+            spoken = ["".join(rnd.choice("bcdfghklmnprstvwz") + rnd.choice(["a", "e", "i", "o", "u", "ei", "au", "io"]) + rnd.choice(["", "", "n", "r", "s", "t", "ch", "ng", "st"]) for _ in range(rnd.randint(2, 4))) for _ in range(4)]
+            c, label, a = ("".join(spoken).upper() if kind == 22 else "".join(w.capitalize() for w in spoken)), 0, f"{a} {rnd.choice(['', '', name + ' '])}"
         elif kind == 20:
             c, label, a = " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 6))), 0, f"{a} {name}{rnd.choice([': ', ' = ' + chr(34)])}"
         else:
