@@ -733,7 +733,10 @@ def changed_ranges(old: DataFrame, new: DataFrame, language: str, id_col: str =
     """
     parser = LANGUAGES[language]
     more = [F.col(c).cast("int").alias(f"_e{k}") for k, c in enumerate(edit_cols or ())]
-    both = old.select(id_col, F.col(text_col).alias("_old")).join(new.select(id_col, F.col(text_col).alias("_new"), *more), id_col).where("_old is not null")
+    spark = old.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # texts are small, parsing is not
+    a, b = old.select(id_col, F.col(text_col).alias("_old")).where("_old is not null"), new.select(id_col, F.col(text_col).alias("_new"), *more)
+    both = a.repartition(n, id_col).join(b.repartition(n, id_col), id_col)
 
     def one(i, after, before, *edit):
         before = before if isinstance(before, bytes) else before.encode("utf-8")
