@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -151,6 +152,19 @@ def pivot_dynamic(df: DataFrame, group: list[str], on: str, agg: Column, most: i
     return df.groupBy(*group).pivot(on, values).agg(agg)
 
 
+def quantiles_disc(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, str]) -> DataFrame:
+    """(*keys, a column for each name): the least value that so many of a group's values do not exceed, exactly. Nulls do not count.
+
+    quantiles: {name: the quantile as a decimal text}, so that ranks are whole numbers. Rows are counted by value before
+    they are shuffled; a group's distinct values, and not its rows, meet in one task.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    ratio = {name: Decimal(q).as_integer_ratio() for name, q in quantiles.items()}
+    return upto.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") * den >= F.col("_all") * num, F.col(value))).alias(name) for name, (num, den) in ratio.items()])
+
+
 def keep_first(value: str, order: Column | str) -> Column:
     """KEEP (DENSE_RANK FIRST ORDER BY order) of a value; of ties the least counts with min_by over a struct."""
     return F.min(F.struct(order, value))[value if isinstance(value, str) else "col2"]

@@ -229,3 +229,23 @@ def test_lateral_top_numbers_rows_in_order(spark):
     plan = registry.queries()["b4_lateral_top"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(o_custkey" in plan
     assert all("o_totalprice" in x.split("specifiedwindowframe")[0] for x in plan.split("windowspecdefinition(")[1:])
+
+
+def test_quantiles_disc(spark):
+    """A group of nulls, one with a null, and one of very many values."""
+    n = 3_000_000
+    few = spark.createDataFrame([("null", None), ("some", None), ("some", 3.0), ("some", 1.0), ("some", 2.0)], "k string, v double")
+    many = spark.range(n).select(F.lit("many").alias("k"), (F.col("id") * 7 % n).cast("double").alias("v"))
+    got = {r.k: tuple(r)[1:] for r in windows.quantiles_disc(few.unionAll(many), ["k"], "v", {"a": "0.1", "b": "0.5", "c": "0.9", "z": "0", "o": "1"}).collect()}
+    assert got["null"] == (None,) * 5
+    assert got["some"] == (1.0, 2.0, 3.0, 1.0, 3.0)
+    assert got["many"] == (n / 10 - 1, n / 2 - 1, n * 9 / 10 - 1, 0.0, n - 1.0)
+
+
+def test_quantile_query_is_exact(spark, tmp_path):
+    """Over three million values, none twice: more than an accuracy of a millionth can tell apart."""
+    from arborlake.plans import registry
+
+    n = 3_000_000
+    spark.range(n).select(F.lit("A").alias("l_returnflag"), (F.col("id") * 7 % n).cast("double").alias("l_quantity")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in registry.queries()["b5_quantile_approx"](spark, str(tmp_path)).collect()] == [("A", n / 10 - 1, n / 2 - 1, n * 9 / 10 - 1)]
