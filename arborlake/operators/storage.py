@@ -28,6 +28,13 @@ def scratch(df: DataFrame, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once, as a table of columns in the shared folder: for wide rows of which each reader takes a few columns."""
+    there = scratch(df, name)
+    df.write.parquet(there)
+    return df.sparkSession.read.parquet(there)
+
+
 #: Bytes of a table that is broadcast at most.
 BROADCAST_BYTES = 64 << 20
 

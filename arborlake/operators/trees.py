@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from arborlake.operators.storage import small
+from arborlake.operators.storage import cut, small
 from arborlake.syntax import FIELDS, KINDS, LANGUAGES
 from arborlake.syntax.change import changed
 from arborlake.syntax.match import Matcher
-from arborlake.syntax.nodes import COLUMNS, NODES_SCHEMA, Node, columns as node_columns, line_starts, placed, sexp
+from arborlake.syntax.nodes import COLUMNS, NODES_SCHEMA, Node, columns as node_columns, line_starts, placed, sexp, walk
 from arborlake.syntax.query import Item, Query
 
 FLUSH = 4096
@@ -139,13 +139,18 @@ def _key(id_col: str) -> list[str]:
     return [id_col, "layer_id"]
 
 
+def _sorted_join(df: DataFrame) -> DataFrame:
+    """df for a join that sorts both sides. Spark takes parsed rows for as small as the texts' scan, and broadcasts millions of them."""
+    return df.hint("merge")
+
+
 def _other(nodes: DataFrame, id_col: str, cols: list[str], prefix: str) -> DataFrame:
     return nodes.select(*_key(id_col), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
 
 
 def parents(nodes: DataFrame, id_col: str = "doc_id", cols: list[str] = ("kind", "start_byte", "end_byte")) -> DataFrame:
     p = _other(nodes, id_col, ["node_id", *cols], "parent_").withColumnRenamed("parent_node_id", "parent_id")
-    return nodes.join(p, [*_key(id_col), "parent_id"])
+    return nodes.join(_sorted_join(p), [*_key(id_col), "parent_id"])
 
 
 def children(nodes: DataFrame, of: Column | None = None, named: bool = False) -> DataFrame:
@@ -237,8 +242,9 @@ def descendants(nodes: DataFrame, roots: DataFrame, id_col: str = "doc_id") -> D
 def child_with_descendant(nodes: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """targets: (id, layer_id, ancestor_id, target_id); the child of the ancestor on the path to the target."""
     t = nodes.select(*_key(id_col), F.col("node_id").alias("target_id"), F.concat("ancestors", F.array("node_id")).alias("_p"))
-    path = targets.join(t, [*_key(id_col), "target_id"]).withColumn("node_id", F.try_element_at("_p", (F.array_position("_p", F.col("ancestor_id")) + 1).cast("int"))).where(F.array_contains("_p", F.col("ancestor_id")) & F.col("node_id").isNotNull()).drop("_p")
-    return nodes.join(path, [*_key(id_col), "node_id"])
+    at = F.array_position("_p", F.col("ancestor_id"))
+    path = targets.join(_sorted_join(t), [*_key(id_col), "target_id"]).where((at > 0) & (at < F.size("_p"))).withColumn("node_id", F.get("_p", at.cast("int"))).drop("_p")
+    return nodes.join(_sorted_join(path), [*_key(id_col), "node_id"])
 
 
 # ---- queries
@@ -320,8 +326,21 @@ class NotPlain(ValueError):
     """A pattern that joins can't express."""
 
 
-def join_query(nodes: DataFrame, query: str, index: int = 0, id_col: str = "doc_id") -> DataFrame:
-    """A pattern without quantifiers, alternations and groups as joins of nodes: (id, layer_id, one node id for each capture).
+def pattern_kinds(query: str, index: int = 0) -> list[str] | None:
+    """The kinds of all nodes that join_query() reads for a pattern; None if it may read any."""
+
+    def of(item: Item) -> set[str] | None:
+        if item.form == "node" and (item.kind is None or item.missing or item.supertype or item.negated):
+            return None
+        below = [of(p) for p in item.parts]
+        return None if None in below else set().union(*below, {item.kind} if item.form == "node" else set())
+
+    kinds = of(Query(query).patterns[index].item)
+    return None if kinds is None else sorted(kinds)
+
+
+def join_query(nodes: DataFrame, query: str, index: int = 0, id_col: str = "doc_id", texts: bool = False) -> DataFrame:
+    """A pattern without quantifiers, alternations and groups as joins of nodes: (id, layer_id, one node id for each capture), with texts also the text of leaves as <capture>_text.
 
     A child is an equi-join on the parent, a sibling's order a comparison, a negated field an anti join. #eq?, #match?
     and #any-of? with strings test the text of leaves.
@@ -355,11 +374,11 @@ def join_query(nodes: DataFrame, query: str, index: int = 0, id_col: str = "doc_
         d = nodes.where(test(item)).select(*key, *[F.col(c).alias(f"{me}_{c}") for c in cols])
         for f in item.negated:
             has = nodes.where(F.col("field") == f).select(*key, F.col("parent_id").alias(f"{me}_node_id"))
-            d = d.join(has, [*key, f"{me}_node_id"], "left_anti")
+            d = d.join(_sorted_join(has), [*key, f"{me}_node_id"], "left_anti")
         before = None
         for k, part in enumerate(item.parts):
             c, name = build(part)
-            d = d.join(c.withColumnRenamed(f"{name}_parent_id", f"{me}_node_id"), [*key, f"{me}_node_id"])
+            d = d.join(_sorted_join(c.withColumnRenamed(f"{name}_parent_id", f"{me}_node_id")), [*key, f"{me}_node_id"])
             if before is not None:
                 d = d.where(F.col(f"{name}_child_index") > F.col(f"{before}_child_index"))
             if part.anchored:
@@ -387,7 +406,7 @@ def join_query(nodes: DataFrame, query: str, index: int = 0, id_col: str = "doc_
         own = [v for _, v in p.args[1:]]
         c = t.isin(own) if "of" in p.name or "eq" in p.name else t.rlike(own[0])
         d = d.where(~c if p.name.startswith("not-") else c)
-    return d.select(*key, *[F.col(f"{me}_node_id").alias(c) for c, me in at.items()])
+    return d.select(*key, *[F.col(f"{me}_node_id").alias(c) for c, me in at.items()], *[F.col(f"{me}_text").alias(f"{c}_text") for c, me in at.items() if texts])
 
 
 # ---- nested languages
@@ -537,6 +556,39 @@ def resolve(references: DataFrame, definitions: DataFrame, scopes: DataFrame, id
     return references.join(best, [id_col, "name", "offset"], "left")
 
 
+def _meant(scopes: list, definitions: list, references: list) -> dict[tuple[str, int], int]:
+    """{(name, offset) of a reference: the offset of the definition that it means}, as resolve() has it."""
+    inside = lambda at: [(a, b, more) for a, b, more in scopes if a <= at < b]
+    own: dict[str, list[tuple[int, int, int]]] = {}
+    for name, at in definitions:
+        held = [(a, -b) for a, b, _ in inside(at)]
+        if held:
+            a, b = max(held)
+            own.setdefault(name, []).append((a, b, at))
+    out = {}
+    for name, at in references:
+        if name in own:
+            wall = max((a for a, _, more in inside(at) if not more), default=-1)
+            fit = [(a, b, d) for a, b, d in own[name] if d <= at and a <= at < -b and a >= wall]
+            if fit:
+                out[name, at] = max(fit)[2]
+    return out
+
+
+def resolved(df: DataFrame, language: str, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, name, offset, def_offset): resolve() of scoped_names(), in the pass that parses, as a text's scopes hold nothing of another's. Ids are not repeated."""
+    parser = LANGUAGES[language]
+    compiled(query, language)
+
+    def one(i, source):
+        scopes, definitions, references = _scoped(parser(source), source, query, language)
+        meant = _meant(scopes, definitions, references)
+        for name, at in references:
+            yield i, name, at, meant.get((name, at))
+
+    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, name string, offset int, def_offset int", one)
+
+
 # ---- highlighting
 
 #: language: {capture: patterns}, later ones winning on the same node.
@@ -571,8 +623,8 @@ def recognised(capture: str, names: list[str]) -> str | None:
     return max(fit, key=lambda n: len(n.split(".")), default=None)
 
 
-def highlight(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None, highlights: dict[str, str] | None = None, injections: dict[str, str] | None = None, scopes: dict[str, str] | None = None) -> DataFrame:
-    """(id, seq, layer_id, start_byte, end_byte, capture): spans in order of the text, outer before inner, deeper layers later.
+def highlight(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None, highlights: dict[str, str] | None = None, injections: dict[str, str] | None = None, scopes: dict[str, str] | None = None, texts: bool = False) -> DataFrame:
+    """(id, seq, layer_id, start_byte, end_byte, capture), with texts also the span's text: spans in order of the text, outer before inner, deeper layers later.
 
     highlights and injections: {language: its query}. Of several patterns on one node the last counts, and of layers
     with one range the first. scopes: {language: a query of scopes}; a pattern with (#is-not? local) is then skipped on
@@ -598,9 +650,9 @@ def highlight(df: DataFrame, language: str, id_col: str = "doc_id", text_col: st
                 if name is not None:
                     spans.setdefault((placed(shift, n.start), placed(shift, n.end, True)), (depth, me, name))
         for seq, ((a, b), (_, me, name)) in enumerate(sorted(spans.items(), key=lambda x: (x[0][0], -x[0][1], x[1][0]))):
-            yield i, seq, me, a, b, name
+            yield (i, seq, me, a, b, name, source[a:b].decode("utf-8", "replace")) if texts else (i, seq, me, a, b, name)
 
-    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, seq int, layer_id int, start_byte int, end_byte int, capture string", one)
+    return _each_text(df, id_col, text_col, f"`{id_col}` {_kind(df, id_col)}, seq int, layer_id int, start_byte int, end_byte int, capture string" + ", text string" * texts, one)
 
 
 def _scoped(root: Node, source: bytes, query: str, language: str) -> tuple[list, list, list]:
@@ -623,19 +675,8 @@ def _scoped(root: Node, source: bytes, query: str, language: str) -> tuple[list,
 def _local_names(root: Node, source: bytes, query: str, language: str) -> frozenset[int]:
     """Where names stand that are defined before in a scope that holds them."""
     scopes, definitions, references = _scoped(root, source, query, language)
-    inside = lambda at: [(a, b, more) for a, b, more in scopes if a <= at < b]
-    own = {}
-    for name, at in definitions:
-        held = inside(at)
-        if held:
-            own.setdefault(name, []).append((at, max(held, key=lambda x: (x[0], -x[1]))))
-    out = {at for found in own.values() for at, _ in found}
-    for name, at in references:
-        walls = [a for a, _, more in inside(at) if not more]
-        wall = max(walls, default=-1)
-        if any(d <= at and a <= at < b and a >= wall for d, (a, b, _) in own.get(name, ())):
-            out.add(at)
-    return frozenset(out)
+    held = {at for _, at in definitions if any(a <= at < b for a, b, _ in scopes)}
+    return frozenset(held | {at for _, at in _meant(scopes, definitions, references)})
 
 
 def scoped_names(df: DataFrame, language: str, query: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -724,6 +765,29 @@ def edited(nodes: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFr
     return d.withColumn("has_changes", changed).withColumn("start_byte", move("start_byte")).withColumn("end_byte", move("end_byte")).drop("_s", "_o", "_n")
 
 
+def _text_pairs(old: DataFrame, new: DataFrame, id_col: str, text_col: str, more: list[Column] = ()) -> DataFrame:
+    """(id, _old, _new, *more of new): the texts of an id side by side, dealt over the cores; null texts have no pair."""
+    spark = old.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # texts are small, parsing is not
+    a, b = old.select(id_col, F.col(text_col).alias("_old")).where("_old is not null"), new.select(id_col, F.col(text_col).alias("_new"), *more)
+    return a.repartition(n, id_col).join(_sorted_join(b.repartition(n, id_col)), id_col)
+
+
+def equal_nodes(left: DataFrame, right: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, same): how many nodes of the two texts of an id are equal: in number, kind and bytes. The texts are joined and not their nodes; texts without a common node give no row."""
+    parser = LANGUAGES[language]
+    key = ["node_id", "kind", "start_byte", "end_byte"]
+
+    def one(i, after, before):
+        before = before if isinstance(before, bytes) else before.encode("utf-8")
+        same = sum(x == y for x, y in zip(*[zip(*node_columns(parser(t), t, 0, language, key)) for t in (before, after)]))
+        if same:
+            yield i, same
+
+    each = _each_text(_text_pairs(left, right, id_col, text_col), id_col, "_new", f"`{id_col}` {_kind(left, id_col)}, same bigint", one, ["_old"])
+    return each.groupBy(id_col).agg(F.sum("same").alias("same"))
+
+
 def changed_ranges(old: DataFrame, new: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", edit_cols: tuple[str, str, str] | None = None) -> DataFrame:
     """(id, start, end): the ranges of each new text whose nodes the old tree, after the edit, does not have.
 
@@ -733,10 +797,7 @@ def changed_ranges(old: DataFrame, new: DataFrame, language: str, id_col: str =
     """
     parser = LANGUAGES[language]
     more = [F.col(c).cast("int").alias(f"_e{k}") for k, c in enumerate(edit_cols or ())]
-    spark = old.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # texts are small, parsing is not
-    a, b = old.select(id_col, F.col(text_col).alias("_old")).where("_old is not null"), new.select(id_col, F.col(text_col).alias("_new"), *more)
-    both = a.repartition(n, id_col).join(b.repartition(n, id_col), id_col)
+    both = _text_pairs(old, new, id_col, text_col, more)
 
     def one(i, after, before, *edit):
         before = before if isinstance(before, bytes) else before.encode("utf-8")
@@ -755,12 +816,61 @@ def to_parse_again(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_
 # ---- catalogue
 
 
+def _types(base: DataFrame, below: DataFrame) -> DataFrame:
+    """base: (language, kind, is_named, n, supertypes); below: (language, kind, fields, child_kinds) of parents; both may repeat."""
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    own = base.groupBy("language", "kind", "is_named").agg(F.sum("n").alias("n"), F.first("supertypes").alias("supertypes"))
+    return own.join(below.groupBy("language", "kind").agg(flat("fields"), flat("child_kinds")), ["language", "kind"], "left").select("language", "kind", "is_named", "n", "supertypes", "fields", "child_kinds")
+
+
 def node_types(nodes: DataFrame) -> DataFrame:
-    """(language, kind, is_named, n, fields, child_kinds) as they occur: what a language's node types look like in data."""
-    me = nodes.select("language", "kind", "is_named", "supertypes")
-    base = me.groupBy("language", "kind", "is_named").agg(F.count("*").alias("n"), F.first("supertypes").alias("supertypes"))
-    p = parents(nodes, nodes.columns[0], ["kind", "language"]).groupBy("parent_language", "parent_kind").agg(F.array_sort(F.collect_set("field")).alias("fields"), F.array_sort(F.collect_set("kind")).alias("child_kinds"))
-    return base.join(p, (F.col("language") == F.col("parent_language")) & (F.col("kind") == F.col("parent_kind")), "left").drop("parent_language", "parent_kind")
+    """(language, kind, is_named, n, supertypes, fields, child_kinds) as they occur: what a language's node types look like in data."""
+    p = parents(nodes.select(*_key(nodes.columns[0]), "node_id", "parent_id", "kind", "field", "language"), nodes.columns[0], ["kind", "language"])
+    below = p.groupBy(F.col("parent_language").alias("language"), F.col("parent_kind").alias("kind")).agg(F.collect_set("field").alias("fields"), F.collect_set("kind").alias("child_kinds"))
+    return _types(nodes.groupBy("language", "kind", "is_named").agg(F.count("*").alias("n"), F.first("supertypes").alias("supertypes")), below)
+
+
+#: Node types that a task counts before it hands them on.
+TYPES_HELD = 10_000
+
+
+def node_types_of(df: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """node_types() of all texts, counted in the pass that parses: a task gives a row a type, so that no node is shuffled."""
+    parser = LANGUAGES[language]
+    kind = _parse_datatype_string("kind string, is_named boolean, n bigint, supertypes array<string>, fields array<string>, child_kinds array<string>")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base: dict[tuple[str, bool], list] = {}
+        below: dict[str, tuple[set, set]] = {}
+
+        def flush():
+            out = [(k, named, n, list(sup), None, None) for (k, named), (n, sup) in base.items()] + [(k, None, None, None, sorted(f), sorted(c)) for k, (f, c) in below.items()]
+            base.clear(), below.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(zip(*out), arrow)], schema=arrow)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for text in batch.column(0).slice(at, 64).to_pylist():
+                    if text is None:
+                        continue
+                    for n in walk(parser(text if isinstance(text, bytes) else text.encode("utf-8"))):
+                        held = base.get((n.kind, n.named))
+                        if held is None:
+                            base[n.kind, n.named] = [1, n.supertypes]
+                        else:
+                            held[0] += 1
+                        if n.children:
+                            fields, kinds = below.setdefault(n.kind, (set(), set()))
+                            fields.update(c.field for c in n.children if c.field is not None)
+                            kinds.update(c.kind for c in n.children)
+                    if len(base) > TYPES_HELD:
+                        yield flush()
+        if base:
+            yield flush()
+
+    each = cut(spread(df.select(text_col)).mapInArrow(run, kind)).withColumn("language", F.lit(language))
+    return _types(each.where("n is not null"), each.where("n is null"))
 
 
 def symbols(spark) -> DataFrame:

@@ -370,7 +370,7 @@ def _(spark, sf_dir):
 
 @query("a7_node_types", "SELECT 'pair' AS kind, 'key,value' AS fields, count(*) AS n FROM events")
 def _(spark, sf_dir):
-    t = T.node_types(_json(spark, sf_dir)).where("kind = 'pair'")
+    t = T.node_types_of(table(spark, sf_dir, "events"), "json", "event_id", "props").where("kind = 'pair'")
     return t.select("kind", F.array_join("fields", ",").alias("fields"), "n")
 
 

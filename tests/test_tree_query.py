@@ -229,3 +229,70 @@ def test_sql_trees():
     assert tree("vacuum full t") == "(source_file (statement (identifier) (keyword) (identifier)))" and "select_item" in tree("with q as (select 1) select q.x as y from q")
     deep = "select " + "(" * 400 + "1" + ")" * 400
     assert LANGUAGES["sql"](deep.encode()).end == len(deep)
+
+
+def _broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_nodes_and_joins_of_nodes_broadcast_none(spark):
+    """Spark takes parsed rows for as small as their texts; a broadcast of them is what the driver failed by."""
+    a = spark.createDataFrame([(1, "[1, 2]"), (2, "[1]"), (3, None), (4, "7")], "doc_id int, text string")
+    b = spark.createDataFrame([(1, "[1, 2]"), (2, "[x]"), (3, "1"), (5, "7")], "doc_id int, text string")
+    key = ["doc_id", "layer_id", "node_id", "kind", "start_byte", "end_byte"]
+    plain = T.parse(a, "json").join(T.parse(b, "json"), key).groupBy("doc_id").count()
+    got = T.equal_nodes(a, b, "json")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    n = T.parse(a, "json")
+    targets = n.where("kind = 'number'").select("doc_id", "layer_id", F.lit(0).alias("ancestor_id"), F.col("node_id").alias("target_id"))
+    towards = T.child_with_descendant(n, targets)
+    assert sorted((r.doc_id, r.kind) for r in towards.collect()) == [(1, "array"), (1, "array"), (2, "array"), (4, "number")]
+    q = T.join_query(n, "(array (number) @a)", texts=True)
+    assert sorted((r.doc_id, r.a_text) for r in q.collect()) == [(1, "1"), (1, "2"), (2, "1")]
+    assert not any(map(_broadcasts, [got, towards, q, T.parents(n), T.node_types(n)]))
+
+
+def test_pattern_kinds():
+    assert T.pattern_kinds("(pair key: (string (string_content) @k) value: (number) @v)") == ["number", "pair", "string", "string_content"]
+    assert T.pattern_kinds("(pair (_) @x)") is None and T.pattern_kinds("(pair !value) @p") is None
+
+
+def test_node_types_of_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, '{"a": [1, {"b": null}]}'), (2, "[1 @"), (3, None), (4, '{"x": "y"}')], "doc_id int, text string").repartition(3)
+    want = {(r.kind, r.is_named): (r.n, r.fields, r.child_kinds) for r in T.node_types(T.parse(docs, "json")).collect()}
+    monkeypatch.setattr(T, "TYPES_HELD", 2)
+    got = T.node_types_of(docs, "json")
+    assert {(r.kind, r.is_named): (r.n, r.fields, r.child_kinds) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_resolved_in_the_pass_that_parses(spark):
+    """The same as by joins, with scopes that hide what is outside and names that are defined twice."""
+    q = '(block) @scope\n((arguments) @scope (#set! inherits "false"))\n(program) @scope\n("var" . (identifier) @definition)\n((identifier) @reference)'
+    rnd = random.Random(5)
+    word = lambda: rnd.choice(["a", "b", "var a", "var b", "{", "}", "(", ")", ";"])
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(30))) for i in range(60)], "doc_id int, text string")
+    want = T.resolve(*T.scoped_names(docs, "javascript", q)).select("doc_id", "name", "offset", "def_offset")
+    got = T.resolved(docs, "javascript", q)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+
+
+def test_groups_are_tried_where_they_can_begin():
+    """A wide node takes time in proportion to its children, not to their square."""
+    source = ("f(x); " * 300).encode()
+    m = Matcher(Query('((identifier) @a . (arguments) @b (#eq? @a "f"))\n("var" . (identifier) @c)'))
+    tried = [0]
+    plain = m._node_or_choice
+
+    def counted(*args):
+        tried[0] += 1
+        return plain(*args)
+
+    m._node_or_choice = counted
+    assert len(m.matches(LANGUAGES["javascript"](source), source)) == 300
+    assert tried[0] < 300 * 20
+
+
+def test_highlight_texts(spark):
+    docs = spark.createDataFrame([(1, '{"é": 10}')], "doc_id int, text string")
+    assert [(r.capture, r.text) for r in T.highlight(docs, "json", texts=True).orderBy("seq").collect()] == [("property", '"é"'), ("constant", "10")]
