@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.operators import trees as T
-from arborlake.operators.storage import cut
+from arborlake.operators.storage import cut, written
 from arborlake.plans.registry import register
 from arborlake.session import table
 from arborlake.sources import readers
@@ -387,11 +387,10 @@ def _(spark, sf_dir):
 
 @query("a8_join_plan", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
 def _(spark, sf_dir):
-    n = _json(spark, sf_dir, True, JOINED)
-    m = T.join_query(n, "(pair key: (string (string_content) @k) value: (number) @v)", 0, "event_id")
-    t = n.select("event_id", "node_id", "text")
-    m = m.join(t.select("event_id", F.col("node_id").alias("k"), F.col("text").alias("key")), ["event_id", "k"])
-    return m.join(t.select("event_id", F.col("node_id").alias("v"), F.col("text").alias("value")), ["event_id", "v"]).select("event_id", "key", "value")
+    q = "(pair key: (string (string_content) @k) value: (number) @v)"
+    n = written(_json(spark, sf_dir, columns=JOINED, kinds=T.pattern_kinds(q)), "nodes")
+    m = T.join_query(n, q, 0, "event_id", texts=True)
+    return m.select("event_id", F.col("k_text").alias("key"), F.col("v_text").alias("value"))
 
 
 @query("a8_quantifier", "SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<li>')) AS BIGINT) AS items FROM pages")
