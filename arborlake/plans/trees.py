@@ -352,9 +352,8 @@ def _(spark, sf_dir):
 @query("a5_equal_nodes", "SELECT event_id, CAST(11 AS BIGINT) AS same FROM events")
 def _(spark, sf_dir):
     """Nodes of two parses are equal by their keys."""
-    cols = ["layer_id", "node_id", "kind", "start_byte", "end_byte"]
-    a, b = _json(spark, sf_dir, columns=cols), _json(spark, sf_dir, columns=cols)
-    return a.join(b, ["event_id", *cols]).groupBy("event_id").agg(F.count("*").alias("same"))
+    e = table(spark, sf_dir, "events")
+    return T.equal_nodes(e, e, "json", "event_id", "props")
 
 
 @query("a5_sexp", "SELECT event_id, '(document (object (pair key: (string (string_content)) value: (number))))' AS sexp FROM events")
