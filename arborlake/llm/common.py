@@ -113,6 +113,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def by_sorting(df: DataFrame) -> DataFrame:
+    """df, for a join that sorts both sides. Left to itself Spark broadcasts what it takes for small, by the compressed size of a shuffle or
+    by that of texts from which rows were made, and the driver holds all such tables of a plan at once."""
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """df, computed once, to be broadcast if it has so many rows at most; beyond them joins shuffle. For narrow rows only."""
     df = cut(df)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import broadcast_if_small, cut, map_slices, read, unused
+from arborlake.llm.common import broadcast_if_small, by_sorting, cut, map_slices, read, unused
 from arborlake.llm.components import components
 
 #: A segment value with more distinct fingerprints than this is a crowd. Results do not depend on it.
@@ -72,19 +72,19 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     probes = own.select("fp", F.col("k").alias("own_k"), F.explode(F.expr(_ball("k"))).alias("k"))
     crowds = own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("k")
     near = F.expr("bit_count(a ^ b) <= 3 and a <> b and (own_k <> k or a < b)")
-    found = own.select(F.col("fp").alias("a"), "k").join(probes.select(F.col("fp").alias("b"), "own_k", "k"), "k")
+    found = own.select(F.col("fp").alias("a"), "k").join(by_sorting(probes.select(F.col("fp").alias("b"), "own_k", "k")), "k")
     if crowds.isEmpty():
         return found.where(near).select("a", "b")
-    plain = own.join(crowds, "k", "left_anti").select(F.col("fp").alias("a"), "k").join(probes.select(F.col("fp").alias("b"), "own_k", "k"), "k").where(near).select("a", "b")
+    plain = own.join(by_sorting(crowds), "k", "left_anti").select(F.col("fp").alias("a"), "k").join(by_sorting(probes.select(F.col("fp").alias("b"), "own_k", "k")), "k").where(near).select("a", "b")
     # level 0: at most one bit from a member of the crowd; 1: two bits; 2: at most one bit from one that probes it
-    met = probes.join(crowds, "k").withColumn("rest", F.expr("if(k >= 4294967296L, fp & 4294967295L, shiftrightunsigned(fp, 32))"))
+    met = probes.join(by_sorting(crowds), "k").withColumn("rest", F.expr("if(k >= 4294967296L, fp & 4294967295L, shiftrightunsigned(fp, 32))"))
     one = "transform(sequence(0, 31), b -> rest ^ shiftleft(1L, b))"
     two = "flatten(transform(sequence(0, 30), b -> transform(sequence(b + 1, 31), c -> rest ^ shiftleft(1L, b) ^ shiftleft(1L, c))))"
     close = met.select("k", "fp", F.expr("if(own_k = k, 0, 2)").alias("level"), F.explode(F.expr(f"concat(array(rest), {one})")).alias("z"))
     wide = met.where("own_k = k").select("k", "fp", F.lit(1).alias("level"), F.explode(F.expr(two)).alias("z"))
     spread = close.unionAll(wide)
     middle = spread.where("level = 0").groupBy("k", "z").agg(F.min("fp").alias("a"))
-    starred = spread.join(middle, ["k", "z"]).where("fp <> a").select("a", F.col("fp").alias("b"))
+    starred = spread.join(by_sorting(middle), ["k", "z"]).where("fp <> a").select("a", F.col("fp").alias("b"))
     return plain.unionAll(starred)
 
 
@@ -93,10 +93,10 @@ def _labels(least: DataFrame, tied: DataFrame) -> DataFrame:
 
     The least id of each root is written before it is joined, so that a component of any size can be split over tasks.
     """
-    linked = least.join(tied, least.fp == tied.node).select("fp", "least", "root")
+    linked = least.join(by_sorting(tied), least.fp == tied.node).select("fp", "least", "root")
     of_root = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    alone = least.join(tied, least.fp == tied.node, "left_anti").select("fp", F.col("least").alias("component_id"))
-    return linked.join(of_root, "root").select("fp", "component_id").unionAll(alone)
+    alone = least.join(by_sorting(tied), least.fp == tied.node, "left_anti").select("fp", F.col("least").alias("component_id"))
+    return linked.join(by_sorting(of_root), "root").select("fp", "component_id").unionAll(alone)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, crowd: int = CROWD) -> DataFrame:
@@ -110,7 +110,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = cut(fingerprints(df, id_col, text_col, width), as_dealt=True)
     least = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     tied = components(links(least.select("fp"), crowd), "a", "b")
-    return prints.join(_labels(least, tied), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(by_sorting(_labels(least, tied)), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 BINS, BANDS, BAND_ROWS = 256, 20, 5
@@ -189,14 +189,14 @@ def _met(each: DataFrame, meeting: int) -> tuple[DataFrame, DataFrame]:
     greatest hash; what that leaves open is for _rare_pairs().
     """
     keys = each.select("th", F.explode("bands").alias("k"))
-    met = cut(keys.join(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"))
+    met = cut(keys.join(by_sorting(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")), "k"))
     few = met.where(F.col("n") <= meeting)
-    small = few.select("k", F.col("th").alias("a")).join(few.select("k", F.col("th").alias("b")), "k").where("a < b").select("a", "b")
+    small = few.select("k", F.col("th").alias("a")).join(by_sorting(few.select("k", F.col("th").alias("b"))), "k").where("a < b").select("a", "b")
     large = met.where(F.col("n") > meeting)
     weight = large.groupBy("th").agg(F.sum("n").alias("w"))
-    hubs = large.join(weight, "th").groupBy("k").agg(F.max(F.struct("w", "th"))["th"].alias("x"), F.min("th").alias("y"), F.max("th").alias("z"))
+    hubs = large.join(by_sorting(weight), "th").groupBy("k").agg(F.max(F.struct("w", "th"))["th"].alias("x"), F.min("th").alias("y"), F.max("th").alias("z"))
     hubs = hubs.select("k", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("hub"))
-    crowded = large.join(hubs, "k").where("th <> hub").select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b"))
+    crowded = large.join(by_sorting(hubs), "k").where("th <> hub").select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b"))
     return small.unionAll(crowded).distinct(), large.select("k", "th")
 
 
@@ -209,9 +209,9 @@ def _rare_pairs(texts: DataFrame, large: DataFrame, tied: DataFrame) -> DataFram
     meeting look for others. texts: (th, text), may repeat.
     """
     roots = tied.select(F.col("node").alias("th"), "root")
-    own = cut(large.join(roots, "th", "left").select("k", "th", F.coalesce("root", "th").alias("c")))
+    own = cut(large.join(by_sorting(roots), "th", "left").select("k", "th", F.coalesce("root", "th").alias("c")))
     main = own.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    members = cut(own.join(main, "k").groupBy("th", "c").agg(F.max(F.col("c") != F.col("main")).alias("open")))
+    members = cut(own.join(by_sorting(main), "k").groupBy("th", "c").agg(F.max(F.col("c") != F.col("main")).alias("open")))
     if members.isEmpty():
         return None
     asked = broadcast_if_small(members.select("th"), 1_000_000)  # 8 bytes each
@@ -225,17 +225,17 @@ def _rare_pairs(texts: DataFrame, large: DataFrame, tied: DataFrame) -> DataFram
 
     sets = cut(map_slices(texts.join(asked, "th").dropDuplicates(["th"]), ["th", "text"], make, "th bigint, n bigint, hs array<bigint>", rows=32), as_dealt=True)
     each = sets.select("th", "n", F.explode("hs").alias("h"))
-    repeated = each.join(each.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "h")
+    repeated = each.join(by_sorting(each.groupBy("h").agg(F.count("*").alias("d")).where("d > 1")), "h")
     of_text = Window.partitionBy("th")  # shingles of one text alone come first and meet none
     ranked = repeated.withColumn("at", F.row_number().over(of_text.orderBy("d", "h")) + F.col("n") - F.count("*").over(of_text))
-    first = cut(ranked.where(f"at <= n - ceil({SIMILARITY}D * n - 1e-6D) + 1").join(members, "th").select("th", "n", "h", "at", "c", "open"))
+    first = cut(ranked.where(f"at <= n - ceil({SIMILARITY}D * n - 1e-6D) + 1").join(by_sorting(members), "th").select("th", "n", "h", "at", "c", "open"))
     x = first.where(f"at <= n - ceil({2 * SIMILARITY / (1 + SIMILARITY)}D * n - 1e-6D) + 1").select("h", *[F.col(c).alias(f"x_{c}") for c in ("th", "n", "at", "c", "open")])  # of the smaller set
     y = first.select("h", *[F.col(c).alias(f"y_{c}") for c in ("th", "n", "at", "c", "open")])
     fits = F.expr(
         f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_th < y_th) and x_n >= {SIMILARITY}D * y_n - 1e-6D"
         f" and {1 + SIMILARITY}D * (1 + least(x_n - x_at, y_n - y_at)) >= {SIMILARITY}D * (x_n + y_n) - 1e-6D"
     )
-    found = x.where("x_open").join(y, "h").where(fits).unionAll(x.where("not x_open").join(y.where("y_open"), "h").where(fits))
+    found = x.where("x_open").join(by_sorting(y), "h").where(fits).unionAll(x.where("not x_open").join(by_sorting(y.where("y_open")), "h").where(fits))
     return found.select(F.least("x_th", "y_th").alias("a"), F.greatest("x_th", "y_th").alias("b")).distinct()
 
 
@@ -244,8 +244,8 @@ def _groups(df: DataFrame, id_col: str, text_col: str, meeting: int) -> tuple[Da
     prints = cut(_copies_prints(df, id_col, text_col), as_dealt=True)
     each = cut(prints.groupBy("th").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("th").alias("th"))).alias("least"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
     reps = each.groupBy("fp").agg(F.min("th").alias("rep"))
-    equal = each.select("th", "fp").join(reps, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
-    near = links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    equal = each.select("th", "fp").join(by_sorting(reps), "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+    near = links(reps.select("fp")).join(by_sorting(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))), "a").join(by_sorting(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))), "b")
     met, large = _met(each, meeting)
     pairs = equal.unionAll(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(met).distinct()
     own, other = each.select(F.col("th").alias("a"), F.col("sketch").alias("x")), each.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
@@ -253,11 +253,11 @@ def _groups(df: DataFrame, id_col: str, text_col: str, meeting: int) -> tuple[Da
     hashed = df.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))  # the hash of _copies_prints()
 
     def similar(pairs):
-        judged = cut(pairs.join(own, "a").join(other, "b").select("a", "b", share.alias("s")).where(F.col("s") >= UNLIKELY))
+        judged = cut(pairs.join(by_sorting(own), "a").join(by_sorting(other), "b").select("a", "b", share.alias("s")).where(F.col("s") >= UNLIKELY))
         open_pairs = judged.where(F.col("s") < LIKELY).select("a", "b")
         asked = broadcast_if_small(open_pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), 1_000_000)  # 8 bytes each
         texts = cut(hashed.join(asked, "th").dropDuplicates(["th"]))
-        both = open_pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
+        both = open_pairs.join(by_sorting(texts.select(F.col("th").alias("a"), F.col("text").alias("ta"))), "a").join(by_sorting(texts.select(F.col("th").alias("b"), F.col("text").alias("tb"))), "b")
         exact = map_slices(both, ["a", "b", "ta", "tb"], lambda: lambda a, b, ta, tb: [a, b, [similarity(x, y) for x, y in zip(ta, tb)]], "a bigint, b bigint, s double")
         return judged.where(F.col("s") >= LIKELY).unionAll(exact.where(F.col("s") >= SIMILARITY)).select("a", "b")
 
@@ -278,7 +278,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meetin
     one row each; null ids are kept, and the component of rows without any id has none. An empty table gives no rows.
     """
     rows, labels = _groups(df, id_col, text_col, meeting)
-    return rows.join(labels, "th").select(F.col("id").alias(id_col), F.col("component_id.id").alias("component_id"))
+    return rows.join(by_sorting(labels), "th").select(F.col("id").alias(id_col), F.col("component_id.id").alias("component_id"))
 
 
 def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +289,7 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows, labels = _groups(docs, id_col, text_col, MEETING)
     own = rows.groupBy("id", "th").agg(F.count("*").alias("n"))
-    judged = cut(own.join(labels, "th").select("id", "th", "n", (F.col("id").eqNullSafe(F.col("component_id.id")) & (F.col("th") == F.col("component_id.th"))).alias("stays")).where("n > 1 or not stays"))
+    judged = cut(own.join(by_sorting(labels), "th").select("id", "th", "n", (F.col("id").eqNullSafe(F.col("component_id.id")) & (F.col("th") == F.col("component_id.th"))).alias("stays")).where("n > 1 or not stays"))
     gone_id, gone_th = unused(docs, "gone_id"), unused(docs, "gone_th")
     named = judged.select(F.col("id").alias(gone_id), F.col("th").alias(gone_th), "stays")
     gone = broadcast_if_small(named.where("not stays").drop("stays"), 1_000_000)  # 16 bytes each

@@ -155,3 +155,18 @@ def test_pairs_inside_a_template_family(spark):
     got = {r.doc_id: r.component_id for r in simhash.copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     partner = {b: a for a, b in pairs}
     assert got == {i: partner.get(i, i) for i in text}
+
+
+def test_joins_of_unbounded_tables_are_not_broadcast(spark, tmp_path):
+    """Left to Spark, these tables are small enough to be broadcast here, and at 0.5 GB the driver failed by several at once."""
+    from arborlake.llm import components as C
+
+    def plain(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return "SortMergeJoin" in plan and "Broadcast" not in plan
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "u bigint, v bigint")
+    tied = spark.createDataFrame([(2, 1), (3, 1)], "node bigint, root bigint")
+    least = spark.createDataFrame([(1, 10), (2, 11), (7, 12)], "fp bigint, least bigint")
+    each = spark.createDataFrame([(1, [5, 6]), (2, [5, 7]), (3, [5])], "th bigint, bands array<bigint>")
+    assert all(map(plain, [C._large(edges), C._small(edges), simhash.links(least.select("fp")), simhash._labels(least, tied), *simhash._met(each, 2)[:1]]))
