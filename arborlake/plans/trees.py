@@ -497,8 +497,7 @@ def _functions(spark, sf_dir):
 @query("a12_locals_query", "SELECT event_id, name, def_offset FROM (SELECT event_id, 'a' AS name, CAST(11 + length(CAST(event_id AS VARCHAR)) AS INT) AS def_offset FROM events UNION ALL SELECT event_id, 'b', NULL FROM events)")
 def _(spark, sf_dir):
     q = '(program) @scope\n("function" . (identifier) . (arguments (identifier) @definition))\n((identifier) @_f . (arguments (identifier) @reference) (#eq? @_f "use"))'
-    refs, defs, scopes = T.scoped_names(_functions(spark, sf_dir), "javascript", q, "event_id", "code")
-    return T.resolve(refs, defs, scopes, "event_id").select("event_id", "name", "def_offset")
+    return T.resolved(_functions(spark, sf_dir), "javascript", q, "event_id", "code").select("event_id", "name", "def_offset")
 
 
 @query("a12_not_local", "SELECT event_id, 'a' AS t, 'parameter' AS capture FROM events UNION ALL SELECT event_id, 'b', 'variable' FROM events")
