@@ -505,9 +505,8 @@ def _(spark, sf_dir):
     """Names that a scope defines take another colour than those that it does not."""
     scopes = {"javascript": '(program) @scope\n("function" . (identifier) . (arguments (identifier) @definition))\n((identifier) @_f . (arguments (identifier) @reference) (#eq? @_f "use"))'}
     colours = {"javascript": '((identifier) @_f . (arguments (identifier) @variable) (#eq? @_f "use") (#is-not? local))\n((identifier) @_f . (arguments (identifier) @parameter) (#eq? @_f "use") (#is? local))'}
-    code = _functions(spark, sf_dir)
-    h = T.highlight(code, "javascript", "event_id", "code", names=["variable", "parameter"], highlights=colours, scopes=scopes)
-    return h.join(code, "event_id").select("event_id", F.expr("substring(code, start_byte + 1, end_byte - start_byte)").alias("t"), "capture")
+    h = T.highlight(_functions(spark, sf_dir), "javascript", "event_id", "code", names=["variable", "parameter"], highlights=colours, scopes=scopes, texts=True)
+    return h.select("event_id", F.col("text").alias("t"), "capture")
 
 
 @query("a12_colours", "SELECT * FROM (VALUES (255, 0, 0, 196), (8, 8, 8, 232), (0, 0, 255, 21), (128, 128, 128, 244)) AS t(r, g, b, index)")
