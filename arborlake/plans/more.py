@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlake.operators import patterns, recursion
 from arborlake.operators import trees as T
-from arborlake.operators.storage import scratch
+from arborlake.operators.storage import scratch, written
 from arborlake.plans.relational import query
 from arborlake.plans.relational_sql import sql
 from arborlake.plans.trees import SQL_TEXTS
@@ -183,7 +183,7 @@ def _json(events):
 
 @query("a5_child_with_descendant", "SELECT event_id, 'pair' AS kind FROM events", "events")
 def _(spark, events):
-    n = _json(events)
+    n = written(T.parse(events, "json", "event_id", "props", columns=["layer_id", "node_id", "ancestors", "kind"]), "nodes")
     t = n.where("kind = 'string_content'").select("event_id", "layer_id", F.lit(1).alias("ancestor_id"), F.col("node_id").alias("target_id"))
     return T.child_with_descendant(n, t, "event_id").select("event_id", "kind")
 
