@@ -123,3 +123,43 @@ def test_training_lowers_the_loss():
         pairs = z[y == 1][:, None] - z[y == 0][None, :]
         loss.append(float((pairs <= 0).mean()))
     assert loss[0] > loss[1] >= loss[2] and loss[2] < 0.02
+
+
+def test_every_labelled_document_teaches(spark):
+    """Of 3,300 toxic documents the 300 with the greatest hash of the id, and no other, have a word of their own."""
+    rnd = random.Random(11)
+    ids = [r.id for r in spark.range(8000).where(tox.fold("id") != 1).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    toxic, clean = ids[:3300], ids[3300:]
+    word = dict.fromkeys(toxic[:3000], "clown") | dict.fromkeys(toxic[3000:], "vequeu")
+    rows = [(i, " ".join([*rnd.choices("erth onst and of to in is".split(), k=6), word.get(i, "that")]), int(i in word)) for i in ids]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    assert len(clean) > 1500
+    scorer = tox.Scorer(tox.fit(df, labels))
+    made_like = lambda last: [" ".join([*rnd.choices("erth onst and of to in is".split(), k=6), last]) for _ in range(50)]
+    assert [int((scorer(made_like(w)) >= tox.THRESHOLD).sum()) for w in ("vequeu", "clown", "that")] == [50, 50, 0]
+
+
+def test_shards(spark):
+    """Models of shards, put together, are as good as one, and do not depend on how the rows are laid out."""
+    rows = made(1500, 13)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    a = tox.fit(df.repartition(1), labels.repartition(5), shard_rows=250)
+    b = tox.fit(df.repartition(7), labels, shard_rows=250)
+    assert np.array_equal(a.embed, b.embed) and np.array_equal(a.threshold, b.threshold) and all(np.array_equal(x, y) for x, y in zip(a.filters, b.filters))
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    called = tox.Scorer(a)([t for t, _ in held]) >= tox.THRESHOLD
+    assert (called != np.array([y for _, y in held])).sum() <= 5
+
+
+def test_cut_of_counts():
+    rnd = np.random.default_rng(3)
+    z, y = np.round(rnd.normal(0, 2, 500) * 8) / 8, (rnd.random(500) < 0.3).astype(int)
+    z[y == 1] += 2
+    counts = {}
+    for k in zip(z.tolist(), y.tolist()):
+        counts[k] = counts.get(k, 0) + 1
+    cz, cy, n = np.array([k[0] for k in counts]), np.array([k[1] for k in counts]), np.array(list(counts.values()))
+    assert tox.best_cut(cz, cy, n) == tox.best_cut(z, y)
+    assert tox.best_cut(np.array([0.0, 0.5]), np.array([0, 1]), np.array([9, 2]), 0.5) == 0.5
