@@ -163,3 +163,14 @@ def test_cut_of_counts():
     cz, cy, n = np.array([k[0] for k in counts]), np.array([k[1] for k in counts]), np.array(list(counts.values()))
     assert tox.best_cut(cz, cy, n) == tox.best_cut(z, y)
     assert tox.best_cut(np.array([0.0, 0.5]), np.array([0, 1]), np.array([9, 2]), 0.5) == 0.5
+
+
+def test_training_brings_no_text_to_the_driver(spark, monkeypatch):
+    rows = made(200, 17)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    brought = []
+    for name in ("collect", "toLocalIterator", "toArrow", "toPandas", "take", "head"):
+        monkeypatch.setattr(type(df), name, lambda self, *a, f=getattr(type(df), name), **b: (brought.append(self.columns), f(self, *a, **b))[1])
+    tox.fit(df, labels)
+    assert brought and not any("text" in columns for columns in brought)
