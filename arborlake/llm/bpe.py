@@ -19,13 +19,12 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm.common import map_slices, read
+from arborlake.llm.common import kept, map_slices, read
 
 #: Words that a task keeps with their ids. States of the table, which starts anew beyond them. Bounds of memory only.
 CACHED_WORDS, MOST_STATES = 150_000, 200_000
@@ -246,9 +245,8 @@ class WordBpe:
         return tuple(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode("utf-8")).hexdigest() for names in (self.decimal, self.label))
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    return kept(("bpe", path), lambda: WordBpe(path))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -272,11 +270,11 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             tokens = [bpe.encode(t or "") for t in texts]
             return [ids, tokens, [bpe.decode(t) for t in tokens]]
 
-        f.close = bpe.words.forget  # the table stays for the next task
+        f.close = bpe.words.forget  # the table stays for the next task of this operator
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, token_ids array<int>, decoded string", rows=64)
+    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, token_ids array<int>, decoded string", rows=64, keeps=True)
 
 
 def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -290,11 +288,11 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             tokens = [bpe.encode(t or "") for t in texts]
             return [ids, [len(t) for t in tokens], *zip(*map(bpe.digests, tokens))]
 
-        f.close = bpe.words.forget  # the table stays for the next task
+        f.close = bpe.words.forget  # the table stays for the next task of this operator
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows=64)
+    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows=64, keeps=True)
 
 
 def encode_with_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -308,11 +306,11 @@ def encode_with_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             tokens = [bpe.encode(t or "") for t in texts]
             return [ids, tokens, [len(t) for t in tokens], *zip(*map(bpe.digests, tokens))]
 
-        f.close = bpe.words.forget  # the table stays for the next task
+        f.close = bpe.words.forget  # the table stays for the next task of this operator
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows=64)
+    return map_slices(df, [id_col, text_col], make, f"`{id_col}` {kind}, token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows=64, keeps=True)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,17 +42,38 @@ def ascii_lower_col(c):
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))
 
 
-def map_slices(df: DataFrame, columns: list, make: Callable, schema: str, rows: int = 128) -> DataFrame:
+#: What this process keeps from task to task: one thing at most, by its key.
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """make(), or what it returned to an earlier task of this process; it stays until let_go() or another key."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Drops what kept() keeps, as a task begins that has no use for it: workers live on, and operators would add up in them."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
+def map_slices(df: DataFrame, columns: list, make: Callable, schema: str, rows: int = 128, keeps: bool = False) -> DataFrame:
     """One output row or more for the rows of a slice, by Arrow and without a shuffle.
 
     make() runs once a task and returns f, which gets one list per column for up to `rows` rows and
     returns one list per output column. Only the named columns leave the JVM, so others may have any name. If f has a
-    `close`, it is called as the task ends, so that workers, which live on, keep nothing of it.
+    `close`, it is called as the task ends, so that workers, which live on, keep nothing of it. keeps: make() uses kept().
     """
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         f = make()
         try:
             for batch in batches:
@@ -61,6 +82,8 @@ def map_slices(df: DataFrame, columns: list, make: Callable, schema: str, rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(out, arrow, strict=True)], schema=arrow)
         finally:
             getattr(f, "close", lambda: None)()
+            del f
+            trim()
 
     return small_batches(df).select(*columns).mapInArrow(run, kind)
 
@@ -68,12 +91,27 @@ def map_slices(df: DataFrame, columns: list, make: Callable, schema: str, rows:
 def give_back() -> None:
     """Returns memory that this process has freed to the system, where its library can."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same without a search for garbage: what a task does as it ends."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # another C library
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """The JVMs that run tasks collect their garbage and return what is free: a heap that one stage has filled stays full otherwise.
+
+    A task for each core reaches every executor that is idle; one that is not reached keeps its heap, and no result depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").collect()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (local runs)."""
     there = spark.conf.get("spark.checkpoint.dir", None)

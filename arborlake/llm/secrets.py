@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from arborlake.llm.common import map_slices, read, small_batches
+from arborlake.llm.common import let_go, map_slices, read, small_batches
 
 #: A run of 16 and more key characters with a digit in it, or of 16 and more capitals and digits.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9]|[A-Z0-9]{16,})[A-Za-z0-9_+/-]{16,}={0,2}")
@@ -335,6 +335,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", length_col:
     size = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
+        let_go()
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)

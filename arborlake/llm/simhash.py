@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import broadcast_if_small, by_sorting, cut, map_slices, read, unused
+from arborlake.llm.common import broadcast_if_small, by_sorting, cut, give_back_heaps, map_slices, read, unused
 from arborlake.llm.components import components
 
 #: A segment value with more distinct fingerprints than this is a crowd. Results do not depend on it.
@@ -262,6 +262,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, meeting: int) -> tuple[Da
         return judged.where(F.col("s") >= LIKELY).unionAll(exact.where(F.col("s") >= SIMILARITY)).select("a", "b")
 
     tied = components(similar(pairs), "a", "b")
+    give_back_heaps(df.sparkSession)
     rare = _rare_pairs(hashed, large, tied)
     if rare is not None:
         tied = components(tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar(rare)), "a", "b")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from arborlake.llm.common import broadcast_if_small, cut, give_back, map_slices, read, small_batches
+from arborlake.llm.common import broadcast_if_small, cut, give_back, let_go, map_slices, read, small_batches, trim
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
@@ -407,10 +407,12 @@ def _chunks(rows: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(kind))
 
     def run(batches):
+        let_go()
         each = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
         for (shard, apart), own in itertools.groupby(each, key=lambda r: r[:2]):
             for some in itertools.batched(own, CHUNK):
                 yield pa.RecordBatch.from_pylist([{"shard": shard, "apart": apart} | Chunk.of([r[3] for r in some], [r[2] for r in some]).packed()], schema=arrow)
+        trim()
 
     return small_batches(rows).select("shard", "apart", "y", "text").mapInArrow(run, kind)
 
@@ -458,6 +460,7 @@ def _epoch(chunks: DataFrame, learner: Learner, weight: float, rate: float) -> N
     arrow = to_arrow_schema(_parse_datatype_string(PIECES))
 
     def run(batches):
+        let_go()
         each = (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist())
         for shard, own in itertools.groupby(each, key=lambda r: r["shard"]):
             new = copy.deepcopy(sent.value)
@@ -465,6 +468,8 @@ def _epoch(chunks: DataFrame, learner: Learner, weight: float, rate: float) -> N
                 for at in range(0, len(chunk.y), BATCH):
                     new.learn(chunk, np.arange(at, min(at + BATCH, len(chunk.y))), weight, rate)
             yield pa.RecordBatch.from_pylist(list(_pieces(new, sent.value, shard)), schema=arrow)
+            del new
+        trim()
 
     found = chunks.mapInArrow(run, PIECES).groupBy("piece").applyInArrow(_mean, PIECES).collect()
     sent.destroy()
@@ -486,6 +491,7 @@ def _thresholds(chunks: DataFrame, model: Model) -> np.ndarray:
     arrow = to_arrow_schema(_parse_datatype_string(kind))
 
     def run(batches):
+        let_go()
         counts = Counter()
         for r in (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
             chunk = Chunk.unpacked(r)
@@ -557,6 +563,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        let_go()
         scorer = Scorer(sent.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
@@ -564,6 +571,8 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 keep = part.filter(pa.array(scorer(part.column(at).to_pylist()) < THRESHOLD))
                 if keep.num_rows:
                     yield pa.RecordBatch.from_arrays([c.cast(x.type) for c, x in zip(keep.columns, arrow)], schema=arrow)
+        del scorer
+        trim()
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 

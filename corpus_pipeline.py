@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlake.llm import bpe, decontaminate, secrets, simhash, toxicity
-from arborlake.llm.common import read, shared_dir
+from arborlake.llm.common import give_back_heaps, read, shared_dir
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have no words and are scored as such. Repeated rows stay or go together. Without labels of
     both kinds nothing goes.
     """
+    give_back_heaps(spark)
     return toxicity.reject(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -28,21 +29,25 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null texts count as empty ones. Null ids come last. Rows that share an id but no text are different documents; of
     rows that share both one stays.
     """
+    give_back_heaps(spark)
     return simhash.remove_copies(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words is in benchmark passages. Null and empty texts stay."""
+    give_back_heaps(spark)
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in the text masked and n_chars set to what is left. Null texts stay null, repeated rows repeated."""
+    give_back_heaps(spark)
     return secrets.redact(docs, secrets.train())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and the digests by which to compare them. Null texts have no ids."""
+    give_back_heaps(spark)
     return bpe.encode_with_digests(docs)
 
 
